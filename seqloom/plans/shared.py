@@ -89,3 +89,20 @@ def running_total(df: DataFrame, keys: Sequence[str], order: str, n: str, out: s
 def digest(*cols: Column) -> Column:
     """A 64-bit digest in which nulls count (xxhash64 alone skips them)."""
     return F.xxhash64(*[x for c in cols for x in (c.isNull(), c)])
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, out: str) -> DataFrame:
+    """Number the rows of the same keys from 1 in the given order, without one task per key.
+
+    block: an integer that never falls along the order (a coarser form of its first column). Rows
+    are numbered inside a block; the rows of earlier blocks are added from a small table.
+    """
+    df = df.withColumn("_block", block)
+    sums = df.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "_block"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
+    return df.join(sums, same).withColumn(out, F.col("_before") + inside).drop("_block", "_before", *[f"_k{i}" for i in range(len(keys) + 1)])
