@@ -99,8 +99,11 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
     """
     df = df.withColumn("_block", block)
     sums = df.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    if keys:
+        before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:  # all blocks are of one key: they are summed up in blocks of blocks
+        sums, before = running_total(sums.withColumnRenamed("_block", "_b"), [], "_b", "_n", "_upto").withColumnRenamed("_b", "_block"), F.col("_upto") - F.col("_n")
+    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_block"])], before.alias("_before"))
     same = F.lit(True)
     for i, k in enumerate([*keys, "_block"]):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
