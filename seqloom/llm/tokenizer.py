@@ -32,6 +32,45 @@ def read_ranks(path: str) -> list[bytes]:
     return [ranks[i] for i in range(len(ranks))]
 
 
+class Vocabulary:
+    """Tokens by id, and for each the two tokens that its last merge puts together (a single byte: none, -1)."""
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+        self.rank = {t: i for i, t in enumerate(tokens)}
+        self.left, self.right = [-1] * len(tokens), [-1] * len(tokens)
+        for i, t in enumerate(tokens):
+            for cut in range(1, len(t)):
+                a, b = self.rank.get(t[:cut]), self.rank.get(t[cut:])
+                if a is not None and b is not None and a < i and b < i and self._apart(a, b, i):
+                    self.left[i], self.right[i] = a, b
+                    break
+
+    def _apart(self, a: int, b: int, but: int) -> bool:
+        """Whether a and b, side by side, keep their border under all merges except the one into but.
+
+        Walks back in time from a and b: of the two tokens at the border the later made one is
+        taken apart. Their joint token, if there is one, would come first if it ranks before what
+        swallowed either of them; of equal ranks the left one comes first.
+        """
+        tokens, rank, left, right = self.tokens, self.rank, self.left, self.right
+        swallowed_a = swallowed_b = len(tokens)
+        while True:
+            joint = rank.get(tokens[a] + tokens[b])
+            if joint is not None and joint < swallowed_a and joint <= swallowed_b and joint != but:
+                return False
+            if left[a] < 0 and left[b] < 0:
+                return True
+            if left[b] < 0 or a > b and left[a] >= 0:
+                swallowed_a, a = a, right[a]
+            else:
+                swallowed_b, b = b, left[b]
+
+    def fits(self, a: int, b: int) -> bool:
+        """Whether merging the joint bytes of a and b gives a and b back."""
+        return self._apart(a, b, -1)
+
+
 class Transducer:
     """A finite-state transducer from the bytes of one word to its tokens.
 
@@ -44,13 +83,12 @@ class Transducer:
     first needs them.
     """
 
-    def __init__(self, tokens: list[bytes]):
-        self.tokens = tokens
-        self.rank = {t: i for i, t in enumerate(tokens)}
+    def __init__(self, vocabulary: Vocabulary):
+        self.tokens, self.rank, self.fits = vocabulary.tokens, vocabulary.rank, vocabulary.fits
         self.child: dict[int, int] = {}
         self.token = [-1]
         self.inner = [True]
-        for i, t in enumerate(tokens):
+        for i, t in enumerate(self.tokens):
             node = 0
             for b in t:
                 nxt = self.child.get(node << 8 | b)
@@ -86,7 +124,7 @@ class Transducer:
         if known is None:
             if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            known = self.pairs[a << 20 | b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.pairs[a << 20 | b] = self.fits(a, b)
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -100,11 +138,15 @@ class Transducer:
                 last, done = t, (*waiting, t)
             if self.inner[node]:
                 kept.append((node, before, waiting))
-        kept.append((0, last, done))
-        same = 0
-        while all(len(w) > same and w[same] == done[same] for _, _, w in kept):
-            same += 1
-        key = tuple((n, b, w[same:]) for n, b, w in kept)
+        if not kept:  # nothing can go on: all is settled
+            same, key = len(done), ((0, last, ()),)
+        else:
+            same = 0
+            shortest = min([len(w) for _, _, w in kept])
+            while same < shortest and all([w[same] == done[same] for _, _, w in kept]):
+                same += 1
+            kept.append((0, last, done))
+            key = tuple([(n, b, w[same:]) for n, b, w in kept] if same else kept)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
@@ -137,9 +179,9 @@ class Transducer:
 class Encoder(dict):
     """Text to token ids. The dictionary keeps the path of short words through the transducer as one transition."""
 
-    def __init__(self, tokens: list[bytes]):
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.fst = Transducer(tokens)
+        self.fst = Transducer(vocabulary)
         self.ascii, self.any = re.compile(ASCII_PATTERN).findall, regex.compile(PATTERN).findall
 
     def __missing__(self, word: str) -> tuple[int, ...]:
@@ -197,11 +239,12 @@ def decode(ids: Iterable[int], tokens: list[bytes], portion: int = 4096) -> str:
 _made: dict[int, Encoder] = {}
 
 
-def _encoder(tokens: list[bytes]) -> Encoder:
-    key = hash(tuple(tokens))
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """One encoder per worker and vocabulary, with what it has learnt."""
+    key = hash(tuple(vocabulary.tokens))
     if key not in _made:
         _made.clear()
-        _made[key] = Encoder(tokens)
+        _made[key] = Encoder(vocabulary)
     return _made[key]
 
 
@@ -226,9 +269,9 @@ def encode_corpus(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
     Text that looks like a special token is plain text. Null and empty texts give the empty list.
     Each row is encoded by itself; repeated rows stay repeated, other columns are left out. path:
-    a rank file readable by the driver; its tokens, below a megabyte, are broadcast.
+    a rank file readable by the driver; its tokens and their parts, about a megabyte, are broadcast.
     """
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return docs.mapInArrow(_encode(vocabulary), "doc_id bigint, ids array<int>")
 
