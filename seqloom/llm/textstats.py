@@ -11,7 +11,7 @@ from seqloom.plans.shared import cut
 
 # Fixed values of the statistics: what separates words, ASCII punctuation, marks that end a sentence.
 SPACE = " \\t\\r\\n"
-NOT_PUNCTUATION = "[^\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]+"
+PUNCTUATION = "[\\x21-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7E]"
 SENTENCE_END = "[.!?。！？](?=[ \\t\\r]*(?:\\n|\\z))"
 
 #: Common words up to this number become a set inside the expression; more are joined.
@@ -30,11 +30,13 @@ def text_statistics(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id",
     """
     words = [r[0] for r in common.select("word").distinct().limit(SET_WORDS + 1).collect() if r[0]]
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(F.substring_index(F.trim(F.col(lang)), "-", 1)), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    split = F.filter(F.split(F.lower("_t"), f"[{SPACE}]+"), lambda w: w != "")
+    # The array of words is used twice; as a column of its own it is made once.
+    docs = docs.withColumn("_w", F.split(F.btrim(F.lower("_t"), F.lit(" \t\r\n")), f"[{SPACE}]+"))
+    split = F.col("_w")
     counts = [
-        F.size(split).cast("bigint").alias("n_words"),
+        F.when(split[0] == "", 0).otherwise(F.size(split)).cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("_t", f"[{SPACE}]+", "")).cast("bigint").alias("n_chars"),
-        F.length(F.regexp_replace("_t", NOT_PUNCTUATION, "")).cast("bigint").alias("n_symbols"),
+        F.regexp_count("_t", F.lit(PUNCTUATION)).cast("bigint").alias("n_symbols"),
         F.regexp_count("_t", F.lit(f"[^{SPACE}][^\\n]*")).cast("bigint").alias("n_lines"),
         F.regexp_count("_t", F.lit(SENTENCE_END)).cast("bigint").alias("n_ended"),
     ]
@@ -42,7 +44,7 @@ def text_statistics(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id",
         known = F.size(F.filter(split, lambda w: w.isin(words))) if words else F.lit(0)
         out = docs.select("doc_id", "lang", *counts, known.cast("bigint").alias("n_common"))
     else:
-        each = docs.withColumn("_row", F.struct(F.monotonically_increasing_id(), "doc_id")).select("_row", "doc_id", "lang", *counts, split.alias("_w"))
+        each = docs.withColumn("_row", F.struct(F.monotonically_increasing_id(), "doc_id")).select("_row", "doc_id", "lang", *counts, "_w")
         each = cut(each, "words")
         hits = each.select("_row", F.explode("_w").alias("word")).join(common.select("word").distinct(), "word").groupBy("_row").agg(F.count("*").alias("n_common"))
         out = each.drop("_w").join(hits, "_row", "left").drop("_row").withColumn("n_common", F.coalesce("n_common", F.lit(0).cast("bigint")))
