@@ -32,6 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, what: str) -> str:
+    """A path of its own in the shared folder, removed when the application ends."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write df once into the shared folder and go on from the written table.
 
@@ -39,9 +46,8 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     It is removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    path = scratch(spark, what)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -27,7 +27,8 @@ def write_fastq(reads: DataFrame, path: str, gzip: bool = False, swapped: bool =
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (qname, seq, qual) of FASTQ files whose records begin with @ after a line of qualities."""
-    lines = spark.read.option("lineSep", "\n@").text(path)
-    parts = F.split(F.regexp_replace("value", "^@", ""), "\n")
-    return lines.select(parts.alias("p")).filter(F.size("p") >= 4).select(F.trim(F.col("p")[0]).alias("qname"), F.col("p")[1].alias("seq"), F.col("p")[3].alias("qual"))
+    """Rows (qname, seq, qual) of the FASTQ files at or below path, plain or gzipped; plain ones are split by byte ranges."""
+    from seqloom.sources.binary import FastqSource
+
+    spark.dataSource.register(FastqSource)
+    return spark.read.format(FastqSource.name()).load(path)
