@@ -234,7 +234,7 @@ def _policy_sql(spec):
     hits = ", ".join(f"count_if(m{i}) OVER (PARTITION BY row_id) AS h{i}" for i in range(len(rules)))
     return f"""
 WITH x AS ({joined}), h AS (SELECT *, {hits} FROM x), s AS (SELECT row_id, j, {state} AS s, {force} AS f FROM h)
-SELECT row_id, CAST(bool_or(f) AS INT) AS forced, count_if(s >= 0) AS n_kept, string_agg(chr(CAST(CASE WHEN s < 0 THEN {quality.DEFAULT} ELSE s END + 33 AS INT)), '' ORDER BY j) AS qual FROM s GROUP BY row_id
+SELECT row_id, CAST(bool_or(f) AS INT) AS forced, CAST(count_if(s >= 0) AS BIGINT) AS n_kept, string_agg(chr(CAST(CASE WHEN s < 0 THEN {quality.DEFAULT} ELSE s END + 33 AS INT)), '' ORDER BY j) AS qual FROM s GROUP BY row_id
 """
 
 
@@ -258,7 +258,7 @@ QUERIES = {
     **{name: _policy(spec) for name, spec in POLICIES.items()}, "qual_bin_illumina": _bin_query(quality.ILLUMINA), "qual_bin_ncbi": _bin_query(quality.NCBI),
 }
 SQL = {
-    "ref_join_mismatch": f"SELECT row_id, count(*) AS n_aligned, count_if(base <> refb) AS n_mismatch FROM {ALIGNED} GROUP BY row_id",
+    "ref_join_mismatch": f"SELECT row_id, count(*) AS n_aligned, CAST(count_if(base <> refb) AS BIGINT) AS n_mismatch FROM {ALIGNED} GROUP BY row_id",
     "alignment_end": f"SELECT row_id, any_value(pos) + CAST(sum(CASE WHEN op IN ('M', 'D', 'N', '=', 'X') THEN len ELSE 0 END) AS BIGINT) AS stop FROM {OPS} GROUP BY row_id",
     "coverage": COVERAGE_SQL, "coverage_histogram": f"SELECT depth, CAST(sum(end_pos - start_pos + 1) AS BIGINT) AS n_positions FROM ({COVERAGE_SQL}) GROUP BY depth",
     "mismatch_pileup": f"SELECT rname, refpos, count(*) AS n FROM {ALIGNED} WHERE base <> refb GROUP BY ALL", "pileup_saturating": PILEUP_SQL,

@@ -125,7 +125,7 @@ QUERIES = {
 }
 SQL = {
     "sam_roundtrip": "SELECT row_id, coalesce(qname, '*') AS qname, flag, coalesce(rname, '*') AS rname, coalesce(pos, 0) AS pos, coalesce(mapq, 0) AS mapq, coalesce(cigar, '*') AS cigar, coalesce(rnext, '*') AS rnext, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen, coalesce(seq, '*') AS seq, coalesce(qual, '*') AS qual, coalesce(tags['NM'], '') AS nm FROM reads",
-    "bam_roundtrip": "SELECT row_id, coalesce(qname, '*') AS qname, flag, CASE WHEN rname IN (SELECT name FROM contigs) THEN rname ELSE '*' END AS rname, coalesce(pos, 0) AS pos, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen, CASE WHEN regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') THEN cigar ELSE '*' END AS cigar, CASE WHEN seq IS NULL OR seq = '' THEN '*' ELSE regexp_replace(upper(seq), '[^=ACGMRSVTWYHKDBN]', 'N', 'g') END AS seq, CASE WHEN coalesce(seq, '*') <> '*' AND qual <> '*' AND qual <> '' AND length(qual) = length(seq) THEN regexp_replace(qual, '[\\x00-\\x20]', '!', 'g') ELSE '*' END AS qual, coalesce(tags['NM'], '') AS nm FROM reads",
+    "bam_roundtrip": "SELECT row_id, coalesce(qname, '*') AS qname, flag, CASE WHEN rname IN (SELECT name FROM contigs) THEN rname ELSE '*' END AS rname, coalesce(pos, 0) AS pos, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen, CASE WHEN regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') THEN cigar ELSE '*' END AS cigar, CASE WHEN coalesce(seq, '') IN ('', '*') THEN '*' ELSE regexp_replace(upper(seq), '[^=ACGMRSVTWYHKDBN]', 'N', 'g') END AS seq, CASE WHEN coalesce(seq, '*') <> '*' AND qual <> '*' AND qual <> '' AND length(qual) = length(seq) THEN regexp_replace(qual, '[\\x00-\\x20]', '!', 'g') ELSE '*' END AS qual, coalesce(tags['NM'], '') AS nm FROM reads",
     "fasta_roundtrip": "SELECT row_id, seq FROM reads WHERE seq IS NOT NULL AND seq <> '*'",
     "fasta_lines": "SELECT row_id, CAST(i AS INT) AS line_no, CASE WHEN i = 0 THEN '>' || row_id ELSE substr(seq, CAST((i - 1) * 40 + 1 AS INT), 40) END AS value FROM (SELECT row_id, seq, unnest(range(0, CAST(ceil(length(seq) / 40.0) AS INT) + 1)) AS i FROM reads WHERE seq IS NOT NULL AND seq <> '*')",
     "fasta_subrange": "SELECT row_id, substr(seq, 11, 21) AS seq FROM reads WHERE seq IS NOT NULL AND seq <> '*'",

@@ -83,9 +83,9 @@ def p3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 P3_PROFILE_SQL = " UNION ALL ".join(
     f"""SELECT rname, '{f}' AS field, count(*) AS n_rows, count(*) - count({f}) AS n_nulls, count(DISTINCT {f}) AS n_distinct,
-(SELECT v FROM (SELECT {f} v, count(*) c FROM reads x WHERE x.rname IS NOT DISTINCT FROM o.rname AND {f} IS NOT NULL GROUP BY 1) ORDER BY c DESC, v LIMIT 1) AS mode,
+(SELECT CAST(v AS BIGINT) FROM (SELECT {f} v, count(*) c FROM reads x WHERE x.rname IS NOT DISTINCT FROM o.rname AND {f} IS NOT NULL GROUP BY 1) ORDER BY c DESC, v LIMIT 1) AS mode,
 (SELECT max(c) FROM (SELECT count(*) c FROM reads x WHERE x.rname IS NOT DISTINCT FROM o.rname AND {f} IS NOT NULL GROUP BY x.{f})) AS mode_n,
-quantile_disc({f}, 0.5) AS p50, quantile_disc({f}, 0.9) AS p90, (SELECT count(*) FROM reads) AS all_rows FROM reads o GROUP BY rname"""
+CAST(quantile_disc({f}, 0.5) AS BIGINT) AS p50, CAST(quantile_disc({f}, 0.9) AS BIGINT) AS p90, (SELECT count(*) FROM reads) AS all_rows FROM reads o GROUP BY rname"""
     for f in ("mapq", "tlen", "pos")
 )
 

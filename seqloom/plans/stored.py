@@ -369,7 +369,7 @@ SQL = {
     "reg2bin": f"SELECT row_id, {_bin_sql('CAST(pos - 1 AS BIGINT)', '(pos - 1 + greatest(span, 1))')} AS bin FROM {SPANNED} WHERE rname <> '*' AND pos >= 1",
     "bai_bins": f"SELECT sequence_id, {_bin_sql('CAST(alignment_start - 1 AS BIGINT)', '(alignment_start - 1 + greatest(alignment_span, 1))')} AS bin, container_start_offset, min(slice_offset) AS first_offset, max(slice_offset) AS last_offset, count(*) AS n_slices FROM slice_index GROUP BY 1, 2, 3",
     "bai_linear": BAI_LINEAR_SQL,
-    "ref_counts": "SELECT coalesce(rname, '*') AS rname, count_if(flag & 4 = 0) AS n_aligned, count_if(flag & 4 > 0) AS n_unaligned, count_if(coalesce(pos, 0) <= 0) AS n_no_coordinate FROM reads GROUP BY 1",
+    "ref_counts": "SELECT coalesce(rname, '*') AS rname, CAST(count_if(flag & 4 = 0) AS BIGINT) AS n_aligned, CAST(count_if(flag & 4 > 0) AS BIGINT) AS n_unaligned, CAST(count_if(coalesce(pos, 0) <= 0) AS BIGINT) AS n_no_coordinate FROM reads GROUP BY 1",
     "slice_ref_md5": REF_MD5_SQL.replace("__OPS__", OPS), "series_histogram": HISTOGRAM_SQL,
     "series_frequencies": f"SELECT series, count(DISTINCT value) AS n_distinct, max(value) AS largest, count(*) AS n, CAST(count(DISTINCT value) < {encoding.DICTIONARY} AS INT) AS dictionary FROM {SERIES} GROUP BY series",
     "encoding_cost_beta": _BETA, **{f"encoding_cost_{n}": _cost_sql(n) for n in _COSTS},
