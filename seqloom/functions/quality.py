@@ -92,10 +92,9 @@ def _treated(q: Column, treatment: str) -> Column:
 
 def _mask(kind: str, n: int) -> Column:
     """Per read base whether the category holds. Columns: q, seq, ref, pos, ops, per_base, coverage, mismatches."""
-    same = "substring(seq, j + 1, 1) = substring(ref, cast(b.fp - pos + 1 as int), 1)"
     return {
-        "match": F.expr(f"transform(per_base, (b, j) -> {same})"),
-        "mismatch": F.expr(f"transform(per_base, (b, j) -> not {same})"),
+        "match": F.expr("transform(per_base, b -> b.same)"),
+        "mismatch": F.expr("transform(per_base, b -> not b.same)"),
         "insertion": F.expr("transform(per_base, b -> b.op = 'I')"),
         "flanking_deletion": F.expr("transform(per_base, (b, j) -> exists(ops, o -> o.op = 'D' and (j = o.rp - 1 or j = o.rp)))"),
         "lower_coverage": F.transform("coverage", lambda c: c < n),
@@ -111,7 +110,8 @@ def apply_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
     base category applies. A rule of base categories that hits more than half of the read forces
     the whole array; null q stays null.
     """
-    per = "flatten(transform(filter(ops, o -> o.op in ('M', 'I', 'S', '=', 'X') and o.len > 0), o -> transform(sequence(0L, o.len - 1), i -> named_struct('op', o.op, 'fp', o.fp + i))))"
+    pair = "arrays_zip(split(substring(seq, cast(o.rp as int), cast(o.len as int)), ''), split(substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int)), ''))"
+    per = f"flatten(transform(filter(ops, o -> o.op in ('M', 'I', 'S', '=', 'X') and o.len > 0), o -> transform({pair}, x -> named_struct('op', o.op, 'same', x.`0` = x.`1`))))"
     df = df.withColumn("per_base", F.expr(per)).withColumn("scores", F.transform("q", lambda x: F.lit(-1))).withColumn("forced", F.lit(False))
     for p in policies:
         kind, n = p.read or ("all", 0)

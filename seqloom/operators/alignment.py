@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.cigar import is_cigar, read_span, reference_span
-from seqloom.plans.shared import running_total
+from seqloom.plans.shared import running_total, spread
 
 OP = "struct<op:string,len:bigint,rp:bigint,fp:bigint,mp:bigint>"
 #: Reference chunks hold size letters of their own and overlap more of the next, so that a short read needs one chunk.
@@ -37,7 +37,8 @@ def placed(reads: DataFrame, *keep: str) -> DataFrame:
     Others (null or * in rname, cigar or seq, no position, malformed or unfitting CIGAR) have no base-level meaning and are left out.
     """
     fit = is_cigar(F.col("cigar")) & F.col("rname").isNotNull() & (F.col("rname") != "*") & (F.col("pos") >= 1) & (F.col("seq") != "*") & (read_span(F.col("cigar")) == F.length("seq"))
-    df = reads.filter(fit).select("row_id", "rname", "pos", "cigar", F.upper("seq").alias("seq"), F.length("seq").alias("n"), reference_span(F.col("cigar")).alias("span"), *keep)
+    df = spread(reads.select("row_id", "rname", "pos", "cigar", "seq", *keep)).filter(fit)
+    df = df.select("row_id", "rname", "pos", "cigar", F.upper("seq").alias("seq"), F.length("seq").alias("n"), reference_span(F.col("cigar")).alias("span"), *keep)
     return df.withColumn("ops", operations(F.col("cigar"), F.col("pos")))
 
 
@@ -67,15 +68,15 @@ def with_reference(reads: DataFrame, chunks: DataFrame, size: int = CHUNK, overl
     return short.unionByName(long).drop("need", "chunk")
 
 
-def _ref_at(p: str) -> str:
-    return f"substring(ref, cast({p} - pos + 1 as int), 1)"
+#: Per base of an operation o: its place in it from 0, the read's letter and the reference's, as fields `0`, `1` and `2`.
+ZIPPED = "arrays_zip(sequence(0L, o.len - 1), split(substring(seq, cast(o.rp as int), cast(o.len as int)), ''), split(substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int)), ''))"
 
 
 def bases(reads: DataFrame, *keep: str, ops: str = "M=X") -> DataFrame:
     """One row per read base of the given operations: row_id, rname, op, rpos, refpos, base, refb and keep. reads as with_reference gives them."""
     each = reads.select("row_id", "rname", "pos", "seq", "ref", *keep, F.explode(F.filter("ops", lambda o: o["op"].isin(*ops) & (o["len"] > 0))).alias("o"))
-    each = each.select("row_id", "rname", "pos", "seq", "ref", *keep, "o", F.explode(F.expr("sequence(0L, o.len - 1)")).alias("i"))
-    return each.select("row_id", "rname", F.col("o.op").alias("op"), F.expr("o.rp + i").alias("rpos"), F.expr("o.fp + i").alias("refpos"), F.expr("substring(seq, cast(o.rp + i as int), 1)").alias("base"), F.expr(_ref_at("(o.fp + i)")).alias("refb"), *keep)
+    each = each.select("row_id", "rname", *keep, "o", F.explode(F.expr(ZIPPED)).alias("x"))
+    return each.select("row_id", "rname", F.col("o.op").alias("op"), F.expr("o.rp + x.`0`").alias("rpos"), F.expr("o.fp + x.`0`").alias("refpos"), F.col("x.`1`").alias("base"), F.col("x.`2`").alias("refb"), *keep)
 
 
 def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> DataFrame:
@@ -139,11 +140,10 @@ def unpack_codes(packed: DataFrame) -> DataFrame:
 
 
 def _aligned_events() -> str:
-    hit = f"substring(seq, cast(o.rp + i as int), 1) <> {_ref_at('(o.fp + i)')}"
-    event = f"named_struct('m', o.mp + i, 'text', {_ref_at('(o.fp + i)')}, 'use', 1L)"
     none = "cast(array() as array<struct<m:bigint,text:string,use:bigint>>)"
+    event = "named_struct('m', o.mp + x.`0`, 'text', x.`2`, 'use', 1L)"
     gone = "array(named_struct('m', o.mp, 'text', concat('^', substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int))), 'use', 0L))"
-    return f"flatten(transform(ops, o -> case when o.op in ('M', '=', 'X') and o.len > 0 then transform(filter(sequence(0L, o.len - 1), i -> {hit}), i -> {event}) when o.op = 'D' then {gone} else {none} end))"
+    return f"flatten(transform(ops, o -> case when o.op in ('M', '=', 'X') and o.len > 0 then transform(filter({ZIPPED}, x -> x.`1` <> x.`2`), x -> {event}) when o.op = 'D' then {gone} else {none} end))"
 
 
 def md_and_nm(reads: DataFrame) -> DataFrame:
@@ -165,14 +165,13 @@ def features(reads: DataFrame) -> DataFrame:
     one of ACGTN), i an inserted base, S clipped bases, D and N gaps, H and P with their length.
     """
     f = lambda pos, op, text, n: f"named_struct('pos', {pos}, 'op', {op}, 'text', {text}, 'len', {n})"
-    base = "substring(seq, cast(o.rp + i as int), 1)"
-    known = f"instr('ACGTN', {base}) > 0 and instr('ACGTN', {_ref_at('(o.fp + i)')}) > 0"
-    sub = f(f"o.rp + i", f"if({known}, 'X', 'B')", base, "1L")
+    known = "instr('ACGTN', x.`1`) > 0 and instr('ACGTN', x.`2`) > 0"
+    sub = f("o.rp + x.`0`", f"if({known}, 'X', 'B')", "x.`1`", "1L")
     e = f"""flatten(transform(filter(ops, o -> o.len > 0), o -> case
-      when o.op in ('M', '=', 'X') then transform(filter(sequence(0L, o.len - 1), i -> {base} <> {_ref_at('(o.fp + i)')}), i -> {sub})
-      when o.op = 'I' then transform(sequence(0L, o.len - 1), i -> {f("o.rp + i", "'i'", base, "1L")})
+      when o.op in ('M', '=', 'X') then transform(filter({ZIPPED}, x -> x.`1` <> x.`2`), x -> {sub})
+      when o.op = 'I' then transform(sequence(0L, o.len - 1), i -> {f("o.rp + i", "'i'", "substring(seq, cast(o.rp + i as int), 1)", "1L")})
       when o.op = 'S' then array({f("o.rp", "'S'", "substring(seq, cast(o.rp as int), cast(o.len as int))", "o.len")})
-      else array({f("o.rp", "o.op", "''", "o.len")}) end))"""  # noqa: F541
+      else array({f("o.rp", "o.op", "''", "o.len")}) end))"""
     return reads.withColumn("features", F.expr(e).cast(f"array<{FEATURE}>"))
 
 

@@ -72,6 +72,15 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, math.ceil(rows / per_partition))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if it has fewer: for work that takes far longer than a shuffle of its input.
+
+    A table of enough files or row groups, as any large one, is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def running_total(df: DataFrame, keys: Sequence[str], order: str, n: str, out: str, block_bits: int = 16) -> DataFrame:
     """Add the sum of n over the rows of the same keys up to and including this one, in the order of an integer column.
 
