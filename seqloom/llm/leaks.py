@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import broadcast_if_small, cut
+from seqloom.plans.shared import broadcast_if_small, cut, spread
 
 WORD = "[A-Za-z0-9]+"
 
@@ -27,7 +27,7 @@ def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     pos counts all words of the document from 0. Every document is read whole. Postings of words
     that no item has could never be asked for and are not stored. doc_id must be unique and not null.
     """
-    each = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "w"))
+    each = spread(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "w"))
     each = each.select("doc_id", "pos", F.lower("w").alias("term"))
     return cut(each.join(broadcast_if_small(vocabulary), "term").select("term_id", "doc_id", "pos"), "postings")
 

@@ -20,7 +20,7 @@ PHRASE, LEAST_WORDS = 12, 6
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reads = table(spark, sf_dir, "reads")
+    reads = table(spark, sf_dir, "reads").select("qual", "mapq", "tags")
     fields = {"qual": terms.symbols(F.when(F.col("qual") != "*", F.col("qual"))), "mapq": terms.single(F.col("mapq")), "tag": terms.entries(F.col("tags"))}
     return terms.term_frequencies(reads, fields, RARE, COMMON)
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import cut, partitions_for
+from seqloom.plans.shared import cut, partitions_for, spread
 
 SEED = 16
 #: Letters hashed at once in a Python worker; longer records are hashed in overlapping pieces.
@@ -229,7 +229,7 @@ def shared_spans(df: DataFrame, row_id: str, text: str, width: int, group_limit:
     groups are worked off in order within partitions of bounded size; an anchor with more than
     group_limit occurrences is spread by its windows, so that any group of copies may be large.
     """
-    df = df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text")).filter((F.length("text") >= width) & F.col("row_id").isNotNull())
+    df = spread(df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text"))).filter((F.length("text") >= width) & F.col("row_id").isNotNull())
     counts = cut(df.mapInArrow(_counts(width), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n")).groupBy((F.col("n") > group_limit).alias("heavy"), F.when(F.col("n") > group_limit, F.col("anchor")).alias("anchor")).agg(F.sum("n").alias("n")), "anchors")
     total = counts.agg(F.sum("n")).first()[0] or 0
     heavy = counts.filter("heavy").select("anchor")
@@ -239,8 +239,8 @@ def shared_spans(df: DataFrame, row_id: str, text: str, width: int, group_limit:
     if heavy.limit(1).count():
         light = segments.join(heavy, "anchor", "left_anti")
         runs = _heavy_windows(segments.join(heavy, "anchor", "left_semi"), width)
-    spread = light.repartition(partitions_for(total, 150_000), "anchor").sortWithinPartitions("anchor")
-    found = spread.mapInArrow(_extend(width), "row_id bigint, s bigint, e bigint")
+    ordered = light.repartition(partitions_for(total, 150_000), "anchor").sortWithinPartitions("anchor")
+    found = ordered.mapInArrow(_extend(width), "row_id bigint, s bigint, e bigint")
     runs = found if runs is None else found.unionByName(runs)
     by_row = Window.partitionBy("row_id").orderBy("s", "e")
     before = F.max("e").over(by_row.rowsBetween(Window.unboundedPreceding, -1))

@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.shared import spread
+
 TERM = "array<struct<term:string,n:bigint>>"
 
 
@@ -42,7 +44,7 @@ def term_frequencies(df: DataFrame, fields: Mapping[str, Column], rare: tuple[in
     def named(field: str, c: Column) -> Column:
         return F.transform(F.coalesce(c, none), lambda x: F.struct(F.lit(field).alias("field"), x["term"].alias("term"), x["n"].alias("n")))
 
-    counts = df.select(F.inline(F.concat(*[named(f, c) for f, c in fields.items()]))).groupBy("field", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
+    counts = spread(df).select(F.inline(F.concat(*[named(f, c) for f, c in fields.items()]))).groupBy("field", "term").agg(F.sum("n").alias("n"), F.count("*").alias("n_rows"))
     total = F.lit(df.count()).cast("bigint")
     mark = F.when(F.col("n_rows") * rare[1] < total * rare[0], "rare").when(F.col("n_rows") * common[1] > total * common[0], "common")
     return counts.withColumn("mark", mark)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import cut
+from seqloom.plans.shared import cut, spread
 
 # Fixed values of the statistics: what separates words, ASCII punctuation, marks that end a sentence.
 SPACE = " \\t\\r\\n"
@@ -29,6 +29,7 @@ def text_statistics(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id",
     null is und. Repeated rows stay repeated, other columns are left out.
     """
     words = [r[0] for r in common.select("word").distinct().limit(SET_WORDS + 1).collect() if r[0]]
+    docs = spread(docs.select(doc_id, text, lang))
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(F.substring_index(F.trim(F.col(lang)), "-", 1)), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     # The array of words is used twice; as a column of its own it is made once.
     docs = docs.withColumn("_w", F.split(F.btrim(F.lower("_t"), F.lit(" \t\r\n")), f"[{SPACE}]+"))

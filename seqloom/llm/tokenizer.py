@@ -14,6 +14,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.plans.shared import spread
+
 VOCABULARY_DIR = os.environ.get("SEQLOOM_TOKENIZERS", "/opt/tokenizers")
 
 # Fixed values of the vocabulary's pre-splitting: the pattern, with white space as Unicode has it; for ASCII texts the same in ASCII.
@@ -272,7 +274,7 @@ def encode_corpus(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     a rank file readable by the driver; its tokens and their parts, about a megabyte, are broadcast.
     """
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path)))
-    docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = spread(docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")))
     return docs.mapInArrow(_encode(vocabulary), "doc_id bigint, ids array<int>")
 
 
