@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.plans.bases import COVERAGE_SQL, PLACED
+from seqloom.operators.alignment import placed as placed_reads
+from seqloom.plans.bases import COVERAGE_SQL, HEX, LETTERS, PLACED, REBUILD_SQL
 from seqloom.plans.records import reads
 from seqloom.plans.shared import scratch, table
-from seqloom.sources import binary, crai, fasta, fastq, sam
+from seqloom.sources import binary, container, crai, fasta, fastq, sam
 from seqloom.streaming import mates
 
 TEXT = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
@@ -34,6 +35,21 @@ def bam_roundtrip(spark, sf_dir):
     return back.select(F.expr("cast(substring(tags['XI'], 3) as bigint)").alias("row_id"), "qname", "flag", "rname", "pos", "pnext", "tlen", "cigar", "seq", "qual", F.coalesce(F.col("tags")["NM"], F.lit("")).alias("nm"))
 
 
+def cram_roundtrip(spark, sf_dir):
+    """All records through reference-compressed containers; XI carries row_id, in place of the other tags."""
+    df = reads(spark, sf_dir).withColumn("tags", F.create_map(F.lit("XI"), F.concat(F.lit("i:"), "row_id")))
+    ends = placed_reads(df).groupBy("rname").agg(F.max(F.col("pos") + F.col("span")).alias("e"))
+    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr("(e - 1) div 32")), lambda k: F.translate(F.md5(F.concat("rname", F.lit("|"), k.cast("string"))), HEX, LETTERS)), "")
+    at = scratch(spark, "reference")
+    fasta.write_fasta(ends.select("rname", text.alias("seq")).coalesce(1), at)
+    (file,) = binary.files_below(at)
+    path = scratch(spark, "cram")
+    container.write_cram(df, table(spark, sf_dir, "contigs"), file, path)
+    binary.register(spark)
+    back = spark.read.format("seqloom_cram").option("reference", file).load(path)
+    return back.select(F.expr("cast(substring(tags['XI'], 3) as bigint)").alias("row_id"), "qname", "flag", "rname", "pos", "pnext", "tlen", "mapq", "cigar", "seq")
+
+
 def fasta_roundtrip(spark, sf_dir):
     """Distinct names and bases of the first delivery of each record of an end, as FASTA."""
     df = reads(spark, sf_dir).filter("seq is not null and seq <> '*'").select(F.col("row_id").cast("string").alias("rname"), "seq")
@@ -120,12 +136,15 @@ def fixture_counts(spark, sf_dir):
 
 
 QUERIES = {
-    "sam_roundtrip": sam_roundtrip, "bam_roundtrip": bam_roundtrip, "fasta_roundtrip": fasta_roundtrip, "fasta_lines": fasta_lines, "fasta_subrange": fasta_subrange, "fai_offsets": fai_offsets, "fastq_roundtrip": fastq_roundtrip, "crai_roundtrip": crai_roundtrip,
+    "sam_roundtrip": sam_roundtrip, "bam_roundtrip": bam_roundtrip, "cram_roundtrip": cram_roundtrip, "fasta_roundtrip": fasta_roundtrip, "fasta_lines": fasta_lines, "fasta_subrange": fasta_subrange, "fai_offsets": fai_offsets, "fastq_roundtrip": fastq_roundtrip, "crai_roundtrip": crai_roundtrip,
     "header_lines": header_lines, "sql_view": sql_view, "stream_pileup": stream_pileup, "stream_mates": stream_mates, "fixture_counts": fixture_counts,
 }
 SQL = {
     "sam_roundtrip": "SELECT row_id, coalesce(qname, '*') AS qname, flag, coalesce(rname, '*') AS rname, coalesce(pos, 0) AS pos, coalesce(mapq, 0) AS mapq, coalesce(cigar, '*') AS cigar, coalesce(rnext, '*') AS rnext, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen, coalesce(seq, '*') AS seq, coalesce(qual, '*') AS qual, coalesce(tags['NM'], '') AS nm FROM reads",
     "bam_roundtrip": "SELECT row_id, coalesce(qname, '*') AS qname, flag, CASE WHEN rname IN (SELECT name FROM contigs) THEN rname ELSE '*' END AS rname, coalesce(pos, 0) AS pos, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen, CASE WHEN regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+') THEN cigar ELSE '*' END AS cigar, CASE WHEN coalesce(seq, '') IN ('', '*') THEN '*' ELSE regexp_replace(upper(seq), '[^=ACGMRSVTWYHKDBN]', 'N', 'g') END AS seq, CASE WHEN coalesce(seq, '*') <> '*' AND qual <> '*' AND qual <> '' AND length(qual) = length(seq) THEN regexp_replace(qual, '[\\x00-\\x20]', '!', 'g') ELSE '*' END AS qual, coalesce(tags['NM'], '') AS nm FROM reads",
+    "cram_roundtrip": f"""SELECT row_id, coalesce(qname, '*') AS qname, CASE WHEN m THEN flag ELSE flag | 4 END AS flag, CASE WHEN k THEN rname ELSE '*' END AS rname, CASE WHEN k THEN coalesce(pos, 0) ELSE 0 END AS pos, coalesce(pnext, 0) AS pnext, coalesce(tlen, 0) AS tlen,
+      CASE WHEN NOT m THEN 0 WHEN coalesce(mapq, 0) BETWEEN 0 AND 255 THEN coalesce(mapq, 0) ELSE 255 END AS mapq, CASE WHEN m THEN c ELSE '*' END AS cigar, CASE WHEN coalesce(seq, '') IN ('', '*') THEN '*' ELSE upper(seq) END AS seq
+      FROM (SELECT r.*, b.cigar AS c, rname IN (SELECT name FROM contigs) AND rname IS NOT NULL AS k, b.row_id IS NOT NULL AND flag & 4 = 0 AND coalesce(rname IN (SELECT name FROM contigs), false) AS m FROM reads r LEFT JOIN ({REBUILD_SQL}) b ON b.row_id = r.row_id)""",
     "fasta_roundtrip": "SELECT row_id, seq FROM reads WHERE seq IS NOT NULL AND seq <> '*'",
     "fasta_lines": "SELECT row_id, CAST(i AS INT) AS line_no, CASE WHEN i = 0 THEN '>' || row_id ELSE substr(seq, CAST((i - 1) * 40 + 1 AS INT), 40) END AS value FROM (SELECT row_id, seq, unnest(range(0, CAST(ceil(length(seq) / 40.0) AS INT) + 1)) AS i FROM reads WHERE seq IS NOT NULL AND seq <> '*')",
     "fasta_subrange": "SELECT row_id, substr(seq, 11, 21) AS seq FROM reads WHERE seq IS NOT NULL AND seq <> '*'",

@@ -307,5 +307,7 @@ def write_bam(reads, contigs, path: str) -> None:
 
 
 def register(spark: SparkSession) -> None:
-    for source in (FastqSource, BamSource):
+    from seqloom.sources.container import CramSource
+
+    for source in (FastqSource, BamSource, CramSource):
         spark.dataSource.register(source)
