@@ -107,7 +107,7 @@ class Transducer:
     def _restart(self) -> None:
         self.states = [((0, -1, ()),)]
         self.number = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
 
     def merge(self, text: bytes) -> list[int]:
         """The encoding by the merges themselves: the pair of lowest rank first, the leftmost of equals."""
@@ -121,49 +121,50 @@ class Transducer:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.rank[p] for p in parts]
 
-    def _fits(self, a: int, b: int) -> bool:
-        known = self.pairs.get(a << 20 | b)
-        if known is None:
-            if len(self.pairs) >= KEPT_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a << 20 | b] = self.fits(a, b)
-        return known
-
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        child, token, inner, pairs = self.child, self.token, self.inner, self.pairs
         kept, last, done = [], -1, ()
         for node, before, waiting in self.states[state]:
-            node = self.child.get(node << 8 | byte)
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            t = self.token[node]
-            if last < 0 <= t and (before < 0 or self._fits(before, t)):
-                last, done = t, (*waiting, t)
-            if self.inner[node]:
+            t = token[node]
+            if last < 0 <= t:
+                fits = True
+                if before >= 0:
+                    fits = pairs.get(before << 20 | t)
+                    if fits is None:
+                        if len(pairs) >= KEPT_PAIRS:
+                            pairs.clear()
+                        fits = pairs[before << 20 | t] = self.fits(before, t)
+                if fits:
+                    last, done = t, (*waiting, t)
+            if inner[node]:
                 kept.append((node, before, waiting))
         if not kept:  # nothing can go on: all is settled
             same, key = len(done), ((0, last, ()),)
         else:
             same = 0
-            shortest = min([len(w) for _, _, w in kept])
-            while same < shortest and all([w[same] == done[same] for _, _, w in kept]):
-                same += 1
+            if kept[0][2]:  # the first place waits longest if any does
+                shortest = min([len(w) for _, _, w in kept])
+                while same < shortest and all([w[same] == done[same] for _, _, w in kept]):
+                    same += 1
             kept.append((0, last, done))
             key = tuple([(n, b, w[same:]) for n, b, w in kept] if same else kept)
         to = self.number.get(key)
         if to is None:
             to = self.number[key] = len(self.states)
             self.states.append(key)
-            self.moves.append({})
-        move = self.moves[state][byte] = (to, done[:same])
+        move = self.moves[state << 8 | byte] = (to, done[:same])
         return move
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         if len(self.states) > KEPT_STATES:
             self._restart()
         out: list[int] = []
-        state = 0
+        state, moves = 0, self.moves
         for i, byte in enumerate(word):
-            move = self.moves[state].get(byte) or self._move(state, byte)
+            move = moves.get(state << 8 | byte) or self._move(state, byte)
             state = move[0]
             if move[1]:
                 out += move[1]
@@ -173,7 +174,7 @@ class Transducer:
                 state = self.number.setdefault(here, len(self.states))
                 if state == len(self.states):
                     self.states.append(here)
-                    self.moves.append({})
+                moves = self.moves
         out += self.states[state][-1][2]
         return tuple(out)
 
