@@ -266,24 +266,40 @@ def _finished(rows: list[dict], start: int, comp: Compression, names: list[str],
 @dataclass
 class Part(InputPartition):
     path: str
-    head: Head | None
+    heads: list[Head]
+
+
+#: Bytes of neighbouring containers that make one partition.
+TOGETHER = 4 << 20
 
 
 class CramReader(DataSourceReader):
-    """One partition per container: their headers are read ahead, their blocks only by the tasks."""
+    """Partitions of whole containers: their headers are read ahead, their blocks only by the tasks."""
 
     def __init__(self, options: dict):
         self.path, self.reference = options["path"], options.get("reference")
 
     def partitions(self) -> list[Part]:
-        out = [Part(p, head) for p in files_below(self.path) for i, head in enumerate(container_heads(p)) if i and head.records]
-        return out or [Part("", None)]
+        out: list[Part] = []
+        for p in files_below(self.path):
+            size = TOGETHER
+            for i, head in enumerate(container_heads(p)):
+                if not i or not head.records:
+                    continue
+                if size >= TOGETHER:
+                    out.append(Part(p, []))
+                    size = 0
+                out[-1].heads.append(head)
+                size += head.size
+        return out or [Part("", [])]
 
     def read(self, part: Part) -> Iterator[tuple]:
-        if part.head is None:
+        if not part.heads:
             return
         names, _ = header_names(read_header(part.path)[1])
-        yield from read_container(part.path, part.head, names, load_reference(self.reference) if self.reference else {})
+        reference = load_reference(self.reference) if self.reference else {}
+        for head in part.heads:
+            yield from read_container(part.path, head, names, reference)
 
 
 class CramSource(DataSource):
