@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import broadcast_if_small, cut, spread
+from seqloom.plans.shared import BROADCAST_ROWS, broadcast_if_small, cut, spread
 
 WORD = "[A-Za-z0-9]+"
 
@@ -58,10 +58,15 @@ def find_phrases(index: DataFrame, terms: DataFrame) -> DataFrame:
     at = index.join(broadcast_if_small(leads, n), "term_id").select("phrase", "doc_id", (F.col("pos") - F.col("off1")).alias("start"), "term2", "off2").filter("start >= 0")
     posting = index.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("term_id").alias("_term"))
     met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off2") == F.col("_pos")) & (F.col("term2") == F.col("_term"))
-    two = cut(at.join(posting, met, "left_semi").select("phrase", "doc_id", "start"), "two")
+    # Only postings of second rarest terms can be met here, and none of the frequent words.
+    seconds = second.select(F.col("term2").alias("_term")).distinct()
+    two = cut(at.join(posting.join(broadcast_if_small(seconds, n), "_term", "left_semi"), met, "left_semi").select("phrase", "doc_id", "start"), "two")
     rest = ranked.select("phrase", "size", "off", "term_id", "rn").filter("rn > 2").groupBy("phrase").agg(F.max("size").alias("size"), F.collect_list(F.struct("off", "term_id")).alias("rest"))
     wanted = two.join(broadcast_if_small(rest, n), "phrase").select("phrase", "doc_id", "start", "size", F.inline("rest"))
     met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off") == F.col("_pos")) & (F.col("term_id") == F.col("_term"))
+    left = cut(two.select(F.col("doc_id").alias("_doc")).distinct(), "left")
+    if (few := left.count()) <= BROADCAST_ROWS:  # else the join below does without, at the cost of its shuffle
+        posting = posting.join(broadcast_if_small(left, few), "_doc", "left_semi")
     return wanted.join(posting, met, "left_semi").groupBy("phrase", "doc_id", "start").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n = size - 2").select("phrase", "doc_id", "start")
 
 
