@@ -13,7 +13,7 @@ from seqloom.functions import quality
 from seqloom.operators import alignment as al
 from seqloom.operators import pairing
 from seqloom.plans.records import BATCH, BATCHED, SPANNED, reads, spanned
-from seqloom.plans.shared import cut
+from seqloom.plans.shared import cut, spread
 
 HEX, LETTERS = "0123456789abcdef", "ACGTACGTACGTACGT"
 MIN_HITS = 2
@@ -185,7 +185,7 @@ TRACKS = f"""(SELECT row_id, i, CAST(coverage AS BIGINT) AS coverage, CAST(misma
 
 def scored(spark, sf_dir, tracks: bool) -> DataFrame:
     """All records with scores for all their bases, placed ones with their alignment."""
-    df = reads(spark, sf_dir).filter("qual <> '*' and seq <> '*' and length(qual) = length(seq) and length(qual) > 0").select("row_id", "flag", "mapq", quality.scores(F.col("qual")).alias("q"))
+    df = spread(reads(spark, sf_dir).select("row_id", "flag", "mapq", "seq", "qual")).filter("qual <> '*' and seq <> '*' and length(qual) = length(seq) and length(qual) > 0").select("row_id", "flag", "mapq", quality.scores(F.col("qual")).alias("q"))
     at = _batched(spark, sf_dir) if tracks else placed(spark, sf_dir)
     base = at.select(F.col("row_id").alias("_id"), "pos", "seq", "ref", "ops")
     if tracks:
