@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import percentiles, terms, textstats
+from seqloom.llm import percentiles, queries, terms, textstats
 
 
 def rows(df):
@@ -92,3 +92,21 @@ def test_days_of_reads(spark):
     """Timestamps and clashing names beside the group do no harm."""
     df = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1), 9)], "grp string, n int, lo timestamp_ntz, field int")
     assert [tuple(r) for r in percentiles.bisect_percentiles(percentiles.value_counts(df, "grp", {"n": F.col("n")}, ["lo"]), (50,)).collect()] == [("a", "n", 50, 1, 1, 0)]
+
+
+def test_percentiles_of_small_groups(spark, tmp_path):
+    """p7_percentiles has every RNAME, p7_found those with at least 0.4 percent of all rows."""
+    rng = random.Random(4)
+    names = ["big"] * 700 + [f"c{i % 300}" for i in range(700)] + [None, "*"] * 5
+    data = [(n, rng.choice([None, 0, 7, 255, 60]), rng.choice([None, 0, -2000, 2**31 - 1, -(2**31), 5]), rng.randrange(3)) for n in names]
+    spark.createDataFrame(data, "rname string, mapq int, tlen int, load_day int").write.parquet(str(tmp_path / "reads.parquet"))
+    values = {}
+    for n, mapq, tlen, _ in data:
+        if n not in (None, "*"):
+            values.setdefault((n, "tlen"), []).extend([abs(tlen)] if tlen else [])
+            values.setdefault((n, "mapq"), []).extend([mapq] if mapq is not None and mapq <= 254 else [])
+    want = {(n, f, p): (len(v), brute_percentile(v, p)) for (n, f), v in values.items() if v for p in (10, 50, 90)}
+    got = {tuple(r)[:3]: (r["n"], r["value"]) for r in queries.p7_percentiles(spark, str(tmp_path)).collect()}
+    assert got == want and len({n for n, *_ in got}) > 250
+    found = {tuple(r) for r in queries.p7_found(spark, str(tmp_path)).collect()}
+    assert found == {k for k, (_, v) in want.items() if k[0] == "big" and (v > 1000 if k[1] == "tlen" else v < 20)}
