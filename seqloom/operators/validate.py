@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import flags
 from seqloom.functions.cigar import is_cigar, read_span
+from seqloom.plans.shared import row_numbers
 
 
 def _errors(df: DataFrame, **rules: Column) -> DataFrame:
@@ -70,13 +71,20 @@ def nm_tags(reads: DataFrame, actual: DataFrame) -> DataFrame:
     return _errors(df, MISSING_TAG_NM=F.col("given").isNull(), INVALID_TAG_NM=F.col("given") != F.col("nm"))
 
 
-def mates(reads: DataFrame) -> DataFrame:
-    """Primary paired records against their mate: names with exactly two such records. rnext = stands for the record's own rname."""
+def _paired(reads: DataFrame) -> DataFrame:
     flag = F.col("flag")
-    pairs = reads.filter(flags.has(flag, "paired") & ((flag.bitwiseAND(0x900)) == 0) & F.col("qname").isNotNull())
+    return reads.filter(flags.has(flag, "paired") & ((flag.bitwiseAND(0x900)) == 0) & F.col("qname").isNotNull())
+
+
+def mates(reads: DataFrame) -> DataFrame:
+    """Primary paired records against their mate: of each name the first in the order of row_id with the second, the third anew. rnext = stands for the record's own rname."""
     ref = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
-    rec = F.struct("row_id", "flag", "rname", "pos", ref.alias("ref"), "pnext")
-    two = pairs.groupBy("qname").agg(F.count("*").alias("n"), F.min_by(rec, "row_id").alias("a"), F.max_by(rec, "row_id").alias("b")).filter("n = 2")
+    fields = ["row_id", "flag", "rname", "pos", "ref", "pnext"]
+    pairs = _paired(reads).withColumn("ref", ref).select("qname", *fields)
+    # The name * may hold any number of rows.
+    pairs = row_numbers(pairs, ["qname"], fields, F.shiftright("row_id", 16), "rn").withColumn("pair", F.expr("(rn - 1) div 2"))
+    rec = F.struct(*fields)
+    two = pairs.groupBy("qname", "pair").agg(F.count("*").alias("n"), F.min_by(rec, "rn").alias("a"), F.max_by(rec, "rn").alias("b")).filter("n = 2")
 
     def side(x: str, y: str) -> Column:
         of = lambda f, c: F.col(f"{x}.{f}").eqNullSafe(F.col(f"{y}.{c}"))
@@ -90,10 +98,8 @@ def mates(reads: DataFrame) -> DataFrame:
 
 
 def unmatched(reads: DataFrame) -> DataFrame:
-    """Primary paired records whose mate is nowhere: names with one such record."""
-    flag = F.col("flag")
-    pairs = reads.filter(flags.has(flag, "paired") & ((flag.bitwiseAND(0x900)) == 0) & F.col("qname").isNotNull())
-    return pairs.groupBy("qname").agg(F.count("*").alias("n"), F.min("row_id").alias("row_id")).filter("n = 1").select(F.lit("MATE_NOT_FOUND").alias("type"), "row_id")
+    """Primary paired records that mates leaves over: the last of each name with an odd number of such records."""
+    return _paired(reads).groupBy("qname").agg(F.count("*").alias("n"), F.max("row_id").alias("row_id")).filter("n % 2 = 1").select(F.lit("MATE_NOT_FOUND").alias("type"), "row_id")
 
 
 def header(contigs: DataFrame, groups: DataFrame) -> DataFrame:
