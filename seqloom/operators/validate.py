@@ -33,11 +33,12 @@ def tag_values(reads: DataFrame) -> DataFrame:
 
 
 def second_bases(reads: DataFrame) -> DataFrame:
-    """E2 and U2 tags whose length differs from the read, and second bases that equal the first ones."""
+    """E2 and U2 tags whose length differs from the read, and second bases that equal the first ones. A read without bases has length 0."""
+    seq = F.coalesce(F.nullif(F.col("seq"), F.lit("*")), F.lit(""))
     value = lambda k: F.expr(f"substring(tags['{k}'], 3)")
     e2, u2 = value("E2"), value("U2")
-    same = F.exists(F.arrays_zip(F.split(F.upper("seq"), "").alias("a"), F.split(F.upper(e2), "").alias("b")), lambda x: x["a"].isNotNull() & (x["a"] == x["b"]) & ~x["a"].isin("N", ".", ""))
-    return _errors(reads, MISMATCH_READ_LENGTH_AND_E2_LENGTH=F.length(e2) != F.length("seq"), E2_BASE_EQUALS_PRIMARY_BASE=same, MISMATCH_READ_LENGTH_AND_U2_LENGTH=F.length(u2) != F.length("seq"))
+    same = F.exists(F.arrays_zip(F.split(F.upper(seq), "").alias("a"), F.split(F.upper(e2), "").alias("b")), lambda x: x["a"].isNotNull() & (x["a"] == x["b"]) & ~x["a"].isin("N", ".", ""))
+    return _errors(reads, MISMATCH_READ_LENGTH_AND_E2_LENGTH=F.length(e2) != F.length(seq), E2_BASE_EQUALS_PRIMARY_BASE=same, MISMATCH_READ_LENGTH_AND_U2_LENGTH=F.length(u2) != F.length(seq))
 
 
 def cigars(reads: DataFrame) -> DataFrame:

@@ -311,13 +311,19 @@ def validate_e2u2(spark, sf_dir):
     return validate.second_bases(df.withColumn("tags", made))
 
 
+def _own_second_bases(spark, sf_dir):
+    return validate.second_bases(reads(spark, sf_dir))
+
+
+#: The rules that the SQL twin of validate_summary holds, and those that it lacks.
 RULES = [validate_read_groups, validate_tags, validate_cigar, validate_values, validate_sort_order, validate_mates, validate_unmatched]
+FURTHER_RULES = [validate_nm, _own_second_bases]
 
 
 def validate_summary(spark, sf_dir):
     """Errors per type over all rules of records, without MATE_NOT_FOUND."""
     out = None
-    for rule in RULES:
+    for rule in RULES + FURTHER_RULES:
         out = rule(spark, sf_dir) if out is None else out.unionByName(rule(spark, sf_dir))
     return validate.summary(out, ["MATE_NOT_FOUND"])
 
