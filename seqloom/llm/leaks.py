@@ -60,7 +60,7 @@ def find_phrases(index: DataFrame, terms: DataFrame) -> DataFrame:
     met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off2") == F.col("_pos")) & (F.col("term2") == F.col("_term"))
     # Only postings of second rarest terms can be met here, and none of the frequent words.
     seconds = second.select(F.col("term2").alias("_term")).distinct()
-    two = cut(at.join(posting.join(broadcast_if_small(seconds, n), "_term", "left_semi"), met, "left_semi").select("phrase", "doc_id", "start"), "two")
+    two = cut(at.join(posting.join(broadcast_if_small(seconds, n), "_term", "left_semi"), met, "left_semi").select("phrase", "doc_id", "start").distinct(), "two")  # a document delivered twice has each start twice
     rest = ranked.select("phrase", "size", "off", "term_id", "rn").filter("rn > 2").groupBy("phrase").agg(F.max("size").alias("size"), F.collect_list(F.struct("off", "term_id")).alias("rest"))
     wanted = two.join(broadcast_if_small(rest, n), "phrase").select("phrase", "doc_id", "start", "size", F.inline("rest"))
     met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off") == F.col("_pos")) & (F.col("term_id") == F.col("_term"))

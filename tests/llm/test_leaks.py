@@ -53,3 +53,10 @@ def test_proximity(spark):
     near = {(r["doc_id"], r["n"]) for r in L.find_near(index, terms, slack=1, share=0.9).collect()}
     assert near == {(1, 6), (3, 6)}
     assert {r["doc_id"] for r in L.find_phrases(index, terms).collect()} == {3}
+
+
+def test_repeated_document_rows(spark):
+    text = "so one two three four five six seven and on"
+    d = spark.createDataFrame([(1, text), (1, text), (1, text), (2, text), (3, "one two three four five seven six")], "doc_id bigint, text string")
+    e = spark.createDataFrame([(7, "One two, three four five six seven")], "item_id bigint, text string")
+    assert sorted(map(tuple, L.leaks(d, e).collect())) == [(1, 7), (2, 7)]
