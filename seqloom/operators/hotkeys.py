@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import running_total
+from seqloom.plans.shared import attach, running_total
 
 
 def value_frequencies(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -23,9 +23,9 @@ def value_frequencies(df: DataFrame, key: str, values: Sequence[str]) -> DataFra
 def weighted_percentiles(freq: DataFrame, percents: Sequence[int]) -> DataFrame:
     """Rows (key, field, pct, value): the smallest value that pct percent of the rows do not exceed; nulls are left out."""
     freq = freq.filter(F.col("value").isNotNull())
-    totals = freq.groupBy("key", "field").agg(F.sum("n").alias("total")).select(F.col("key").alias("_k"), F.col("field").alias("_f"), "total")
+    totals = freq.groupBy("key", "field").agg(F.sum("n").alias("total"))
     ranked = running_total(freq, ["key", "field"], "value", "n", "upto")
-    joined = ranked.join(totals, F.col("key").eqNullSafe(F.col("_k")) & (F.col("field") == F.col("_f")))
+    joined = attach(ranked, totals, ["key", "field"], ["value"])
     rank = F.expr("(total * pct + 99) div 100")
     return joined.withColumn("pct", F.explode(F.array(*[F.lit(p) for p in percents]))).filter((F.col("upto") >= rank) & (F.col("upto") - F.col("n") < rank)).select("key", "field", "pct", "value")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import cut, running_total
+from seqloom.plans.shared import attach, cut, running_total
 
 
 def stretches_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_bits: int = 16) -> DataFrame:
@@ -32,10 +32,11 @@ def stretches_and_gaps(df: DataFrame, entity: str, start: str, end: str, block_b
     # No end at rank 0, no start at the last one; else a break where the start lies beyond the end by more than 1.
     bounds = cut(bounds.filter("s is null and e is not null and rank > 0 or e is null and rank = 0 or s > e + 1"), "bounds")
     last = bounds.groupBy("entity").agg(F.max("rank").alias("last"))
-    bounds = bounds.join(last, "entity").filter("s is not null or rank = last")
+    bounds = attach(bounds, last, ["entity"], ["rank"]).filter("s is not null or rank = last")
     first = bounds.filter("s is not null").select("entity", F.col("s").alias("pos"), F.col("e"), F.lit(1).alias("n"))
     starts = running_total(first, ["entity"], "pos", "n", "k", block_bits).select("entity", "k", F.col("pos").alias("s"), F.col("e").alias("gap_end"))
     final = bounds.filter("s is null").select("entity", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("bigint").alias("s"), F.col("e").alias("gap_end"))
+    # One row per entity on either side.
     count = starts.groupBy("entity").agg(F.max("k").alias("m"))
     final = final.drop("k").join(count, "entity").select("entity", (F.col("m") + 1).alias("k"), "s", "gap_end")
     both = starts.unionByName(final)

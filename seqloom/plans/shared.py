@@ -6,14 +6,18 @@ import atexit
 import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of at most ROW_BYTES each that may be broadcast: at most 6.4 MB.
+#: Measured bytes up to which a table may be broadcast: texts by their length, CELL bytes for each value beside them.
+BROADCAST_BYTES = 8 << 20
+CELL = 16
 BROADCAST_ROWS = 100_000
-ROW_BYTES = 64
+#: Parts into which the rows of one key are spread where a join on it can't be a broadcast.
+SALTS = 32
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -26,6 +30,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; an own one only where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", named)
         _written.append((spark, named))
@@ -52,8 +58,9 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _written:
+def _remove_written(kept: int = 0) -> None:
+    while len(_written) > kept:
+        spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
@@ -62,10 +69,49 @@ def _remove_written() -> None:
             return
 
 
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what was written into the shared folder within it: for sessions that run query after query."""
+    shared_folder(spark)
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        _remove_written(kept)
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of df as BROADCAST_BYTES counts them; one pass over it, so that df should be a written table."""
+    wide = [c for c, t in df.dtypes if t == "string" or t == "binary"]
+    nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
+    sizes = [F.sum(F.octet_length(c)) for c in wide] + [F.sum(F.length(F.to_json(F.struct(c)))) for c in nested]
+    n, *more = df.agg(F.count("*"), *sizes).first()
+    return n * CELL * len(df.columns) + sum(x or 0 for x in more)
+
+
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Mark a written table of narrow rows for broadcast if it has few enough; else leave it to a shuffle."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """Mark a written table for broadcast if its measured bytes allow it; else leave it to a shuffle."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
+
+
+def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], spread_by: Sequence[str]) -> DataFrame:
+    """df with the further columns of facts, which has one row per key (null is a key like any other); rows without one are left out.
+
+    A key may hold any share of df: facts are broadcast if they are small enough; else the rows of
+    a key are spread over SALTS parts by the columns spread_by, and facts are repeated for each part.
+    """
+    facts = cut(facts, "facts")
+    other = facts.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    if measured_bytes(facts) <= BROADCAST_BYTES:
+        other = F.broadcast(other)
+    else:
+        df = df.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)))
+        other = other.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+        same = same & (F.col("_salt") == F.col("_part"))
+    return df.join(other, same).drop("_salt", "_part", *[f"_k{i}" for i in range(len(keys))])
 
 
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
