@@ -1,11 +1,11 @@
-"""Evaluation texts inside training texts, by a positional inverted index."""
+"""Evaluation texts inside training texts, by a positional inverted index of all training tokens."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import BROADCAST_ROWS, broadcast_if_small, cut, spread
+from seqloom.plans.shared import attach, broadcast_if_small, cut, spread
 
 WORD = "[A-Za-z0-9]+"
 
@@ -15,74 +15,102 @@ def words(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
 
 
-def vocabulary(items: DataFrame) -> DataFrame:
-    """Rows (term, term_id) of the words of the items. Their number is bounded by the size of the evaluation set."""
-    terms = items.select(F.explode(words(F.col("text"))).alias("term")).distinct()
-    return cut(terms.withColumn("term_id", F.row_number().over(Window.orderBy("term"))), "vocabulary")
+def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The stored index: postings (term, doc_id, pos), one per word of docs, pos counting the words of a document from 0.
 
-
-def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """The stored index: postings (term_id, doc_id, pos), one per occurrence in docs of a word of the vocabulary.
-
-    pos counts all words of the document from 0. Every document is read whole. Postings of words
-    that no item has could never be asked for and are not stored. doc_id must be unique and not null.
+    Every document is read whole and every word is stored, so that the index serves any number
+    of evaluation sets. Each task writes the postings of its documents as a segment sorted by
+    term, without a shuffle: no term, however frequent, comes together in one place. path: where
+    to keep the index; without one it goes into the shared folder. doc_id must not be null.
     """
     each = spread(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "w"))
-    each = each.select("doc_id", "pos", F.lower("w").alias("term"))
-    return cut(each.join(broadcast_if_small(vocabulary), "term").select("term_id", "doc_id", "pos"), "postings")
+    segments = each.select(F.lower("w").alias("term"), "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos")
+    if path is None:
+        return cut(segments, "postings")
+    segments.write.parquet(path)
+    return docs.sparkSession.read.schema(segments.schema).parquet(path)
+
+
+def passages(items: DataFrame, length: int, least: int) -> DataFrame:
+    """Rows (item_id, w, size): the words of the items that have at least least of them, and the length of their phrases. A written table."""
+    w = items.filter("item_id is not null and text is not null").select("item_id", words(F.col("text")).alias("w"))
+    return cut(w.filter(F.size("w") >= max(least, 1)).distinct().withColumn("size", F.least(F.size("w"), F.lit(length))), "passages")
 
 
-def phrases(items: DataFrame, vocabulary: DataFrame, length: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(phrase, size, terms) and (phrase, item_id): all runs of length words of each item; the whole of a shorter item of at least least words."""
-    items = items.filter("item_id is not null").select("item_id", words(F.col("text")).alias("w")).withColumn("size", F.least(F.size("w"), F.lit(length))).filter(F.col("size") >= least)
-    runs = items.select("item_id", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("size") + 1), lambda j: F.slice("w", j, F.col("size")))).alias("run"))
-    runs = cut(runs.withColumn("phrase", F.md5(F.array_join("run", " "))), "runs")
-    flat = runs.dropDuplicates(["phrase"]).select("phrase", "size", F.posexplode("run").alias("off", "term"))
-    return flat.join(broadcast_if_small(vocabulary), "term").select("phrase", "size", "off", "term_id"), runs.select("phrase", "item_id").distinct()
+def _numbered(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, t) numbers the words of the passages; (item_id, w, size) has the numbers in place of the words. Written tables."""
+    vocabulary = cut(known.select(F.explode("w").alias("term")).distinct().withColumn("t", F.monotonically_increasing_id()), "vocabulary")
+    each = known.select("item_id", "size", F.posexplode("w").alias("q", "term")).join(broadcast_if_small(vocabulary), "term")
+    w = F.transform(F.array_sort(F.collect_list(F.struct("q", "t"))), lambda x: x["t"])
+    return vocabulary, cut(each.groupBy("item_id", "size").agg(w.alias("w")), "numbered")
 
 
-def find_phrases(index: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows (phrase, doc_id, start): exact occurrences of the phrases (phrase, size, off, term_id).
+def _leads(known: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Rows (lead, item_id, size, miss, first, last, top): by which places of a passage its phrases are found. A written table.
 
-    The postings of the rarest term of each phrase give candidate starts. They are intersected
-    with the offset-adjusted postings of the second rarest term, and what is left with those of
-    all others. A phrase with a term that no document has is dropped at once.
+    Of the size words of a phrase at most miss may be absent, so that of its miss + 1 rarest
+    places one must be met, and of its miss + 2 rarest two. top holds those places (rn, q, t);
+    phrases of a passage with the same top, which begin at its words first to last, are one lead.
     """
-    count = index.groupBy("term_id").agg(F.count("*").alias("cf"))
-    ordered = Window.partitionBy("phrase").orderBy("cf", "off")
-    ranked = cut(terms.join(count, "term_id").withColumn("rn", F.row_number().over(ordered)).withColumn("found", F.count("*").over(Window.partitionBy("phrase"))).filter("found = size").drop("found"), "ranked")
-    lead = ranked.filter("rn = 1").select("phrase", "term_id", F.col("off").alias("off1"))
-    second = ranked.filter("rn = 2").select("phrase", F.col("term_id").alias("term2"), F.col("off").alias("off2"))
-    leads = lead.join(second, "phrase", "left")
-    n = ranked.count()
-    at = index.join(broadcast_if_small(leads, n), "term_id").select("phrase", "doc_id", (F.col("pos") - F.col("off1")).alias("start"), "term2", "off2").filter("start >= 0")
-    posting = index.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("term_id").alias("_term"))
-    met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off2") == F.col("_pos")) & (F.col("term2") == F.col("_term"))
-    # Only postings of second rarest terms can be met here, and none of the frequent words.
-    seconds = second.select(F.col("term2").alias("_term")).distinct()
-    two = cut(at.join(posting.join(broadcast_if_small(seconds, n), "_term", "left_semi"), met, "left_semi").select("phrase", "doc_id", "start").distinct(), "two")  # a document delivered twice has each start twice
-    rest = ranked.select("phrase", "size", "off", "term_id", "rn").filter("rn > 2").groupBy("phrase").agg(F.max("size").alias("size"), F.collect_list(F.struct("off", "term_id")).alias("rest"))
-    wanted = two.join(broadcast_if_small(rest, n), "phrase").select("phrase", "doc_id", "start", "size", F.inline("rest"))
-    met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off") == F.col("_pos")) & (F.col("term_id") == F.col("_term"))
-    left = cut(two.select(F.col("doc_id").alias("_doc")).distinct(), "left")
-    if (few := left.count()) <= BROADCAST_ROWS:  # else the join below does without, at the cost of its shuffle
-        posting = posting.join(broadcast_if_small(left, few), "_doc", "left_semi")
-    return wanted.join(posting, met, "left_semi").groupBy("phrase", "doc_id", "start").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter("n = size - 2").select("phrase", "doc_id", "start")
-
-
-def find_near(index: DataFrame, terms: DataFrame, slack: int, share: float) -> DataFrame:
-    """Rows (phrase, doc_id, start, n): proximity matches, where at least share of the terms lie within slack words of their place.
-
-    Candidate starts come from the postings of the rarest term that the corpus has.
+    miss = F.expr(f"size - (size * {percent} + 99) div 100").cast("int")
+    each = known.withColumn("miss", miss).select("item_id", "size", "miss", F.size("w").alias("n_words"), F.posexplode("w").alias("q", "t"))
+    each = each.join(broadcast_if_small(counts), "t", "left").withColumn("cf", F.coalesce("cf", F.lit(0)))
+    starts = F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("size") + 1), F.least(F.col("q"), F.col("n_words") - F.col("size")))
+    each = each.select("item_id", "size", "miss", "q", "t", "cf", F.explode(starts).alias("j"))
+    phrase = Window.partitionBy("item_id", "j")
+    ranked = each.withColumn("rn", F.row_number().over(phrase.orderBy("cf", "q"))).withColumn("absent", F.count_if(F.col("cf") == 0).over(phrase)).filter("absent <= miss and rn <= miss + 2")
+    tops = ranked.groupBy("item_id", "size", "miss", "j").agg(F.array_sort(F.collect_list(F.struct("rn", "q", "t"))).alias("top"))
+    sets = tops.groupBy("item_id", "size", "miss", "top").agg(F.min("j").alias("first"), F.max("j").alias("last"))
+    return cut(sets.withColumn("lead", F.monotonically_increasing_id()), "leads")
+
+
+def _within(slack: int) -> Column:
+    return F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
+
+
+def find_passages(index: DataFrame, known: DataFrame, slack: int = 0, percent: int = 100) -> DataFrame:
+    """Rows (item_id, doc_id, start, n, size): the passages' phrases in the documents, with the best count n of a phrase's words in place.
+
+    A phrase is any size consecutive words of its passage. A word is in place if it stands within
+    slack words of where the passage, its first word laid at the document's word start, would have
+    it; at least percent percent of the phrase's words must be. With slack 0 and 100 percent these
+    are the exact occurrences. known: as passages() gives it.
+
+    Postings of the rarest words of each phrase give the starts in question. They are intersected
+    with the offset-adjusted postings of the next rare words; what is left, with those of all
+    other words of the phrase. No phrase with so many of its words in place can escape: see _leads.
     """
-    count = index.groupBy("term_id").agg(F.count("*").alias("cf"))
-    ranked = cut(terms.join(count, "term_id").withColumn("rn", F.row_number().over(Window.partitionBy("phrase").orderBy("cf", "off"))), "ranked")
-    n = ranked.count()
-    at = index.join(broadcast_if_small(ranked.filter("rn = 1").select("phrase", "term_id", F.col("off").alias("off1")), n), "term_id").select("phrase", "doc_id", (F.col("pos") - F.col("off1")).alias("start"))
-    wanted = at.join(broadcast_if_small(ranked.select("phrase", "size", "off", "term_id"), n), "phrase")
-    posting = index.select(F.col("doc_id").alias("_doc"), F.explode(F.sequence(F.col("pos") - slack, F.col("pos") + slack)).alias("_pos"), F.col("term_id").alias("_term")).distinct()
-    met = (F.col("doc_id") == F.col("_doc")) & (F.col("start") + F.col("off") == F.col("_pos")) & (F.col("term_id") == F.col("_term"))
-    return wanted.join(posting, met, "left_semi").groupBy("phrase", "doc_id", "start").agg(F.count("*").alias("n"), F.max("size").alias("size")).filter(F.col("n") >= F.ceil(F.col("size") * share)).select("phrase", "doc_id", "start", "n")
+    vocabulary, known = _numbered(known)
+    postings = attach(index, vocabulary, ["term"], ["doc_id", "pos"]).select("t", "doc_id", "pos")
+    counts = cut(postings.groupBy("t").agg(F.count("*").alias("cf")), "counts")
+    leads = _leads(known, counts, percent)
+    at = F.expr("explode(filter(top, x -> x.rn <= miss + 1))").alias("x")
+    seeds = leads.select("lead", "top", at).select("lead", F.col("x.t").alias("t"), F.col("x.q").alias("q"), F.expr("filter(top, y -> y.q <> x.q)").alias("others"))
+    met = attach(postings, seeds, ["t"], ["doc_id", "pos"])
+    met = met.select("lead", "doc_id", "others", (F.col("pos") - F.col("q")).alias("at"))
+    if slack:
+        met = met.withColumn("_d", _within(slack)).withColumn("at", F.col("at") + F.col("_d")).drop("_d").distinct()
+    # Only postings of the next rare words can be met here, and none of the frequent ones.
+    met = met.select("lead", "doc_id", "at", F.explode_outer("others").alias("y")).select("lead", "doc_id", "at", F.col("y.t").alias("t"), (F.col("at") + F.col("y.q")).alias("p"), F.col("y").isNull().alias("alone"))
+    if slack:
+        met = met.withColumn("_d", _within(slack)).withColumn("p", F.col("p") + F.col("_d")).drop("_d")
+    next_rare = broadcast_if_small(cut(leads.select(F.explode("top.t").alias("_t")).distinct(), "rare"))
+    there = postings.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("t").alias("_t"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("p") == F.col("_pos")) & (F.col("t") == F.col("_t"))
+    two = met.filter("not alone").join(there.join(next_rare, "_t", "left_semi"), same, "left_semi").unionByName(met.filter("alone")).select("lead", "doc_id", "at")
+    # A document delivered twice has each start twice.
+    two = attach(two, leads.select("lead", "item_id", "first", "last", "size"), ["lead"], ["doc_id", "at"])
+    places = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(first, last + size - 1)"))))
+    two = cut(two.groupBy("item_id", "doc_id", "at").agg(places.alias("places")), "starts")
+    wanted = attach(two, known, ["item_id"], ["doc_id", "at"]).select("item_id", "doc_id", "at", "size", "w", F.explode("places").alias("q"))
+    wanted = wanted.select("item_id", "doc_id", "at", "size", "q", F.expr("w[q]").alias("t"), (F.col("at") + F.col("q")).alias("p"))
+    if slack:
+        wanted = wanted.withColumn("_d", _within(slack)).withColumn("p", F.col("p") + F.col("_d")).drop("_d")
+    left = broadcast_if_small(cut(two.select(F.col("doc_id").alias("_doc")).distinct(), "left"))
+    hits = wanted.join(there.join(left, "_doc", "left_semi"), same, "left_semi")
+    hits = hits.groupBy("item_id", "doc_id", "at", "size").agg(F.array_sort(F.collect_set("q")).alias("qs"))
+    best = F.expr("array_max(transform(qs, a -> size(filter(qs, b -> b between a and a + size - 1))))")
+    return hits.withColumn("n", best).filter(F.col("n") * 100 >= F.col("size") * percent).select("item_id", "doc_id", F.col("at").alias("start"), "n", "size")
 
 
 def leaks(docs: DataFrame, items: DataFrame, length: int = 12, least: int = 6) -> DataFrame:
@@ -90,11 +118,15 @@ def leaks(docs: DataFrame, items: DataFrame, length: int = 12, least: int = 6) -
 
     Items of fewer than least words, null and empty texts are no cases. Words as in words().
     docs: doc_id, text; items: item_id, text; further columns are ignored. Rows with null ids are
-    left out; a doc_id delivered twice must carry one text.
+    left out; a doc_id or item_id delivered twice must carry one text. Empty tables give no rows.
+    """
+    return find_passages(build_index(docs), passages(items, length, least)).select("doc_id", "item_id").distinct()
+
+
+def near_leaks(docs: DataFrame, items: DataFrame, length: int = 12, least: int = 6, slack: int = 1, percent: int = 90) -> DataFrame:
+    """Rows (doc_id, item_id, n): of a phrase of the item at least percent percent of the words stand within slack words of their place; n is the most that do.
+
+    Phrases, odd cases and ignored columns as for leaks().
     """
-    items = items.select("item_id", "text").filter("text is not null")
-    docs = docs.select("doc_id", "text").filter("text is not null")
-    known = vocabulary(items)
-    terms, of_item = phrases(items, known, length, least)
-    hits = find_phrases(build_index(docs, known), terms).select("phrase", "doc_id").distinct()
-    return hits.join(F.broadcast(of_item) if of_item.count() <= 100_000 else of_item, "phrase").select("doc_id", "item_id").distinct()
+    found = find_passages(build_index(docs), passages(items, length, least), slack, percent)
+    return found.groupBy("doc_id", "item_id").agg(F.max("n").cast("bigint").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.plans.shared import broadcast_if_small, cut
 
-SECTIONS = 16
+SECTIONS = 256
 
 
 def value_counts(df: DataFrame, group: str, fields: Mapping[str, Column], parts: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +34,7 @@ def bisect_percentiles(counts: DataFrame, percents: Sequence[int], tolerance: in
 
     counts: grp, field, value, n (merge_counts). Each group and percentile keeps an interval that
     holds its target. A pass counts the rows below the SECTIONS - 1 equidistant midpoints of each
-    interval, four bisections at once, and narrows it to the section of the target rank. Passes end
+    interval, eight bisections at once, and narrows it to the section of the target rank. Passes end
     when no interval is wider than tolerance + 1; value is then off by at most error, 0 if
     tolerance is 0. The number of passes follows from the widest range, not from the rows. Values
     must lie within +-2**62. A null group is a group of its own; no counts give no rows.
@@ -43,11 +43,10 @@ def bisect_percentiles(counts: DataFrame, percents: Sequence[int], tolerance: in
     each = F.explode(F.array(*[F.lit(p) for p in percents]))
     at = counts.groupBy("grp", "field").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")).withColumn("pct", each)
     at = cut(at.select("grp", "field", "pct", "total", F.expr("(total * pct + 99) div 100").alias("rank"), F.lit(0).cast("bigint").alias("below"), "lo", "hi"), "intervals")
-    size = at.count()
     wide = at.agg(F.max(F.col("hi") - F.col("lo"))).first()[0] or 0
     while wide > tolerance:
         steps = at.withColumn("step", F.expr(f"(hi - lo) div {SECTIONS} + 1")).withColumnsRenamed({"grp": "_grp", "field": "_field"})
-        inside = counts.join(broadcast_if_small(steps, size), F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("field") == F.col("_field")) & F.col("value").between(F.col("lo"), F.col("hi")))
+        inside = counts.join(broadcast_if_small(steps), F.col("grp").eqNullSafe(F.col("_grp")) & (F.col("field") == F.col("_field")) & F.col("value").between(F.col("lo"), F.col("hi")))
         sections = inside.groupBy("_grp", "_field", "pct", "total", "rank", "below", "lo", "hi", "step", F.expr("(value - lo) div step").alias("i")).agg(F.sum("n").alias("n"))
         upto = F.col("below") + F.sum("n").over(Window.partitionBy("_grp", "_field", "pct").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
         hit = sections.withColumn("upto", upto).filter("upto >= rank and upto - n < rank")

@@ -17,6 +17,9 @@ PERCENTS = (10, 50, 90)
 SHARE_PER_MILLE = 4
 HIGH_TLEN, LOW_MAPQ = 1000, 20
 PHRASE, LEAST_WORDS = 12, 6
+SLACK, IN_PLACE = 1, 90
+#: A score of 12 stands for tail probabilities that multiply to one in 160,000.
+FAR_OUT = 12.0
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,18 +92,18 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For every RNAME, however small; only p7_found has a least share. The SQL twin below still has it, so it holds a part of these rows."""
+    """For every RNAME, however small; only p7_found has a least share."""
     return _percentiles(_placed(spark, sf_dir)).select(F.col("grp").alias("rname"), "field", F.col("pct").cast("bigint").alias("pct"), "n", "value")
 
 
-P7_PERCENTILES_SQL = f"""
-WITH big AS (SELECT rname FROM reads WHERE rname IS NOT NULL AND rname <> '*' GROUP BY 1 HAVING count(*) * 1000 >= {SHARE_PER_MILLE} * (SELECT count(*) FROM reads)),
-v AS (SELECT rname, 'tlen' AS field, abs(CAST(tlen AS BIGINT)) AS value FROM reads JOIN big USING (rname) WHERE tlen <> 0
-  UNION ALL SELECT rname, 'mapq', mapq FROM reads JOIN big USING (rname) WHERE mapq BETWEEN 0 AND 254),
+P7_PERCENTILES_SQL = """
+WITH v AS (SELECT rname, 'tlen' AS field, abs(CAST(tlen AS BIGINT)) AS value FROM reads WHERE rname IS NOT NULL AND rname <> '*' AND tlen <> 0
+  UNION ALL SELECT rname, 'mapq', mapq FROM reads WHERE rname IS NOT NULL AND rname <> '*' AND mapq BETWEEN 0 AND 254),
 k AS (SELECT *, row_number() OVER (PARTITION BY rname, field ORDER BY value) rn, count(*) OVER (PARTITION BY rname, field) n FROM v)
 SELECT rname, field, CAST(pct AS BIGINT) AS pct, n, CAST(value AS BIGINT) AS value FROM k, (VALUES (10), (50), (90)) p(pct) WHERE rn = (pct * n + 99) // 100
 """
-P7_SQL = f"SELECT rname, field, pct FROM ({P7_PERCENTILES_SQL}) WHERE field = 'tlen' AND value > {HIGH_TLEN} OR field = 'mapq' AND value < {LOW_MAPQ}"
+P7_LARGE_SQL = f"SELECT rname FROM reads GROUP BY rname HAVING count(*) * 1000 >= {SHARE_PER_MILLE} * (SELECT count(*) FROM reads)"
+P7_SQL = f"SELECT rname, field, pct FROM ({P7_PERCENTILES_SQL}) WHERE rname IN ({P7_LARGE_SQL}) AND (field = 'tlen' AND value > {HIGH_TLEN} OR field = 'mapq' AND value < {LOW_MAPQ})"
 
 
 def _vocabulary() -> str:
@@ -135,6 +138,22 @@ SELECT DISTINCT doc_id, item_id FROM g JOIN p USING (n, k)
 """
 
 
+def p9_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proximity matches: nine tenths of the words of a phrase within a word of their place, and the most that are."""
+    return leaking.near_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), PHRASE, LEAST_WORDS, SLACK, IN_PLACE)
+
+
+P9_NEAR_SQL = f"""
+WITH d AS (SELECT DISTINCT doc_id, p, w[p] AS term FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) p FROM (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) w FROM documents WHERE text IS NOT NULL))),
+i AS (SELECT item_id, w, least(len(w), {PHRASE}) AS n FROM (SELECT item_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) w FROM eval_items WHERE text IS NOT NULL) WHERE len(w) >= {LEAST_WORDS}),
+q AS (SELECT item_id, len(w) AS size, n, q, w[q] AS term FROM (SELECT *, unnest(range(1, len(w) + 1)) q FROM i)),
+m AS (SELECT DISTINCT item_id, doc_id, p - q + s AS a, q, size, n FROM q JOIN d USING (term), (SELECT unnest(range(-{SLACK}, {SLACK} + 1)) s)),
+c AS (SELECT item_id, doc_id, a, size, n, list(q) AS qs FROM m GROUP BY ALL HAVING count(*) * 100 >= n * {IN_PLACE}),
+b AS (SELECT item_id, doc_id, n, len(list_filter(qs, lambda x: x BETWEEN j AND j + n - 1)) AS k FROM (SELECT *, unnest(range(1, size - n + 2)) j FROM c))
+SELECT doc_id, item_id, CAST(max(k) AS BIGINT) AS n FROM b WHERE k * 100 >= n * {IN_PLACE} GROUP BY doc_id, item_id
+"""
+
+
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = cut(textstats.text_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words")), "statistics")
     return cut(textstats.outlier_scores(stats), "scored")
@@ -149,6 +168,11 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("doc_id", "lang", "words", "n_chars", "n_symbols", "n_lines", "n_ended", "n_common", F.round("outlier_score", 6).alias("outlier_score"))
 
 
+def p10_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that lie far out in their language, by the scores alone."""
+    return textstats.outliers(_scored(spark, sf_dir), FAR_OUT).select("doc_id", "lang", F.round("outlier_score", 6).alias("outlier_score"))
+
+
 P10_COUNTS_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(lower(split_part(trim(lang), '-', 1)), 'und') AS lang, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(lower(t), '[ \t\r\n]+'), lambda x: x <> '') AS w, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS l FROM t)
@@ -168,9 +192,10 @@ SELECT doc_id, lang, words, n_chars, n_symbols, n_lines, n_ended, n_common, roun
 
 QUERIES = {
     "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_percentiles": p7_percentiles,
-    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p10_found": p10_found, "p10_statistics": p10_statistics,
+    "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_outliers": p10_outliers,
 }
 SQL = {
     "p4_found": f"SELECT field, term, mark FROM ({P4_TERMS_SQL}) WHERE mark IS NOT NULL", "p4_terms": P4_TERMS_SQL, "p6_found": P6_SQL, "p6_share": P6_SHARE_SQL, "p7_found": P7_SQL, "p7_percentiles": P7_PERCENTILES_SQL,
-    "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p10_found": P10_SQL, "p10_statistics": P10_STATISTICS_SQL,
+    "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_near": P9_NEAR_SQL, "p10_found": P10_SQL, "p10_statistics": P10_STATISTICS_SQL,
+    "p10_outliers": f"SELECT doc_id, lang, outlier_score FROM ({P10_STATISTICS_SQL}) WHERE outlier_score >= {FAR_OUT}",
 }

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.plans.shared import cut, spread
+from seqloom.plans.shared import broadcast_if_small, cut, spread
 
 # Fixed values of the statistics: what separates words, ASCII punctuation, marks that end a sentence.
 SPACE = " \\t\\r\\n"
@@ -28,7 +28,8 @@ def text_statistics(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id",
     Null, empty and blank texts have 0 everywhere. lang is brought to lower case without region;
     null is und. Repeated rows stay repeated, other columns are left out.
     """
-    words = [r[0] for r in common.select("word").distinct().limit(SET_WORDS + 1).collect() if r[0]]
+    common = common.select("word").filter("word is not null and word <> ''").distinct()
+    words = [r[0] for r in common.limit(SET_WORDS + 1).collect()]
     docs = spread(docs.select(doc_id, text, lang))
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.lower(F.substring_index(F.trim(F.col(lang)), "-", 1)), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     # The array of words is used twice; as a column of its own it is made once.
@@ -47,7 +48,7 @@ def text_statistics(docs: DataFrame, common: DataFrame, doc_id: str = "doc_id",
     else:
         each = docs.withColumn("_row", F.struct(F.monotonically_increasing_id(), "doc_id")).select("_row", "doc_id", "lang", *counts, "_w")
         each = cut(each, "words")
-        hits = each.select("_row", F.explode("_w").alias("word")).join(common.select("word").distinct(), "word").groupBy("_row").agg(F.count("*").alias("n_common"))
+        hits = each.select("_row", F.explode("_w").alias("word")).join(broadcast_if_small(cut(common, "common")), "word").groupBy("_row").agg(F.count("*").alias("n_common"))
         out = each.drop("_w").join(hits, "_row", "left").drop("_row").withColumn("n_common", F.coalesce("n_common", F.lit(0).cast("bigint")))
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return out.select(
@@ -73,23 +74,38 @@ def exact_ranks(df: DataFrame, group: str, statistics: Sequence[str]) -> DataFra
     return ranged.join(sums, ["stat", "grp", "part"]).select("stat", "grp", "value", "n", (F.col("_offset") + local).alias("at_most"), "total")
 
 
-def outlier_scores(stats: DataFrame, group: str = "lang", statistics: Sequence[str] = STATISTICS) -> DataFrame:
+def outlier_scores(stats: DataFrame, group: str = "lang", statistics: Sequence[str] = STATISTICS, row: str = "doc_id") -> DataFrame:
     """stats with outlier_score: minus the sum of the logarithms of the two-sided tail probabilities of its statistics within its group.
 
     The tail probability of a value is twice the smaller share of the group's rows that lie at
     or below and at or above it, at most 1. Groups and values must not be null. A group of one
     row scores 0; an empty table gives no row.
+
+    Ranks meet the rows by group and value. Values that hold more than a thousandth of the rows,
+    at most a thousand per statistic, are broadcast and their rows spread by the column row, so
+    that no value, however common, comes together in one task.
     """
     ranks = cut(exact_ranks(stats, group, statistics), "ranks")
+    limit = stats.count() // 1000
     out, score = stats, F.lit(0.0)
     for s in statistics:
         tail = F.least(F.lit(1.0), 2 * F.least("at_most", F.col("total") - F.col("at_most") + F.col("n")) / F.col("total"))
-        one = ranks.filter(F.col("stat") == s).select(F.col("grp").alias(group), F.col("value").alias(s), tail.alias(f"_{s}"))
-        out = out.join(one, [group, s])
+        one = ranks.filter(F.col("stat") == s).select(F.col("grp").alias("_g"), F.col("value").alias("_v"), tail.alias("_tail"), "n")
+        same = (F.col(group) == F.col("_g")) & (F.col(s) == F.col("_v"))
+        heavy = one.filter(F.col("n") > limit).select("_g", "_v", F.col("_tail").alias("_often"))
+        light = one.filter(F.col("n") <= limit).select("_g", "_v", F.col("_tail").alias("_seldom"), F.lit(0).cast("bigint").alias("_z"))
+        out = out.join(F.broadcast(heavy), same, "left").drop("_g", "_v").withColumn("_part", F.when(F.col("_often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(row), F.lit(1000))))
+        out = out.join(broadcast_if_small(light), same & (F.col("_part") == F.col("_z")), "left").drop("_g", "_v", "_z", "_part")
+        out = out.withColumn(f"_{s}", F.coalesce("_often", "_seldom")).drop("_often", "_seldom")
         score = score - F.log(F.col(f"_{s}"))
     return out.withColumn("outlier_score", score).select(*stats.columns, "outlier_score")
 
 
+def outliers(scored: DataFrame, least: float) -> DataFrame:
+    """The rows whose scores lie at least so far out among those of their group: junk of any kind, and whatever else is unlike the rest."""
+    return scored.filter(F.col("outlier_score") >= least)
+
+
 def prose(scored: DataFrame) -> DataFrame:
     """The rows of natural prose, by the fixed bounds on the counts; scored as outlier_scores gives it."""
     bounds = "words >= 20 and n_chars >= 3 * words and n_chars <= 8 * words and n_symbols * 10 <= n_chars and n_ended * 10 >= n_lines and n_common * 4 >= words"

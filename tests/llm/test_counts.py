@@ -5,9 +5,11 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from seqloom.llm import percentiles, queries, terms, textstats
+from seqloom.plans import shared
 
 
 def rows(df):
@@ -88,6 +90,35 @@ def test_text_statistics(spark):
     assert textstats.outlier_scores(textstats.text_statistics(docs.limit(0), common.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("limit", range(9))
+def test_common_words_around_the_limit(spark, limit, monkeypatch):
+    """Null and empty entries don't count against the limit, and no word beyond it is lost."""
+    monkeypatch.setattr(textstats, "SET_WORDS", limit)
+    known = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    docs = spark.createDataFrame([(1, " ".join(known), "en"), (2, "aa zz AA", "en"), (3, None, "en")], "doc_id bigint, text string, lang string")
+    common = spark.createDataFrame([(w,) for w in [None, "", *known, None, "aa"]], "word string").coalesce(1)
+    assert sorted((r["doc_id"], r["n_common"]) for r in textstats.text_statistics(docs, common).collect()) == [(1, 6), (2, 2), (3, 0)]
+
+
+def _prose(rng):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) if rng.random() < 0.6 else rng.choice(["the", "of", "and"]) for _ in range(rng.randrange(40, 90))) + "."
+
+
+def test_planted_junk_lies_far_out(spark, monkeypatch):
+    rng = random.Random(6)
+    docs = [(i, _prose(rng) if rng.random() < 0.9 else "ok.", "en") for i in range(1500)]
+    junk = [";".join(f"a{i}=({i}){{}}" for i in range(400)), "| 1 | 2 | 3 |\n" * 200, "x" * 5_000, "0x" + "af09" * 900 + " !", "--++** " * 900]
+    docs += [(10_000 + i, t, "en") for i, t in enumerate(junk)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    stats = textstats.text_statistics(df, spark.createDataFrame([("the",), ("of",), ("and",)], "word string"))
+    found = {r["doc_id"] for r in textstats.outliers(textstats.outlier_scores(stats), queries.FAR_OUT).collect()}
+    assert len([x for x in found if x >= 10_000]) >= 0.8 * len(junk) and len(found) < 0.03 * len(docs)
+    scores = lambda: sorted((r["doc_id"], round(r["outlier_score"], 9)) for r in textstats.outlier_scores(stats).collect())
+    small = scores()
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)  # the shuffled side of the joins
+    assert scores() == small
+
+
 def test_days_of_reads(spark):
     """Timestamps and clashing names beside the group do no harm."""
     df = spark.createDataFrame([("a", 1, dt.datetime(2024, 1, 1), 9)], "grp string, n int, lo timestamp_ntz, field int")

@@ -3,7 +3,10 @@
 import random
 import re
 
+import pytest
+
 from seqloom.llm import leaks as L
+from seqloom.plans import shared
 
 WORD = re.compile("[A-Za-z0-9]+")
 
@@ -44,15 +47,55 @@ def test_against_brute_force(spark):
     assert L.leaks(d, e.limit(0), 5, 3).count() == 0
 
 
-def test_proximity(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta")], "item_id bigint, text string")
-    docs = spark.createDataFrame([(1, "x alpha beta y gamma delta epsilon zeta"), (2, "alpha beta gamma"), (3, "alpha beta gamma delta epsilon zeta")], "doc_id bigint, text string")
-    known = L.vocabulary(items)
-    terms, _ = L.phrases(items, known, 6, 6)
-    index = L.build_index(docs, known)
-    near = {(r["doc_id"], r["n"]) for r in L.find_near(index, terms, slack=1, share=0.9).collect()}
-    assert near == {(1, 6), (3, 6)}
-    assert {r["doc_id"] for r in L.find_phrases(index, terms).collect()} == {3}
+@pytest.mark.parametrize("least", [1, 2])
+def test_short_phrases(spark, least):
+    docs = [(1, "foo bar baz"), (2, "bar"), (3, "baz foo"), (4, "x foo x bar")]
+    items = [(1, "bar"), (2, "foo, bar"), (3, "foo bar baz"), (4, "none"), (5, "bar bar")]
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(map(tuple, L.leaks(d, e, 5, least).collect())) == brute(docs, items, 5, least)
+
+
+def brute_near(docs, items, length, least, slack, percent):
+    out = {}
+    for item, text in items:
+        w = words(text)
+        n = min(len(w), length)
+        if n < least:
+            continue
+        for doc, t in docs:
+            d = words(t)
+            there = lambda at, term: any(0 <= p < len(d) and d[p] == term for p in range(at - slack, at + slack + 1))
+            for at in range(-len(w) - slack, len(d) + slack + 1):
+                place = [there(at + q, term) for q, term in enumerate(w)]
+                best = max(sum(place[j : j + n]) for j in range(len(w) - n + 1))
+                if best * 100 >= n * percent:
+                    out[doc, item] = max(best, out.get((doc, item), 0))
+    return sorted((*k, n) for k, n in out.items())
+
+
+@pytest.mark.parametrize(("slack", "percent", "least"), [(0, 80, 1), (1, 80, 3), (2, 60, 4), (1, 100, 5)])
+def test_near_against_brute_force(spark, slack, percent, least):
+    rng = random.Random(slack * 100 + percent)
+    voc = ["the", "of", "a"] + [f"w{i}" for i in range(20)]
+    items = [(i, " ".join(rng.choices(voc, k=rng.choice([1, 4, 5, 6, 8, 10])))) for i in range(14)] + [(50, "alpha beta gamma delta epsilon zeta")]
+    docs = [(500, "x alpha beta y gamma delta epsilon zeta"), (501, "alpha beta gamma delta epsilon eta"), (502, "omega beta gamma delta epsilon zeta"), (503, None)]
+    for i in range(40):
+        w = words(rng.choice(items)[1])
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(w) + 1)
+            w = w[:k] + rng.choices(voc, k=rng.randrange(2)) + w[k + rng.randrange(2) :]
+        docs.append((i, " ".join(rng.choices(voc, k=rng.randrange(6)) + w + rng.choices(voc, k=rng.randrange(6)))))
+    d, e = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert sorted(map(tuple, L.near_leaks(d, e, 6, least, slack, percent).collect())) == brute_near(docs, items, 6, least, slack, percent)
+
+
+def test_one_index_for_several_sets(spark, tmp_path, monkeypatch):
+    docs = [(1, "one two three four"), (2, "four five six"), (3, "")]
+    index = L.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"), f"{tmp_path}/index")
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", -1)  # the shuffled side of every join
+    for items in ([(1, "two three")], [(2, "five six"), (3, "four five six"), (4, "six seven")]):
+        known = L.passages(spark.createDataFrame(items, "item_id bigint, text string"), 3, 2)
+        assert sorted((r["doc_id"], r["item_id"]) for r in L.find_passages(index, known).collect()) == brute(docs, items, 3, 2)
 
 
 def test_repeated_document_rows(spark):
