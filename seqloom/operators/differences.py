@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from seqloom.plans.shared import broadcast_if_small, cut, digest
 
-SUMS = ("n", "x", "s")
-
-
 def _records(df: DataFrame, key: str, fields: Sequence[str], version: str | None, leaf_bits: int) -> DataFrame:
     """key, leaf range, version and digest of each delivered row, and its fields."""
     own = F.col(version) if version else F.lit(None).cast("timestamp")
@@ -20,55 +17,36 @@ def _records(df: DataFrame, key: str, fields: Sequence[str], version: str | None
 
 
 def _standing(records: DataFrame) -> DataFrame:
-    """One digest per key: that of the latest version, ties broken by the greater digest."""
-    return records.groupBy("node", "key").agg(F.max("rec").alias("rec")).select("node", "key", "rec")
+    """One digest per key: that of the latest version, ties broken by the greater digest. Keys of one leaf range stay together."""
+    return records.select("node", "key", "rec").repartition("node").groupBy("node", "key").agg(F.max("rec").alias("rec"))
 
 
-def _checksums(standing: DataFrame) -> DataFrame:
+def _leaves(standing: DataFrame, side: str) -> DataFrame:
     h = digest(F.col("key"), F.col("rec.h"))
-    return standing.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFF)).alias("s"))
-
-
-def _parents(level: DataFrame, bits: int) -> DataFrame:
-    return level.groupBy(F.shiftright("node", bits).alias("node")).agg(F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
-
-
-def _mismatched(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Nodes whose checksums differ, or that one side lacks."""
-    b = right.select(F.col("node").alias("r_node"), *[F.col(c).alias(f"r_{c}") for c in SUMS])
-    same = F.lit(True)
-    for c in SUMS:
-        same = same & F.col(c).eqNullSafe(F.col(f"r_{c}"))
-    return left.join(b, F.col("node").eqNullSafe(F.col("r_node")), "full").filter(~same).select(F.coalesce("node", "r_node").alias("node"))
-
-
-def _within(df: DataFrame, nodes: DataFrame, bits: int = 0) -> DataFrame:
-    """Rows of df below the given nodes."""
-    up = F.shiftright("node", bits) if bits else F.col("node")
-    return df.join(nodes.withColumnRenamed("node", "_up"), up.eqNullSafe(F.col("_up")), "left_semi")
+    return standing.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h.bitwiseAND(0xFFFF)).alias("s")).select("node", F.struct("n", "x", "s").alias(side))
 
 
-def differing_ranges(left: DataFrame, right: DataFrame, fan_bits: int = 4) -> DataFrame:
-    """Leaf ranges whose checksums differ, found from the top down.
+def differing_ranges(leaves: DataFrame, fan_bits: int = 4) -> DataFrame:
+    """Leaf ranges (node) whose checksums differ, found from the top down; a written table.
 
-    left and right are the leaf checksums (node, n, x, s) of the two sides. Each step splits
-    the ranges still in question into 2**fan_bits parts, fan_bits bisections at once, and
-    compares only the parts below a mismatched range.
+    leaves: node and the checksums l and r of either side (n, x, s; null where a side has no
+    record). The levels above are summed up once each, on the way up. Each step down splits the
+    ranges still in question into 2**fan_bits parts, fan_bits bisections at once, and compares
+    only the parts below a mismatched range.
     """
-    levels = [(left, right)]
-    low, high = left.unionByName(right).agg(F.min("node"), F.max("node")).first()
-    span = max(high if high is not None else 0, -(low or 0) - 1, 0)
+    low, high = leaves.agg(F.min("node"), F.max("node")).first()
+    span, levels = max(high if high is not None else 0, -(low or 0) - 1, 0), [leaves]
     while span > 0:
-        levels.append(tuple(_parents(x, fan_bits) for x in levels[-1]))
+        sums = [F.struct(F.sum(f"{x}.n").alias("n"), F.bit_xor(f"{x}.x").alias("x"), F.sum(f"{x}.s").alias("s")).alias(x) for x in "lr"]
+        levels.append(cut(levels[-1].groupBy(F.shiftright("node", fan_bits).alias("node")).agg(*sums), "level"))
         span >>= fan_bits
+    differ = ~(F.col("l.n").eqNullSafe(F.col("r.n")) & F.col("l.x").eqNullSafe(F.col("r.x")) & F.col("l.s").eqNullSafe(F.col("r.s")))
     wrong = None
-    for a, b in reversed(levels):
+    for level in reversed(levels):
         if wrong is not None:
-            a, b = _within(a, wrong, fan_bits), _within(b, wrong, fan_bits)
-        wrong = cut(_mismatched(a, b), "ranges")
-        if not (n := wrong.count()):
-            break
-        wrong = broadcast_if_small(wrong, n)
+            up = F.shiftright("node", fan_bits)
+            level = level.join(broadcast_if_small(wrong).withColumnRenamed("node", "_up"), up.eqNullSafe(F.col("_up")), "left_semi")
+        wrong = cut(level.filter(differ).select("node"), "ranges")
     return wrong
 
 
@@ -86,8 +64,11 @@ def copy_differences(left: DataFrame, right: DataFrame, key: str, fields: Sequen
     fields fetched.
     """
     sides = [_records(df, key, fields, v, leaf_bits) for df, v in zip((left, right), version, strict=True)]
-    wrong = differing_ranges(*[cut(_checksums(_standing(x)), "leaves") for x in sides], fan_bits)
-    a, b = (_standing(_within(x, wrong)).select(F.col("key").alias(f"{s}_key"), F.col("rec.h").alias(f"{s}_h"), F.lit(True).alias(s)) for s, x in zip("lr", sides, strict=True))
+    l, r = (_leaves(_standing(x), s) for s, x in zip("lr", sides, strict=True))
+    leaves = l.withColumnRenamed("node", "_l").join(r.withColumnRenamed("node", "_r"), F.col("_l").eqNullSafe(F.col("_r")), "full")
+    wrong = broadcast_if_small(differing_ranges(cut(leaves.select(F.coalesce("_l", "_r").alias("node"), "l", "r"), "leaves"), fan_bits)).withColumnRenamed("node", "_up")
+    within = [x.join(wrong, F.col("node").eqNullSafe(F.col("_up")), "left_semi") for x in sides]
+    a, b = (_standing(x).select(F.col("key").alias(f"{s}_key"), F.col("rec.h").alias(f"{s}_h"), F.lit(True).alias(s)) for s, x in zip("lr", within, strict=True))
     pairs = a.join(b, F.col("l_key").eqNullSafe(F.col("r_key")), "full").filter(F.col("l").isNull() | F.col("r").isNull() | (F.col("l_h") != F.col("r_h")))
     keys = cut(pairs.select(F.when(F.col("l"), F.col("l_key")).otherwise(F.col("r_key")).alias("key"), F.coalesce("l", F.lit(False)).alias("l"), F.coalesce("r", F.lit(False)).alias("r")), "keys")
     lone = keys.filter(~(F.col("l") & F.col("r"))).select("key", F.when(F.col("l"), f"missing_in_{names[1]}").otherwise(f"missing_in_{names[0]}").alias("field"))
