@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 #: Measured bytes up to which a table may be broadcast: texts by their length, CELL bytes for each value beside them.
 BROADCAST_BYTES = 8 << 20
 CELL = 16
-BROADCAST_ROWS = 100_000
 #: Parts into which the rows of one key are spread where a join on it can't be a broadcast.
 SALTS = 32
 
@@ -89,7 +88,7 @@ def measured_bytes(df: DataFrame) -> int:
     return n * CELL * len(df.columns) + sum(x or 0 for x in more)
 
 
-def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Mark a written table for broadcast if its measured bytes allow it; else leave it to a shuffle."""
     return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
