@@ -61,6 +61,20 @@ SELECT row_id, min(i) AS span_start, max(i) + {SPAN} - 1 AS span_end FROM r GROU
 """
 
 
+def p6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's maximal repeats, with the place of the representative of their class and the number of records that share them."""
+    reads = table(spark, sf_dir, "reads").select("row_id", F.upper("seq").alias("seq")).filter("seq <> '*'")
+    return spans.maximal_repeats(reads, "row_id", "seq", SPAN)
+
+
+P6_REPEATS_SQL = f"""
+WITH w AS (SELECT row_id, i, substr(upper(seq), i, {SPAN}) k FROM (SELECT row_id, seq, unnest(range(1, length(seq) - {SPAN} + 2)) i FROM reads WHERE seq <> '*' AND length(seq) >= {SPAN})),
+c AS (SELECT k, min(row_id) AS r, arg_min(i, row_id * 100000 + i) AS ri, count(DISTINCT row_id) AS n_rows FROM w GROUP BY k HAVING count(DISTINCT row_id) > 1),
+g AS (SELECT row_id, i, r, ri, n_rows, i - row_number() OVER (PARTITION BY row_id, r, ri - i, n_rows ORDER BY i) AS run FROM w JOIN c USING (k))
+SELECT row_id, min(i) AS span_start, max(i) + {SPAN} - 1 AS span_end, r AS class_row_id, min(ri) AS class_start, n_rows FROM g GROUP BY row_id, r, ri - i, n_rows, run
+"""
+
+
 def p6_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of each record's bases are shared with other records; records without any have 0."""
     reads = table(spark, sf_dir, "reads").filter("seq is not null and seq <> '*'").select("row_id", F.length("seq").cast("bigint").alias("n_bases"))
@@ -191,11 +205,11 @@ SELECT doc_id, lang, words, n_chars, n_symbols, n_lines, n_ended, n_common, roun
 """
 
 QUERIES = {
-    "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_share": p6_share, "p7_found": p7_found, "p7_percentiles": p7_percentiles,
+    "p4_found": p4_found, "p4_terms": p4_terms, "p6_found": p6_found, "p6_repeats": p6_repeats, "p6_share": p6_share, "p7_found": p7_found, "p7_percentiles": p7_percentiles,
     "p8_ids": p8_ids, "p8_roundtrip": p8_roundtrip, "p9_found": p9_found, "p9_near": p9_near, "p10_found": p10_found, "p10_statistics": p10_statistics, "p10_outliers": p10_outliers,
 }
 SQL = {
-    "p4_found": f"SELECT field, term, mark FROM ({P4_TERMS_SQL}) WHERE mark IS NOT NULL", "p4_terms": P4_TERMS_SQL, "p6_found": P6_SQL, "p6_share": P6_SHARE_SQL, "p7_found": P7_SQL, "p7_percentiles": P7_PERCENTILES_SQL,
+    "p4_found": f"SELECT field, term, mark FROM ({P4_TERMS_SQL}) WHERE mark IS NOT NULL", "p4_terms": P4_TERMS_SQL, "p6_found": P6_SQL, "p6_repeats": P6_REPEATS_SQL, "p6_share": P6_SHARE_SQL, "p7_found": P7_SQL, "p7_percentiles": P7_PERCENTILES_SQL,
     "p8_roundtrip": P8_ROUNDTRIP_SQL, "p9_found": P9_SQL, "p9_near": P9_NEAR_SQL, "p10_found": P10_SQL, "p10_statistics": P10_STATISTICS_SQL,
     "p10_outliers": f"SELECT doc_id, lang, outlier_score FROM ({P10_STATISTICS_SQL}) WHERE outlier_score >= {FAR_OUT}",
 }
