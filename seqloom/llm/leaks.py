@@ -20,11 +20,11 @@ def build_index(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Every document is read whole and every word is stored, so that the index serves any number
     of evaluation sets. Each task writes the postings of its documents as a segment sorted by
-    term, without a shuffle: no term, however frequent, comes together in one place. path: where
+    the hash of the term, without a shuffle: no term, however frequent, comes together in one place. path: where
     to keep the index; without one it goes into the shared folder. doc_id must not be null.
     """
     each = spread(docs.filter("doc_id is not null").select("doc_id", "text")).select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("pos", "w"))
-    segments = each.select(F.lower("w").alias("term"), "doc_id", "pos").sortWithinPartitions("term", "doc_id", "pos")
+    segments = each.select(F.lower("w").alias("term"), "doc_id", "pos").sortWithinPartitions(F.xxhash64("term"))
     if path is None:
         return cut(segments, "postings")
     segments.write.parquet(path)
@@ -81,7 +81,7 @@ def find_passages(index: DataFrame, known: DataFrame, slack: int = 0, percent: i
     other words of the phrase. No phrase with so many of its words in place can escape: see _leads.
     """
     vocabulary, known = _numbered(known)
-    postings = attach(index, vocabulary, ["term"], ["doc_id", "pos"]).select("t", "doc_id", "pos")
+    postings = cut(attach(index, vocabulary, ["term"], ["doc_id", "pos"]).select("t", "doc_id", "pos"), "wanted")
     counts = cut(postings.groupBy("t").agg(F.count("*").alias("cf")), "counts")
     leads = _leads(known, counts, percent)
     at = F.expr("explode(filter(top, x -> x.rn <= miss + 1))").alias("x")
