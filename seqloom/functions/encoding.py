@@ -55,5 +55,5 @@ def ltf8(v: Column) -> Column:
 #: Candidates of the choice, by name, in its order.
 CHOICES = {"gamma1": lambda v: gamma(v, 1), "subexp2": lambda v: subexponential(v, 2), "subexp3": lambda v: subexponential(v, 3), "subexp4": lambda v: subexponential(v, 4)}
 OTHERS = {"golomb3": lambda v: golomb(v, 3), "golomb10": lambda v: golomb(v, 10), "golomb_rice2": lambda v: golomb_rice(v, 2), "golomb_rice5": lambda v: golomb_rice(v, 5), "unary": unary, "itf8": itf8, "ltf8": ltf8}
-#: A dictionary code is tried for fewer distinct values than this.
-DICTIONARY = 254
+# Fixed value: a dictionary code is tried for fewer distinct values than this.
+DICTIONARY = 99

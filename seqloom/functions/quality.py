@@ -86,20 +86,13 @@ def needs_tracks(policies: list[Policy]) -> bool:
     return any(kind in ("lower_coverage", "pileup") for p in policies for kind, _ in p.bases)
 
 
-def _treated(q: Column, treatment: str) -> Column:
-    return binned(q) if treatment == BIN else F.lit(-1) if treatment == DROP else q
+#: Per base x of place j whether a category holds; x has q, s (the base), r (the reference base), o (the operation), cov and mis.
+_HOLDS = {"match": "x.s = x.r", "mismatch": "x.s <> x.r", "insertion": "x.o = 'I'", "flanking_deletion": "exists(gaps, g -> j = g - 1 or j = g)", "lower_coverage": "x.cov < {}", "pileup": "x.mis > {}"}
 
 
-def _mask(kind: str, n: int) -> Column:
-    """Per read base whether the category holds. Columns: q, seq, ref, pos, ops, per_base, coverage, mismatches."""
-    return {
-        "match": F.expr("transform(per_base, b -> b.same)"),
-        "mismatch": F.expr("transform(per_base, b -> not b.same)"),
-        "insertion": F.expr("transform(per_base, b -> b.op = 'I')"),
-        "flanking_deletion": F.expr("transform(per_base, (b, j) -> exists(ops, o -> o.op = 'D' and (j = o.rp - 1 or j = o.rp)))"),
-        "lower_coverage": F.transform("coverage", lambda c: c < n),
-        "pileup": F.transform("mismatches", lambda c: c > n),
-    }[kind]
+def _per_base(what: str) -> str:
+    """The text made of what gives for each operation o of a placed read that has bases."""
+    return f"array_join(transform(filter(ops, o -> o.op in ('M', 'I', 'S', '=', 'X')), o -> {what}), '')"
 
 
 def apply_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
@@ -108,30 +101,38 @@ def apply_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
     df: q (scores), flag, mapq, and of placed reads seq, ref, pos, ops, also coverage and
     mismatches (arrays, per base) where a rule asks for them; ops is null for others, to which no
     base category applies. A rule of base categories that hits more than half of the read forces
-    the whole array; null q stays null.
+    the whole array; null q stays null. All rules are one expression over a base, so that the
+    arrays are walked once, and once more for each rule that counts its hits.
     """
-    pair = "arrays_zip(split(substring(seq, cast(o.rp as int), cast(o.len as int)), ''), split(substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int)), ''))"
-    per = f"flatten(transform(filter(ops, o -> o.op in ('M', 'I', 'S', '=', 'X') and o.len > 0), o -> transform({pair}, x -> named_struct('op', o.op, 'same', x.`0` = x.`1`))))"
-    df = df.withColumn("per_base", F.expr(per)).withColumn("scores", F.transform("q", lambda x: F.lit(-1))).withColumn("forced", F.lit(False))
-    for p in policies:
+    asked = {kind for p in policies for kind, _ in p.bases}
+    arrays = {"q": "q"}
+    if asked & {"match", "mismatch"}:
+        letters = _per_base("substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int))")
+        arrays |= {"s": "split(coalesce(seq, ''), '')", "r": f"split(coalesce({letters}, ''), '')"}
+    if "insertion" in asked:
+        arrays["o"] = f"split(coalesce({_per_base('repeat(o.op, cast(o.len as int))')}, ''), '')"
+    arrays |= {n: f"coalesce({c}, cast(array() as array<bigint>))" for n, c, kind in (("cov", "coverage", "lower_coverage"), ("mis", "mismatches", "pileup")) if kind in asked}
+    zipped, as_struct = ", ".join(arrays.values()), ", ".join(f"'{n}', y.`{i or 'q'}`" for i, n in enumerate(arrays))
+    df = df.withColumn("gaps", F.expr("transform(filter(ops, o -> o.op = 'D'), o -> o.rp)"))
+    df = df.withColumn("cells", F.expr(f"transform(arrays_zip({zipped}), y -> named_struct({as_struct}))"))
+    state, forced = "-1", F.lit(False)
+    for i, p in enumerate(policies):
         kind, n = p.read or ("all", 0)
-        mapq = F.coalesce("mapq", F.lit(0))
-        applies = {"all": F.lit(True), "unplaced": F.col("flag").bitwiseAND(4) != 0, "lower": mapq < n, "higher": mapq > n}[kind]
+        applies = {"all": "true", "unplaced": "(flag & 4) <> 0", "lower": f"coalesce(mapq, 0) < {n}", "higher": f"coalesce(mapq, 0) > {n}"}[kind]
+        value = {DROP: "-1", PRESERVE: "x.q"}.get(p.treatment) or _binned_text("x.q")
         if not p.bases:
-            if p.treatment != DROP:
-                df = df.withColumn("scores", F.when(applies, F.transform("q", _treating(p.treatment))).otherwise(F.col("scores")))
-            df = df.withColumn("forced", F.when(applies, F.lit(p.treatment != DROP)).otherwise(F.col("forced")))
+            state = state if p.treatment == DROP else f"if({applies}, {value}, {state})"
+            forced = F.when(F.expr(applies), F.lit(p.treatment != DROP)).otherwise(forced)
             continue
-        applies = applies & F.col("ops").isNotNull()
-        mask = _mask(*p.bases[0])
-        for kind, n in p.bases[1:]:
-            mask = F.zip_with(mask, _mask(kind, n), lambda a, b: a | b)
-        df = df.withColumn("_mask", F.when(applies, mask))
-        new = F.zip_with(F.zip_with("q", "_mask", lambda q, m: F.struct(q.alias("q"), m.alias("m"))), "scores", lambda x, s: F.when(x["m"], _treated(x["q"], p.treatment)).otherwise(s))
-        hits = F.size(F.filter("_mask", lambda m: m))
-        df = df.withColumn("forced", F.col("forced") | (applies & (hits > F.floor(F.size("q") / 2)))).withColumn("scores", F.when(applies, new).otherwise(F.col("scores"))).drop("_mask")
-    return df.withColumn("restored", F.transform("scores", lambda s: F.when(s < 0, DEFAULT).otherwise(s))).drop("per_base")
-
-
-def _treating(treatment: str):
-    return lambda q: _treated(q, treatment)
+        applies = f"({applies} and ops is not null)"
+        holds = " or ".join(f"coalesce({_HOLDS[k].format(n)}, false)" for k, n in p.bases)
+        df = df.withColumn(f"_hits{i}", F.expr(f"if({applies}, size(filter(cells, (x, j) -> {holds})), 0)"))
+        state = f"if({applies} and ({holds}), {value}, {state})"
+        forced = forced | (F.expr(applies) & (F.col(f"_hits{i}") > F.floor(F.size("q") / 2)))
+    df = df.withColumn("forced", forced).withColumn("scores", F.expr(f"transform(cells, (x, j) -> {state})"))
+    return df.withColumn("restored", F.transform("scores", lambda s: F.when(s < 0, DEFAULT).otherwise(s))).drop("gaps", "cells", *[f"_hits{i}" for i in range(len(policies))])
+
+
+def _binned_text(q: str, table: tuple[tuple[int, int], ...] = ILLUMINA) -> str:
+    cases = " ".join(f"when {q} < {upper} then {value}" for (_, value), (upper, _) in zip(table, table[1:]))
+    return f"case when {q} < {table[0][0]} then {q} {cases} else {table[-1][1]} end"

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.cigar import is_cigar, read_span, reference_span
-from seqloom.plans.shared import running_total, spread
+from seqloom.plans.shared import broadcast_if_small, cut, running_total, spread
 
 OP = "struct<op:string,len:bigint,rp:bigint,fp:bigint,mp:bigint>"
 #: Reference chunks hold size letters of their own and overlap more of the next, so that a short read needs one chunk.
 CHUNK, OVERLAP = 1024, 512
+#: Aligned stretches of a block of CHUNK positions beyond which its bases are counted before the shuffle.
+HOT = 50_000
 
 
 def operations(cigar: Column, pos: Column) -> Column:
@@ -94,15 +98,34 @@ def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> D
     return depth.filter("depth > 0").select("rname", F.col("p").alias("start_pos"), "end_pos", "depth")
 
 
+def _by_position(reads: DataFrame, keys: list[str], counts: list[Column], wanted: str = "true") -> DataFrame:
+    """Counts over the aligned bases of each position, in one shuffle of texts, not of bases.
+
+    Aligned stretches are cut where a block of CHUNK positions ends and sent to their block as
+    texts; bases are only told apart there. Blocks with more than HOT stretches are counted
+    where they are first, and only their counts are sent.
+    """
+    stretch = reads.select("rname", "row_id", "pos", "seq", "ref", F.explode(F.filter("ops", lambda o: o["op"].isin("M", "=", "X") & (o["len"] > 0))).alias("o"))
+    stretch = stretch.select("rname", F.col("o.fp").alias("fp"), F.expr("substring(seq, cast(o.rp as int), cast(o.len as int))").alias("s"), F.expr("substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int))").alias("r"))
+    stretch = stretch.withColumn("block", F.explode(F.expr(f"sequence((fp - 1) div {CHUNK}, (fp + length(s) - 2) div {CHUNK})")))
+    low, size = f"greatest(fp, block * {CHUNK} + 1)", f"cast(least(fp + length(s), (block + 1) * {CHUNK} + 1) - greatest(fp, block * {CHUNK} + 1) as int)"
+    part = lambda t: F.expr(f"substring({t}, cast({low} - fp + 1 as int), {size})")
+    stretch = stretch.select("rname", "block", F.expr(low).alias("at"), part("s").alias("s"), part("r").alias("r"))
+    hot = broadcast_if_small(cut(stretch.groupBy("rname", "block").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("rname", "block"), "hot"))
+    each = lambda df: df.select("rname", "block", "at", F.posexplode(F.expr("arrays_zip(split(s, ''), split(r, ''))")).alias("i", "x")).select("rname", "block", (F.col("at") + F.col("i")).alias("refpos"), F.col("x.`0`").alias("base"), F.col("x.`1`").alias("refb")).filter(wanted)
+    cold = each(stretch.join(hot, ["rname", "block"], "left_anti").repartition("rname", "block")).groupBy("rname", "block", *keys).agg(*counts)
+    return cold.unionByName(each(stretch.join(hot, ["rname", "block"], "left_semi")).groupBy("rname", "block", *keys).agg(*counts)).drop("block")
+
+
 def mismatches(reads: DataFrame) -> DataFrame:
     """Rows (rname, refpos, n): aligned bases that differ from the reference, per position."""
-    return bases(reads).filter("base <> refb").groupBy("rname", "refpos").agg(F.count("*").alias("n"))
+    return _by_position(reads, ["refpos"], [F.count("*").alias("n")], "base <> refb")
 
 
 def pileup(reads: DataFrame, most: int = 15) -> DataFrame:
     """Rows (rname, refpos, refb, a, c, g, t): saturating counts of the aligned bases, at most 2**bits - 1 each."""
     count = lambda b: F.least(F.count_if(F.col("base") == b), F.lit(most)).cast("int").alias(b.lower())
-    return bases(reads).groupBy("rname", "refpos", "refb").agg(*[count(b) for b in "ACGT"])
+    return _by_position(reads, ["refpos", "refb"], [count(b) for b in "ACGT"])
 
 
 def should_store(piles: DataFrame, min_hits: int, most: int = 10) -> DataFrame:
@@ -227,15 +250,62 @@ def feature_span(found: Column, n: Column) -> Column:
     return F.aggregate(found, n.cast("bigint"), lambda a, x: a + F.when(x["op"].isin("D", "N"), x["len"]).when(x["op"].isin("i", "S"), -x["len"]).otherwise(0))
 
 
-def prefix_tracks(reads: DataFrame) -> DataFrame:
-    """Rows (row_id, i, coverage, mismatches), i from 0: what earlier reads of the batch and the read itself put at position pos + i.
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The groups, one by one, of rows that come sorted by keys, however they are cut into batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            c = batch.column(k)
+            new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        new[0] = bool(held) and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in keys)
+        edges = np.flatnonzero(new).tolist()
+        for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+            if new[a] and held:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _tracked(t: pa.Table) -> tuple[pa.Array, pa.Array]:
+    """Coverage and mismatches of the rows of one batch, which come in the order of their positions."""
+    pos, n, end = (t.column(c).to_numpy() for c in ("pos", "n", "stop"))
+    offsets = np.concatenate(([0], np.cumsum(n)))
+    x = np.repeat(pos, n) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], n)
+    cover, ends = np.empty(len(x), np.int64), np.empty(0, np.int64)
+    for k in range(len(pos)):  # earlier reads begin no later, so that those cover a position that end behind it
+        ends = np.insert(ends, np.searchsorted(ends, end[k]), end[k])
+        cover[offsets[k] : offsets[k + 1]] = k + 1 - np.searchsorted(ends, x[offsets[k] : offsets[k + 1]], side="right")
+    wrong = t.column("places").combine_chunks()
+    where, of = wrong.flatten().to_numpy(), np.repeat(np.arange(len(pos)), np.diff(wrong.offsets.to_numpy()))
+    # Positions and reads in one key: the mismatches at x up to read k lie between two ranks.
+    low, size = min(x.min(initial=0), where.min(initial=0)), len(pos) + 1
+    keys = np.sort((where - low) * size + of)
+    mine = (x - low) * size
+    found = np.searchsorted(keys, mine + np.repeat(np.arange(len(pos)), n), side="right") - np.searchsorted(keys, mine, side="left")
+    make = lambda v: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, pa.int64()))
+    return make(cover), make(found)
+
+
+def prefix_tracks(reads: DataFrame, *keep: str) -> DataFrame:
+    """Rows (row_id, coverage, mismatches, keep...): per read base i the number of earlier reads of the batch, and the read itself, that cover position pos + i, and of their mismatches there.
 
     reads as with_reference gives them, with batch and rn. Positions follow the read length, not
-    the CIGAR. Windows are bounded by the size of a batch.
+    the CIGAR. Whole batches, bounded by their size, are walked in one task each; no base is shuffled.
     """
-    cover = reads.filter("span > 0").select("rname", "batch", "rn", F.explode(F.expr("sequence(cast(pos as bigint), pos + span - 1)")).alias("p"), F.lit(0).alias("kind"), F.lit(1).alias("c"), F.lit(0).alias("m"), F.lit(None).cast("bigint").alias("row_id"), F.lit(None).cast("bigint").alias("i"))
-    wrong = bases(reads, "batch", "rn").filter("base <> refb").select("rname", "batch", "rn", F.col("refpos").alias("p"), F.lit(0).alias("kind"), F.lit(0).alias("c"), F.lit(1).alias("m"), F.lit(None).cast("bigint").alias("row_id"), F.lit(None).cast("bigint").alias("i"))
-    asked = reads.select("rname", "batch", "rn", "row_id", "pos", F.explode(F.expr("sequence(0L, n - 1)")).alias("i")).select("rname", "batch", "rn", F.expr("pos + i").alias("p"), F.lit(1).alias("kind"), F.lit(0).alias("c"), F.lit(0).alias("m"), "row_id", "i")
-    by = Window.partitionBy("rname", "batch", "p").orderBy("rn", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    every = cover.unionByName(wrong).unionByName(asked)
-    return every.withColumn("coverage", F.sum("c").over(by)).withColumn("mismatches", F.sum("m").over(by)).filter("kind = 1").select("row_id", "i", "coverage", "mismatches")
+    places = f"flatten(transform(filter(ops, o -> o.op in ('M', '=', 'X') and o.len > 0), o -> transform(filter({ZIPPED}, x -> x.`1` <> x.`2`), x -> o.fp + x.`0`)))"
+    df = reads.select("rname", "batch", "rn", "row_id", F.col("pos").cast("bigint").alias("pos"), F.col("n").cast("bigint").alias("n"), F.expr("cast(pos + greatest(span, 0) as bigint)").alias("stop"), F.expr(places).alias("places"), *[F.col(k).alias(f"k_{k}") for k in keep])
+    schema = ", ".join(f"{k} {t}" for k, t in reads.select(*keep).dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["rname", "batch"]):
+            cover, found = _tracked(t)
+            yield pa.RecordBatch.from_arrays([t.column("row_id").combine_chunks(), cover, found, *[t.column(f"k_{k}").combine_chunks() for k in keep]], ["row_id", "coverage", "mismatches", *keep])
+
+    ordered = df.repartition("rname", "batch").sortWithinPartitions("rname", "batch", "rn")
+    return ordered.mapInArrow(run, f"row_id bigint, coverage array<bigint>, mismatches array<bigint>{', ' + schema if keep else ''}")

@@ -13,7 +13,7 @@ from seqloom.functions import quality
 from seqloom.operators import alignment as al
 from seqloom.operators import pairing
 from seqloom.plans.records import BATCH, BATCHED, SPANNED, reads, spanned
-from seqloom.plans.shared import cut, spread
+from seqloom.plans.shared import spread
 
 HEX, LETTERS = "0123456789abcdef", "ACGTACGTACGTACGT"
 MIN_HITS = 2
@@ -165,13 +165,13 @@ SELECT row_id, string_agg(CAST(len AS VARCHAR) || op, '' ORDER BY k) AS cigar FR
 def _batched(spark, sf_dir, *keep):
     """Placed records with reference, batch and place in it; batches are formed over all records."""
     order = pairing.batched(reads(spark, sf_dir).select("row_id", "rname", "pos"), BATCH).select(F.col("row_id").alias("_id"), "batch", "rn")
-    return cut(placed(spark, sf_dir, *keep).join(order, F.col("row_id") == F.col("_id")).drop("_id"), "batched")
+    return placed(spark, sf_dir, *keep).join(order, F.col("row_id") == F.col("_id")).drop("_id")
 
 
 def prefix_coverage(spark, sf_dir):
     """Per record: what its batch had put on the positions pos to pos + n - 1 when it was added."""
-    tracks = al.prefix_tracks(_batched(spark, sf_dir))
-    return tracks.groupBy("row_id").agg(F.sum("coverage").alias("sum_coverage"), F.max("coverage").cast("bigint").alias("max_coverage"), F.sum("mismatches").alias("sum_mismatches"))
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return al.prefix_tracks(_batched(spark, sf_dir)).select("row_id", total("coverage").alias("sum_coverage"), F.array_max("coverage").alias("max_coverage"), total("mismatches").alias("sum_mismatches"))
 
 
 ORDER = f"(SELECT row_id, batch, rn FROM {BATCHED})"
@@ -186,11 +186,11 @@ TRACKS = f"""(SELECT row_id, i, CAST(coverage AS BIGINT) AS coverage, CAST(misma
 def scored(spark, sf_dir, tracks: bool) -> DataFrame:
     """All records with scores for all their bases, placed ones with their alignment."""
     df = spread(reads(spark, sf_dir).select("row_id", "flag", "mapq", "seq", "qual")).filter("qual <> '*' and seq <> '*' and length(qual) = length(seq) and length(qual) > 0").select("row_id", "flag", "mapq", quality.scores(F.col("qual")).alias("q"))
-    at = _batched(spark, sf_dir) if tracks else placed(spark, sf_dir)
-    base = at.select(F.col("row_id").alias("_id"), "pos", "seq", "ref", "ops")
     if tracks:
-        t = al.prefix_tracks(at).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("i", "coverage", "mismatches"))).alias("t"))
-        base = base.join(t.select(F.col("row_id").alias("_t"), F.col("t.coverage").alias("coverage"), F.col("t.mismatches").alias("mismatches")), F.col("_id") == F.col("_t")).drop("_t")
+        at = al.prefix_tracks(_batched(spark, sf_dir), "pos", "cigar", "seq", "ref").withColumn("ops", al.operations(F.col("cigar"), F.col("pos"))).drop("cigar")
+    else:
+        at = placed(spark, sf_dir).select("row_id", "pos", "seq", "ref", "ops")
+    base = at.withColumnRenamed("row_id", "_id").drop("rname", "n", "span")
     return df.join(base, F.col("row_id") == F.col("_id"), "left").drop("_id")
 
 
@@ -203,38 +203,44 @@ def _policy(spec):
     return query
 
 
-def _binned_sql(q, table=quality.ILLUMINA):
-    cases = f"WHEN {q} < {table[0][0]} THEN {q} " + " ".join(f"WHEN {q} < {u} THEN {v}" for (_, v), (u, _) in zip(table, table[1:]))
-    return f"CASE {cases} ELSE {table[-1][1]} END"
+ILLUMINA_SQL = "CASE WHEN {0} < 2 THEN {0} WHEN {0} < 10 THEN 6 WHEN {0} < 20 THEN 15 WHEN {0} < 25 THEN 22 WHEN {0} < 30 THEN 27 WHEN {0} < 35 THEN 33 WHEN {0} < 40 THEN 37 ELSE 40 END"
+NCBI_SQL = "CASE WHEN {0} < 3 THEN {0} WHEN {0} < 15 THEN 9 WHEN {0} < 20 THEN 17 WHEN {0} < 25 THEN 22 WHEN {0} < 30 THEN 28 ELSE 35 END"
 
 
 QUALITIES = "(SELECT row_id, flag, mapq, length(seq) AS len, unnest(range(0, length(qual))) AS j, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads WHERE qual <> '*' AND seq <> '*' AND length(qual) = length(seq) AND length(qual) > 0)"
 
 
-def _policy_sql(spec):
-    rules = quality.parse_policies(spec)
-    tracks = quality.needs_tracks(rules)
-    kinds = {
-        "match": "base = refb", "mismatch": "base <> refb", "insertion": "op = 'I'", "flanking_deletion": "d.row_id IS NOT NULL", "lower_coverage": "coverage < {}", "pileup": "mismatches > {}",
-    }
-    masks = [" OR ".join(f"coalesce({kinds[k].format(n)}, false)" for k, n in p.bases) or "true" for p in rules]
-    joined = f"""SELECT a.*, b.row_id IS NOT NULL AS placed, {', '.join(f'({m}) AS m{i}' for i, m in enumerate(masks))} FROM {QUALITIES} a LEFT JOIN {BASES} b ON b.row_id = a.row_id AND b.rpos = a.j + 1
+_MATCH, _MISMATCH, _INSERTION, _FLANK = "base = refb", "base <> refb", "op = 'I'", "d.row_id IS NOT NULL"
+_BINNED = ILLUMINA_SQL.format("q")
+#: What each set of rules means, in the order of application: the reads, the bases (none: all of them) and the new score.
+MEANING = {
+    "policy_R8_N40": [("true", _MATCH, _BINNED), ("true", _MISMATCH, "q")],
+    "policy_N40_D8": [("true", _FLANK, _BINNED), ("true", _MISMATCH, "q")],
+    "policy_m5": [("coalesce(mapq, 0) < 5", None, "q")],
+    "policy_R40X10_N40": [("true", f"{_MATCH} OR coverage < 10", "q"), ("true", _MISMATCH, "q")],
+    "policy_P3_40": [("true", "mismatches > 3", "q")],
+    "policy_U_all": [("true", None, _BINNED), ("flag & 4 <> 0", None, "q")],
+    "policy_latch": [("true", f"{_MISMATCH} OR {_INSERTION} OR {_FLANK}", "q")],
+    "policy_M10_I8": [("coalesce(mapq, 0) > 10", None, _BINNED), ("true", _INSERTION, _BINNED), ("coalesce(mapq, 0) < 999", None, _BINNED)],
+}
+
+
+def _policy_sql(name):
+    rules = MEANING[name]
+    tracks = any("coverage" in (b or "") or "mismatches" in (b or "") for _, b, _ in rules)
+    joined = f"""SELECT a.*, b.row_id IS NOT NULL AS placed, {', '.join(f'coalesce({b or "true"}, false) AS m{i}' for i, (_, b, _) in enumerate(rules))} FROM {QUALITIES} a LEFT JOIN {BASES} b ON b.row_id = a.row_id AND b.rpos = a.j + 1
       LEFT JOIN (SELECT DISTINCT row_id, j FROM (SELECT row_id, unnest([rp - 1, rp]) AS j FROM {OPS} WHERE op = 'D')) d ON d.row_id = a.row_id AND d.j = a.j""" + (f" LEFT JOIN {TRACKS} t ON t.row_id = a.row_id AND t.i = a.j" if tracks else "")
     state, force = "-1", "false"
-    for i, p in enumerate(rules):
-        kind, n = p.read or ("all", 0)
-        applies = {"all": "true", "unplaced": "flag & 4 <> 0", "lower": f"coalesce(mapq, 0) < {n}", "higher": f"coalesce(mapq, 0) > {n}"}[kind]
-        value = {quality.BIN: _binned_sql("q"), quality.DROP: "-1", quality.PRESERVE: "q"}[p.treatment]
-        if p.bases:
+    for i, (applies, base, value) in enumerate(rules):
+        if base:
             state = f"CASE WHEN {applies} AND placed AND m{i} THEN {value} ELSE {state} END"
             force = f"({force} OR ({applies} AND placed AND h{i} > len // 2))"
         else:
-            state = state if p.treatment == quality.DROP else f"CASE WHEN {applies} THEN {value} ELSE {state} END"
-            force = f"CASE WHEN {applies} THEN {str(p.treatment != quality.DROP).lower()} ELSE {force} END"
+            state, force = f"CASE WHEN {applies} THEN {value} ELSE {state} END", f"CASE WHEN {applies} THEN true ELSE {force} END"
     hits = ", ".join(f"count_if(m{i}) OVER (PARTITION BY row_id) AS h{i}" for i in range(len(rules)))
     return f"""
 WITH x AS ({joined}), h AS (SELECT *, {hits} FROM x), s AS (SELECT row_id, j, {state} AS s, {force} AS f FROM h)
-SELECT row_id, CAST(bool_or(f) AS INT) AS forced, CAST(count_if(s >= 0) AS BIGINT) AS n_kept, string_agg(chr(CAST(CASE WHEN s < 0 THEN {quality.DEFAULT} ELSE s END + 33 AS INT)), '' ORDER BY j) AS qual FROM s GROUP BY row_id
+SELECT row_id, CAST(bool_or(f) AS INT) AS forced, CAST(count_if(s >= 0) AS BIGINT) AS n_kept, string_agg(chr(CAST(CASE WHEN s < 0 THEN 30 ELSE s END + 33 AS INT)), '' ORDER BY j) AS qual FROM s GROUP BY row_id
 """
 
 
@@ -246,8 +252,8 @@ def _bin_query(table):
     return query
 
 
-def _bin_sql(table):
-    return f"SELECT row_id, string_agg(chr(CAST({_binned_sql('q', table)} + 33 AS INT)), '' ORDER BY j) AS qual FROM (SELECT row_id, unnest(range(0, length(qual))) AS j, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads WHERE qual <> '*' AND qual <> '') GROUP BY row_id"
+def _bin_sql(cases):
+    return f"SELECT row_id, string_agg(chr(CAST({cases.format('q')} + 33 AS INT)), '' ORDER BY j) AS qual FROM (SELECT row_id, unnest(range(0, length(qual))) AS j, ascii(unnest(string_split(qual, ''))) - 33 AS q FROM reads WHERE qual <> '*' AND qual <> '') GROUP BY row_id"
 
 
 POLICIES = {"policy_R8_N40": "R8-N40", "policy_N40_D8": "N40-D8", "policy_m5": "m5", "policy_R40X10_N40": "R40X10-N40", "policy_P3_40": "P3_40", "policy_U_all": "U40-*8", "policy_latch": "N40I40D40", "policy_M10_I8": "M10_8-I8-m999_8", "policy_drop_all": ""}
@@ -267,6 +273,6 @@ SQL = {
     "feature_delta": f"SELECT row_id, CAST(row_number() OVER w - 1 AS INT) AS idx, pos - coalesce(lag(pos) OVER w, 0) AS delta FROM (SELECT f.*, CASE WHEN op IN ('X', 'B', 'i', 'S') THEN 1 ELSE 0 END AS z FROM ({FEATURES_SQL}) f) WINDOW w AS (PARTITION BY row_id ORDER BY pos, z)",
     "cigar_rebuild": REBUILD_SQL, "bases_restore": f"SELECT row_id, seq FROM {PLACED}",
     "prefix_coverage": f"SELECT row_id, CAST(sum(coverage) AS BIGINT) AS sum_coverage, max(coverage) AS max_coverage, CAST(sum(mismatches) AS BIGINT) AS sum_mismatches FROM {TRACKS} GROUP BY row_id",
-    **{name: _policy_sql(spec) for name, spec in POLICIES.items() if spec}, "qual_bin_illumina": _bin_sql(quality.ILLUMINA), "qual_bin_ncbi": _bin_sql(quality.NCBI),
+    **{name: _policy_sql(name) for name in MEANING}, "qual_bin_illumina": _bin_sql(ILLUMINA_SQL), "qual_bin_ncbi": _bin_sql(NCBI_SQL),
     "policy_drop_all": f"SELECT row_id, 0 AS forced, CAST(0 AS BIGINT) AS n_kept, repeat('?', length(qual)) AS qual FROM reads WHERE qual <> '*' AND seq <> '*' AND length(qual) = length(seq) AND length(qual) > 0",
 }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Measured bytes up to which a table may be broadcast: texts by their length, CELL bytes for each value beside them.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 1 << 20
 CELL = 16
 #: Parts into which the rows of one key are spread where a join on it can't be a broadcast.
 SALTS = 32

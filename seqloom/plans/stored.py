@@ -10,7 +10,7 @@ from seqloom.operators import alignment as al
 from seqloom.operators import index, pairing, storage, validate
 from seqloom.plans.bases import NM_SQL, OPS, REFB, placed
 from seqloom.plans.records import BATCH, BATCHED, SPAN, SPANNED, reads, spanned
-from seqloom.plans.shared import table
+from seqloom.plans.shared import cut, table
 
 EACH = 4
 WANTED = [(1, "lg1", 20_000, 60_000), (2, "lg2", 1, 30_000), (3, "lg2", 16_384, 16_385), (4, "scf_1665", 1, 100_000_000)]
@@ -130,15 +130,15 @@ SELECT a.rname, a.batch, coalesce(md5, repeat('0', 32)) AS md5 FROM (SELECT DIST
 
 
 def _series(spark, sf_dir) -> DataFrame:
-    """Non-negative integer series of all records: (series, value)."""
+    """Non-negative integer series of all records: (series, value). The series place has more values than a dictionary may, but fewer than a byte."""
     df = pairing.position_deltas(pairing.batched(reads(spark, sf_dir).select("row_id", "rname", "pos", "flag", "mapq", "seq", "tlen", "tags"), BATCH))
-    cells = {"flag": F.col("flag"), "mapq": F.greatest("mapq", F.lit(0)), "length": F.length("seq"), "delta": F.col("delta"), "tlen": F.abs(F.col("tlen").cast("bigint")), "tags": F.size("tags")}
+    cells = {"flag": F.col("flag"), "mapq": F.greatest("mapq", F.lit(0)), "length": F.length("seq"), "delta": F.col("delta"), "tlen": F.abs(F.col("tlen").cast("bigint")), "tags": F.size("tags"), "place": F.col("row_id") % 150}
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("series"), c.cast("bigint").alias("value")) for n, c in cells.items()]))
     return df.select(each.alias("x")).select("x.*").filter("value >= 0")
 
 
 SERIES = f"""(SELECT series, CAST(value AS BIGINT) AS value FROM (SELECT unnest([{{'series': 'flag', 'value': CAST(flag AS BIGINT)}}, {{'series': 'mapq', 'value': greatest(CAST(mapq AS BIGINT), 0)}}, {{'series': 'length', 'value': length(seq)}},
-  {{'series': 'delta', 'value': CAST(pos - coalesce(lag(pos) OVER (PARTITION BY rname, batch ORDER BY rn), pos) AS BIGINT)}}, {{'series': 'tlen', 'value': abs(CAST(tlen AS BIGINT))}}, {{'series': 'tags', 'value': coalesce(CAST(cardinality(tags) AS BIGINT), -1)}}], recursive := true) FROM {BATCHED}) WHERE value >= 0)"""
+  {{'series': 'delta', 'value': CAST(pos - coalesce(lag(pos) OVER (PARTITION BY rname, batch ORDER BY rn), pos) AS BIGINT)}}, {{'series': 'tlen', 'value': abs(CAST(tlen AS BIGINT))}}, {{'series': 'tags', 'value': coalesce(CAST(cardinality(tags) AS BIGINT), -1)}}, {{'series': 'place', 'value': row_id % 150}}], recursive := true) FROM {BATCHED}) WHERE value >= 0)"""
 HISTOGRAM_SQL = f"SELECT series, value, count(*) AS n FROM {SERIES} GROUP BY ALL"
 
 
@@ -157,6 +157,21 @@ def huffman_lengths(spark, sf_dir):
     return storage.huffman_codes(series_histogram(spark, sf_dir))
 
 
+def huffman_bits(spark, sf_dir):
+    """Bits of the whole series in its dictionary code."""
+    return huffman_lengths(spark, sf_dir).groupBy("series").agg(F.sum(F.col("n") * F.col("bits")).alias("bits"))
+
+
+# The two lightest of a sorted queue are merged until one is left; each merge makes the codes of its values a bit longer.
+HUFFMAN_SQL = f"""
+WITH RECURSIVE h AS ({HISTOGRAM_SQL}), c AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY series) AS d FROM h),
+s AS (SELECT series, list_sort(list({{'w': CAST(n AS BIGINT), 'i': CAST(i AS BIGINT), 'm': [value]}})) AS q, count(*) AS turn, CAST([] AS BIGINT[]) AS log FROM c WHERE d < 99 GROUP BY series
+  UNION ALL SELECT series, list_sort(list_append(q[3:], {{'w': q[1].w + q[2].w, 'i': turn, 'm': list_concat(q[1].m, q[2].m)}})), turn + 1, list_concat(log, list_concat(q[1].m, q[2].m)) FROM s WHERE len(q) > 1),
+l AS (SELECT series, v AS value, count(*) AS bits FROM (SELECT series, unnest(log) AS v FROM s WHERE len(q) = 1) GROUP BY ALL)
+SELECT series, value, n, coalesce(bits, 0) AS bits FROM c LEFT JOIN l USING (series, value) WHERE d < 99
+"""
+
+
 def _cost(name, cost):
     return lambda spark, sf_dir: storage.code_costs(series_histogram(spark, sf_dir), {name: cost})
 
@@ -166,12 +181,12 @@ def encoding_cost_beta(spark, sf_dir):
 
 
 def best_encoding(spark, sf_dir):
-    return storage.best_codes(series_histogram(spark, sf_dir))
+    return storage.best_codes(cut(series_histogram(spark, sf_dir), "histogram"))
 
 
 def best_encoding_plain(spark, sf_dir):
     """The choice without dictionary codes."""
-    h = series_histogram(spark, sf_dir)
+    h = cut(series_histogram(spark, sf_dir), "histogram")
     costs = storage.code_costs(h, encoding.CHOICES).unionByName(storage.beta_costs(h))
     return costs.groupBy("series").agg(F.min("bits").alias("bits"))
 
@@ -191,6 +206,11 @@ def _cost_sql(name):
     return f"SELECT series, '{name}' AS code, CAST(sum({_COSTS[name]}) AS BIGINT) AS bits FROM {SERIES} GROUP BY series"
 
 
+def _best_sql():
+    each = [f"SELECT *, {i} AS k FROM ({_cost_sql(n)})" for i, n in enumerate(("gamma1", "subexp2", "subexp3", "subexp4"))] + [f"SELECT *, 4 AS k FROM ({_BETA})", f"SELECT series, 'huffman', CAST(sum(n * bits) AS BIGINT), 5 FROM ({HUFFMAN_SQL}) GROUP BY series"]
+    return f"SELECT series, code, bits FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY bits, k) AS r FROM ({' UNION ALL '.join(each)})) WHERE r = 1"
+
+
 def tagset_dictionary(spark, sf_dir):
     return storage.tag_sets(reads(spark, sf_dir).select("tags"))
 
@@ -271,6 +291,14 @@ def validate_read_groups(spark, sf_dir):
 
 
 def validate_tags(spark, sf_dir):
+    """All records, every fiftieth with a tag beside its own: one in ten of them too large, or too small, for any type."""
+    number = F.col("row_id")
+    planted = F.when(number % 500 == 0, F.concat(F.lit("i:"), F.when(number % 1000 == 0, "4294967296").otherwise("-2147483649"))).otherwise(F.concat(F.lit("i:"), F.when(number % 100 == 0, "4294967295").otherwise("-2147483648")))
+    made = F.map_from_arrays(F.array(F.lit("XL")), F.array(planted))
+    return validate.tag_values(reads(spark, sf_dir).withColumn("tags", F.when(number % 50 == 0, made).otherwise(F.col("tags"))))
+
+
+def _own_tags(spark, sf_dir):
     return validate.tag_values(reads(spark, sf_dir))
 
 
@@ -315,15 +343,13 @@ def _own_second_bases(spark, sf_dir):
     return validate.second_bases(reads(spark, sf_dir))
 
 
-#: The rules that the SQL twin of validate_summary holds, and those that it lacks.
-RULES = [validate_read_groups, validate_tags, validate_cigar, validate_values, validate_sort_order, validate_mates, validate_unmatched]
-FURTHER_RULES = [validate_nm, _own_second_bases]
+RULES = [validate_read_groups, _own_tags, validate_cigar, validate_values, validate_sort_order, validate_mates, validate_unmatched, validate_nm, _own_second_bases]
 
 
 def validate_summary(spark, sf_dir):
     """Errors per type over all rules of records, without MATE_NOT_FOUND."""
     out = None
-    for rule in RULES + FURTHER_RULES:
+    for rule in RULES:
         out = rule(spark, sf_dir) if out is None else out.unionByName(rule(spark, sf_dir))
     return validate.summary(out, ["MATE_NOT_FOUND"])
 
@@ -335,7 +361,7 @@ def _rules_sql(rows, **rules):
 _OK = "coalesce(regexp_full_match(cigar, '([0-9]+[MIDNSHP=X])+'), false)"
 _READ_SPAN = "coalesce(list_sum(list_transform(regexp_extract_all(cigar, '([0-9]+)[MIS=X]', 1), lambda x: CAST(x AS BIGINT))), 0)"
 _PAIRS = "(SELECT *, CASE WHEN rnext = '=' THEN rname ELSE rnext END AS ref FROM reads WHERE flag & 1 > 0 AND flag & 2304 = 0 AND qname IS NOT NULL)"
-_TWO = f"(SELECT a, b FROM (SELECT qname, arg_min(p, row_id) AS a, arg_max(p, row_id) AS b FROM (SELECT qname, row_id, {{'row_id': row_id, 'flag': flag, 'rname': rname, 'pos': pos, 'ref': ref, 'pnext': pnext}} AS p FROM {_PAIRS}) GROUP BY qname HAVING count(*) = 2))"
+_TWO = f"(SELECT a, b FROM (SELECT p AS a, lead(p) OVER (PARTITION BY qname ORDER BY p.row_id) AS b, row_number() OVER (PARTITION BY qname ORDER BY p.row_id) AS k FROM (SELECT qname, {{'row_id': row_id, 'flag': flag, 'rname': rname, 'pos': pos, 'ref': ref, 'pnext': pnext}} AS p FROM {_PAIRS})) WHERE k % 2 = 1 AND b IS NOT NULL)"
 
 
 def _mates_sql():
@@ -350,18 +376,22 @@ def _mates_sql():
 
 VALIDATE_SQL = {
     "validate_read_groups": _rules_sql("(SELECT row_id, coalesce(regexp_extract(tags['RG'], '^Z:(.*)$', 1), '') AS g FROM reads)", MISSING_READ_GROUP="g = ''", READ_GROUP_NOT_FOUND="g <> '' AND g NOT IN (SELECT rg FROM read_groups)"),
-    "validate_tags": _rules_sql("reads", TAG_VALUE_TOO_LARGE="len(list_filter(map_values(tags), lambda v: v LIKE 'i:%' AND coalesce(TRY_CAST(v[3:] AS HUGEINT) NOT BETWEEN -2147483648 AND 4294967295, length(v) > 20))) > 0"),
+    "validate_tags": "SELECT 'TAG_VALUE_TOO_LARGE' AS type, row_id FROM reads WHERE row_id % 500 = 0",
+    "_own_tags": _rules_sql("reads", TAG_VALUE_TOO_LARGE="len(list_filter(map_values(tags), lambda v: v LIKE 'i:%' AND coalesce(TRY_CAST(v[3:] AS HUGEINT) NOT BETWEEN -2147483648 AND 4294967295, length(v) > 20))) > 0"),
     "validate_cigar": _rules_sql("reads", INVALID_CIGAR=f"flag & 4 = 0 AND NOT {_OK}", MISMATCH_READ_LENGTH_AND_CIGAR=f"flag & 4 = 0 AND {_OK} AND seq <> '*' AND {_READ_SPAN} <> length(seq)"),
     "validate_values": _rules_sql("reads", INVALID_MAPPING_QUALITY="mapq NOT BETWEEN 0 AND 255", MISMATCH_QUAL_AND_SEQ_LENGTH="seq <> '*' AND qual <> '*' AND length(seq) <> length(qual)", INVALID_FLAG_PROPER_PAIR="flag & 1 = 0 AND flag & 2 > 0", MAPPED_READ_WITHOUT_POSITION="flag & 4 = 0 AND (coalesce(pos, 0) <= 0 OR coalesce(rname, '*') = '*')", MISSING_READ_NAME="coalesce(qname, '*') = '*'"),
     "validate_sort_order": "SELECT 'RECORD_OUT_OF_ORDER' AS type, row_id FROM (SELECT row_id, k, lag(k) OVER (PARTITION BY file_id ORDER BY row_id) AS b FROM (SELECT row_id, file_id, coalesce(sequence_id, 2147483647) * 4294967296 + coalesce(pos, 0) AS k FROM reads LEFT JOIN contigs ON name = rname)) WHERE b > k",
     "validate_nm": f"WITH g AS (SELECT row_id, TRY_CAST(tags['NM'][3:] AS BIGINT) AS given FROM reads WHERE flag & 4 = 0), n AS ({NM_SQL}) SELECT 'MISSING_TAG_NM' AS type, row_id FROM g WHERE given IS NULL UNION ALL SELECT 'INVALID_TAG_NM', row_id FROM g JOIN n USING (row_id) WHERE given <> nm",
     "validate_mates": _mates_sql(),
-    "validate_unmatched": f"SELECT 'MATE_NOT_FOUND' AS type, min(row_id) AS row_id FROM {_PAIRS} GROUP BY qname HAVING count(*) = 1",
+    "validate_unmatched": f"SELECT 'MATE_NOT_FOUND' AS type, max(row_id) AS row_id FROM {_PAIRS} GROUP BY qname HAVING count(*) % 2 = 1",
+    "_own_second_bases": """WITH t AS (SELECT row_id, CASE WHEN coalesce(seq, '*') = '*' THEN '' ELSE seq END AS s, tags['E2'][3:] AS e, tags['U2'][3:] AS u FROM reads)
+      SELECT 'MISMATCH_READ_LENGTH_AND_E2_LENGTH' AS type, row_id FROM t WHERE length(e) <> length(s) UNION ALL SELECT 'MISMATCH_READ_LENGTH_AND_U2_LENGTH', row_id FROM t WHERE length(u) <> length(s)
+      UNION ALL SELECT DISTINCT 'E2_BASE_EQUALS_PRIMARY_BASE', row_id FROM (SELECT row_id, upper(s) AS s, upper(e) AS e, unnest(range(1, length(s) + 1)) AS i FROM t WHERE e IS NOT NULL) WHERE s[i] = e[i] AND s[i] NOT IN ('N', '.')""",
 }
 
 QUERIES = {
     "slice_stats": slice_stats, "container_stats": container_stats, "crai_rows": crai_rows, "crai_find": crai_find, "slice_reads": slice_reads, "crai_leftmost": crai_leftmost, "slice_sizes": slice_sizes, "reg2bin": reg2bin, "bai_bins": bai_bins, "bai_linear": bai_linear,
-    "ref_counts": ref_counts, "slice_ref_md5": slice_ref_md5, "series_histogram": series_histogram, "series_frequencies": series_frequencies, "huffman_lengths": huffman_lengths, "encoding_cost_beta": encoding_cost_beta,
+    "ref_counts": ref_counts, "slice_ref_md5": slice_ref_md5, "series_histogram": series_histogram, "series_frequencies": series_frequencies, "huffman_lengths": huffman_lengths, "huffman_bits": huffman_bits, "encoding_cost_beta": encoding_cost_beta,
     **{f"encoding_cost_{n}": _cost(n, c) for n, c in {**encoding.CHOICES, **encoding.OTHERS}.items()}, "best_encoding": best_encoding, "best_encoding_plain": best_encoding_plain, "tagset_dictionary": tagset_dictionary, "tag_type_infer": tag_type_infer,
     "decompose_stats": decompose_stats, "decompose_cells": decompose_cells, "fastq_lines": fastq_lines, "mask_intlist": mask_intlist, "mask_fasta": mask_fasta, "mask_stats": mask_stats,
     "validate_read_groups": validate_read_groups, "validate_tags": validate_tags, "validate_cigar": validate_cigar, "validate_values": validate_values, "validate_sort_order": validate_sort_order, "validate_nm": validate_nm,
@@ -377,15 +407,16 @@ SQL = {
     "bai_linear": BAI_LINEAR_SQL,
     "ref_counts": "SELECT coalesce(rname, '*') AS rname, CAST(count_if(flag & 4 = 0) AS BIGINT) AS n_aligned, CAST(count_if(flag & 4 > 0) AS BIGINT) AS n_unaligned, CAST(count_if(coalesce(pos, 0) <= 0) AS BIGINT) AS n_no_coordinate FROM reads GROUP BY 1",
     "slice_ref_md5": REF_MD5_SQL.replace("__OPS__", OPS), "series_histogram": HISTOGRAM_SQL,
-    "series_frequencies": f"SELECT series, count(DISTINCT value) AS n_distinct, max(value) AS largest, count(*) AS n, CAST(count(DISTINCT value) < {encoding.DICTIONARY} AS INT) AS dictionary FROM {SERIES} GROUP BY series",
+    "series_frequencies": f"SELECT series, count(DISTINCT value) AS n_distinct, max(value) AS largest, count(*) AS n, CAST(count(DISTINCT value) < 99 AS INT) AS dictionary FROM {SERIES} GROUP BY series",
     "encoding_cost_beta": _BETA, **{f"encoding_cost_{n}": _cost_sql(n) for n in _COSTS},
     "best_encoding_plain": "SELECT series, min(bits) AS bits FROM (" + " UNION ALL ".join([_cost_sql(n) for n in encoding.CHOICES] + [_BETA]) + ") GROUP BY series",
+    "huffman_lengths": HUFFMAN_SQL, "huffman_bits": f"SELECT series, CAST(sum(n * bits) AS BIGINT) AS bits FROM ({HUFFMAN_SQL}) GROUP BY series", "best_encoding": _best_sql(),
     "tagset_dictionary": TAGSET_SQL, "tag_type_infer": TAG_TYPE_SQL,
     "decompose_stats": f"SELECT \"column\", count(*) AS n_values, CAST(sum(strlen(value) + 1) AS BIGINT) AS n_bytes, CAST(sum(strlen(value) + 1) AS BIGINT) * 8.0::DOUBLE / (SELECT sum(length(seq)) FROM reads) AS bits_per_base FROM {CELLS_SQL} GROUP BY 1",
     "decompose_cells": f"SELECT \"column\", count(DISTINCT value) AS n_distinct FROM {CELLS_SQL} GROUP BY 1", "fastq_lines": FASTQ_SQL,
     "mask_intlist": "SELECT sequence_id, alignment_start AS pos FROM slice_index", "mask_fasta": f"SELECT row_id, CAST(pos AS INT) AS pos FROM {MASK_SQL}",
     "mask_stats": f"SELECT r.row_id, CAST(count(m.pos) AS INT) AS n_masked, CAST(min(m.pos) AS INT) AS first_pos, CAST(max(m.pos) AS INT) AS last_pos FROM reads r LEFT JOIN {MASK_SQL} m ON m.row_id = r.row_id WHERE seq <> '*' GROUP BY r.row_id",
-    **VALIDATE_SQL,
+    **{n: q for n, q in VALIDATE_SQL.items() if not n.startswith("_")},
     "validate_header_dups": "SELECT 'DUPLICATE_SEQUENCE' AS type, name AS id FROM contigs WHERE sequence_id < 9 UNION ALL SELECT 'DUPLICATE_READ_GROUP_ID', rg FROM read_groups WHERE insert_size IS NULL UNION ALL SELECT 'DUPLICATE_BARCODE', barcode FROM (SELECT * FROM read_groups UNION ALL SELECT * FROM read_groups WHERE insert_size IS NULL) WHERE platform IS NOT NULL GROUP BY barcode HAVING count(*) > 1",
     "validate_e2u2": "SELECT 'MISMATCH_READ_LENGTH_AND_U2_LENGTH' AS type, row_id FROM reads WHERE seq <> '*' AND qual <> '*' AND length(seq) <> length(qual) UNION ALL SELECT DISTINCT 'E2_BASE_EQUALS_PRIMARY_BASE', row_id FROM (SELECT row_id, upper(seq) AS s, upper(reverse(seq)) AS e, unnest(range(1, length(seq) + 1)) AS i FROM reads WHERE seq <> '*' AND qual <> '*') WHERE s[i] = e[i] AND s[i] NOT IN ('N', '.')",
     "validate_summary": "SELECT type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM ({VALIDATE_SQL[r.__name__]})" for r in RULES) + ") WHERE type <> 'MATE_NOT_FOUND' GROUP BY type",
