@@ -86,8 +86,8 @@ def needs_tracks(policies: list[Policy]) -> bool:
     return any(kind in ("lower_coverage", "pileup") for p in policies for kind, _ in p.bases)
 
 
-#: Per base x of place j whether a category holds; x has q, s (the base), r (the reference base), o (the operation), cov and mis.
-_HOLDS = {"match": "x.s = x.r", "mismatch": "x.s <> x.r", "insertion": "x.o = 'I'", "flanking_deletion": "exists(gaps, g -> j = g - 1 or j = g)", "lower_coverage": "x.cov < {}", "pileup": "x.mis > {}"}
+#: Per base x of place j whether a category holds; x has q, _s (the base), _r (the reference base), _o (the operation), _coverage and _mismatches.
+_HOLDS = {"match": "x._s = x._r", "mismatch": "x._s <> x._r", "insertion": "x._o = 'I'", "flanking_deletion": "exists(gaps, g -> j = g - 1 or j = g)", "lower_coverage": "x._coverage < {}", "pileup": "x._mismatches > {}"}
 
 
 def _per_base(what: str) -> str:
@@ -108,13 +108,12 @@ def apply_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
     arrays = {"q": "q"}
     if asked & {"match", "mismatch"}:
         letters = _per_base("substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int))")
-        arrays |= {"s": "split(coalesce(seq, ''), '')", "r": f"split(coalesce({letters}, ''), '')"}
+        arrays |= {"_s": "split(coalesce(seq, ''), '')", "_r": f"split(coalesce({letters}, ''), '')"}
     if "insertion" in asked:
-        arrays["o"] = f"split(coalesce({_per_base('repeat(o.op, cast(o.len as int))')}, ''), '')"
-    arrays |= {n: f"coalesce({c}, cast(array() as array<bigint>))" for n, c, kind in (("cov", "coverage", "lower_coverage"), ("mis", "mismatches", "pileup")) if kind in asked}
-    zipped, as_struct = ", ".join(arrays.values()), ", ".join(f"'{n}', y.`{i or 'q'}`" for i, n in enumerate(arrays))
-    df = df.withColumn("gaps", F.expr("transform(filter(ops, o -> o.op = 'D'), o -> o.rp)"))
-    df = df.withColumn("cells", F.expr(f"transform(arrays_zip({zipped}), y -> named_struct({as_struct}))"))
+        arrays["_o"] = f"split(coalesce({_per_base('repeat(o.op, cast(o.len as int))')}, ''), '')"
+    arrays |= {f"_{c}": f"coalesce({c}, cast(array() as array<bigint>))" for c, kind in (("coverage", "lower_coverage"), ("mismatches", "pileup")) if kind in asked}
+    df = df.withColumns({n: F.expr(e) for n, e in arrays.items() if n != "q"} | {"gaps": F.expr("transform(filter(ops, o -> o.op = 'D'), o -> o.rp)")})
+    df = df.withColumn("cells", F.arrays_zip(*arrays)).drop(*[n for n in arrays if n != "q"])
     state, forced = "-1", F.lit(False)
     for i, p in enumerate(policies):
         kind, n = p.read or ("all", 0)

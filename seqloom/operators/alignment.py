@@ -16,7 +16,7 @@ from seqloom.plans.shared import broadcast_if_small, cut, running_total, spread
 OP = "struct<op:string,len:bigint,rp:bigint,fp:bigint,mp:bigint>"
 #: Reference chunks hold size letters of their own and overlap more of the next, so that a short read needs one chunk.
 CHUNK, OVERLAP = 1024, 512
-#: Aligned stretches of a block of CHUNK positions beyond which its bases are counted before the shuffle.
+#: Reads that begin in a chunk beyond which its bases are counted before the shuffle.
 HOT = 50_000
 
 
@@ -98,34 +98,41 @@ def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> D
     return depth.filter("depth > 0").select("rname", F.col("p").alias("start_pos"), "end_pos", "depth")
 
 
-def _by_position(reads: DataFrame, keys: list[str], counts: list[Column], wanted: str = "true") -> DataFrame:
-    """Counts over the aligned bases of each position, in one shuffle of texts, not of bases.
+def _by_position(reads: DataFrame, chunks: DataFrame, keys: list[str], counts: list[Column], wanted: str = "true") -> DataFrame:
+    """Counts over the aligned bases of each position, in one shuffle of texts, not of bases. reads as placed() gives them.
 
-    Aligned stretches are cut where a block of CHUNK positions ends and sent to their block as
-    texts; bases are only told apart there. Blocks with more than HOT stretches are counted
-    where they are first, and only their counts are sent.
+    Aligned stretches are cut where a chunk of the reference ends and meet their chunk as texts;
+    bases are only told apart there. The reads of chunks in which more than HOT reads begin, and
+    of the chunks behind those, are counted where they are, and only their counts are sent.
     """
-    stretch = reads.select("rname", "row_id", "pos", "seq", "ref", F.explode(F.filter("ops", lambda o: o["op"].isin("M", "=", "X") & (o["len"] > 0))).alias("o"))
-    stretch = stretch.select("rname", F.col("o.fp").alias("fp"), F.expr("substring(seq, cast(o.rp as int), cast(o.len as int))").alias("s"), F.expr("substring(ref, cast(o.fp - pos + 1 as int), cast(o.len as int))").alias("r"))
-    stretch = stretch.withColumn("block", F.explode(F.expr(f"sequence((fp - 1) div {CHUNK}, (fp + length(s) - 2) div {CHUNK})")))
-    low, size = f"greatest(fp, block * {CHUNK} + 1)", f"cast(least(fp + length(s), (block + 1) * {CHUNK} + 1) - greatest(fp, block * {CHUNK} + 1) as int)"
-    part = lambda t: F.expr(f"substring({t}, cast({low} - fp + 1 as int), {size})")
-    stretch = stretch.select("rname", "block", F.expr(low).alias("at"), part("s").alias("s"), part("r").alias("r"))
-    hot = broadcast_if_small(cut(stretch.groupBy("rname", "block").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("rname", "block"), "hot"))
-    each = lambda df: df.select("rname", "block", "at", F.posexplode(F.expr("arrays_zip(split(s, ''), split(r, ''))")).alias("i", "x")).select("rname", "block", (F.col("at") + F.col("i")).alias("refpos"), F.col("x.`0`").alias("base"), F.col("x.`1`").alias("refb")).filter(wanted)
-    cold = each(stretch.join(hot, ["rname", "block"], "left_anti").repartition("rname", "block")).groupBy("rname", "block", *keys).agg(*counts)
-    return cold.unionByName(each(stretch.join(hot, ["rname", "block"], "left_semi")).groupBy("rname", "block", *keys).agg(*counts)).drop("block")
-
-
-def mismatches(reads: DataFrame) -> DataFrame:
+    begun = reads.groupBy("rname", F.expr(f"(pos - 1) div {CHUNK}").alias("chunk")).agg(F.count("*").alias("n")).filter(F.col("n") > HOT)
+    hot = broadcast_if_small(cut(begun.select("rname", F.explode(F.array("chunk", F.col("chunk") + 1)).alias("chunk")).distinct(), "hot"))
+    stretch = reads.select("rname", "seq", F.explode(F.filter("ops", lambda o: o["op"].isin("M", "=", "X") & (o["len"] > 0))).alias("o"))
+    stretch = stretch.select("rname", "seq", "o", F.explode(F.expr(f"sequence((o.fp - 1) div {CHUNK}, (o.fp + o.len - 2) div {CHUNK})")).alias("chunk"))
+    stretch = stretch.withColumn("at", F.expr(f"greatest(o.fp, chunk * {CHUNK} + 1)")).withColumn("size", F.expr(f"least(o.fp + o.len, (chunk + 1) * {CHUNK} + 1) - at"))
+    stretch = stretch.select("rname", "chunk", "at", "size", F.expr("substring(seq, cast(o.rp + at - o.fp as int), cast(size as int))").alias("s"))
+
+    def counted(part: DataFrame, ref: DataFrame) -> DataFrame:
+        letters = F.rpad(F.expr(f"substring(coalesce(_seq, ''), cast(at - chunk * {CHUNK} as int), cast(size as int))"), F.col("size").cast("int"), F.lit("N"))
+        met = part.join(ref.withColumnRenamed("seq", "_seq"), ["rname", "chunk"], "left").select("rname", "chunk", "at", "s", letters.alias("r"))
+        each = met.select("rname", "chunk", "at", F.posexplode(F.expr("arrays_zip(split(s, ''), split(r, ''))")).alias("i", "x"))
+        each = each.select("rname", "chunk", (F.col("at") + F.col("i")).alias("refpos"), F.col("x.`0`").alias("base"), F.col("x.`1`").alias("refb")).filter(wanted)
+        return each.groupBy("rname", "chunk", *keys).agg(*counts).drop("chunk")
+
+    there = ["rname", "chunk"]
+    cold = counted(stretch.join(hot, there, "left_anti").repartition(*there), chunks.join(hot, there, "left_anti"))
+    return cold.unionByName(counted(stretch.join(hot, there, "left_semi"), broadcast_if_small(cut(chunks.join(hot, there, "left_semi"), "chunks"))))
+
+
+def mismatches(reads: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rows (rname, refpos, n): aligned bases that differ from the reference, per position."""
-    return _by_position(reads, ["refpos"], [F.count("*").alias("n")], "base <> refb")
+    return _by_position(reads, chunks, ["refpos"], [F.count("*").alias("n")], "base <> refb")
 
 
-def pileup(reads: DataFrame, most: int = 15) -> DataFrame:
+def pileup(reads: DataFrame, chunks: DataFrame, most: int = 15) -> DataFrame:
     """Rows (rname, refpos, refb, a, c, g, t): saturating counts of the aligned bases, at most 2**bits - 1 each."""
     count = lambda b: F.least(F.count_if(F.col("base") == b), F.lit(most)).cast("int").alias(b.lower())
-    return _by_position(reads, ["refpos", "refb"], [count(b) for b in "ACGT"])
+    return _by_position(reads, chunks, ["refpos", "refb"], [count(b) for b in "ACGT"])
 
 
 def should_store(piles: DataFrame, min_hits: int, most: int = 10) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import flags
-from seqloom.plans.shared import running_total
+from seqloom.plans.shared import carried_forward, running_total
 
 
 def trimmed(reads: DataFrame, length: int) -> DataFrame:
@@ -68,7 +68,8 @@ def high_bit(v: Column) -> Column:
 def forward_window(df: DataFrame, order: str, width: int) -> DataFrame:
     """df (rname, pos) with base: the largest position so far in its rname, and in_window: whether pos is less than width behind it.
 
-    A forward-only window of that width has nothing for what lies further behind.
+    A forward-only window of that width has nothing for what lies further behind. order: an integer column.
     """
-    by = Window.partitionBy("rname").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("base", F.max("pos").over(by)).withColumn("in_window", (F.col("base") - F.col("pos") < width).cast("int"))
+    df = carried_forward(df, ["rname"], order, F.max("pos"), F.max("pos"), F.max("v"))
+    df = df.withColumn("base", F.greatest("_carried", "_within")).drop("_carried", "_within")
+    return df.withColumn("in_window", (F.col("base") - F.col("pos") < width).cast("int"))

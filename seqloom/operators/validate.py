@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import flags
 from seqloom.functions.cigar import is_cigar, read_span
-from seqloom.plans.shared import row_numbers
+from seqloom.plans.shared import carried_forward, row_numbers
 
 
 def _errors(df: DataFrame, **rules: Column) -> DataFrame:
@@ -62,7 +62,8 @@ def sort_order(reads: DataFrame, contigs: DataFrame, part: str = "file_id") -> D
     ids = contigs.select(F.col("name").alias("_n"), "sequence_id").dropDuplicates(["_n"])
     key = F.struct(F.coalesce("sequence_id", F.lit(2**31 - 1)).alias("s"), F.coalesce("pos", F.lit(0)).alias("p"))
     df = reads.select("row_id", "rname", "pos", part).join(ids, F.col("rname") == F.col("_n"), "left").withColumn("key", key)
-    return _errors(df.withColumn("before", F.lag("key").over(Window.partitionBy(part).orderBy("row_id"))), RECORD_OUT_OF_ORDER=F.col("before") > F.col("key"))
+    df = carried_forward(df, [part], "row_id", F.max_by("key", "row_id"), F.lag("key"), F.last("v"))
+    return _errors(df, RECORD_OUT_OF_ORDER=F.coalesce("_within", "_carried") > F.col("key"))
 
 
 def nm_tags(reads: DataFrame, actual: DataFrame) -> DataFrame:

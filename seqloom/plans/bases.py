@@ -72,18 +72,20 @@ def coverage_histogram(spark, sf_dir):
 
 
 def mismatch_pileup(spark, sf_dir):
-    return al.mismatches(placed(spark, sf_dir))
+    df = al.placed(reads(spark, sf_dir))
+    return al.mismatches(df, made_reference(df))
 
 
 def pileup_saturating(spark, sf_dir):
-    return al.pileup(placed(spark, sf_dir))
+    df = al.placed(reads(spark, sf_dir))
+    return al.pileup(df, made_reference(df))
 
 
 PILEUP_SQL = "SELECT rname, refpos, refb, " + ", ".join(f"CAST(least(count_if(base = '{b}'), 15) AS INT) AS {b.lower()}" for b in "ACGT") + f" FROM {ALIGNED} GROUP BY rname, refpos, refb"
 
 
 def refmask_should_store(spark, sf_dir):
-    return al.should_store(al.pileup(placed(spark, sf_dir)), MIN_HITS).select("rname", "refpos", "refb")
+    return al.should_store(pileup_saturating(spark, sf_dir), MIN_HITS).select("rname", "refpos", "refb")
 
 
 def substitution_freq(spark, sf_dir):

@@ -169,3 +169,21 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], block:
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
     return df.join(sums, same).withColumn(out, F.col("_before") + inside).drop("_block", "_before", *[f"_k{i}" for i in range(len(keys) + 1)])
+
+
+def carried_forward(df: DataFrame, keys: Sequence[str], order: str, over_block: Column, within: Column, so_far: Column, block_bits: int = 16) -> DataFrame:
+    """df with _carried: what the earlier blocks of the same keys, in the order of an integer column, hand on to this one; null in the first.
+
+    over_block sums a block up (as the column v), so_far combines v over the earlier blocks in a window
+    named by the second, small table; within is added as _within, over the window of the block. No
+    window holds a whole key.
+    """
+    df = df.withColumn("_block", F.shiftright(F.col(order), block_bits))
+    blocks = df.groupBy(*keys, "_block").agg(over_block.alias("v"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"), so_far.over(before).alias("_carried"))
+    same = F.col("_block") == F.col("_b")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = Window.partitionBy(*keys, "_block").orderBy(order)
+    return df.join(blocks, same).withColumn("_within", within.over(inside)).drop("_block", "_b", *[f"_k{i}" for i in range(len(keys))])

@@ -17,9 +17,12 @@ def reads(spark, data):
     return spark.createDataFrame([(i, f"q{i}", 0, r, p, 30, c, s, None, "x", "y", 9) for i, (r, p, c, s) in enumerate(data)], READ)
 
 
+def chunks(spark, *size):
+    return al.chunks_of(spark.createDataFrame([("c", REF)], "rname string, seq string"), *size)
+
+
 def with_ref(spark, data, size=64, overlap=40):
-    chunks = al.chunks_of(spark.createDataFrame([("c", REF)], "rname string, seq string"), size, overlap)
-    return al.with_reference(al.placed(reads(spark, data)), chunks, size, overlap)
+    return al.with_reference(al.placed(reads(spark, data)), chunks(spark, size, overlap), size, overlap)
 
 
 def made(rng):
@@ -75,7 +78,7 @@ def test_unplaced_and_malformed_are_left_out(spark):
     bad = [(None, 1, "1M", "A"), ("*", 1, "1M", "A"), ("c", 0, "1M", "A"), ("c", None, "1M", "A"), ("c", 1, "*", "A"), ("c", 1, None, "A"), ("c", 1, "2M", "A"), ("c", 1, "1M", "*"), ("c", 1, "1M", None), ("c", 1, "1Mx", "A"), ("c", 1, "1M", "")]
     assert al.placed(reads(spark, bad)).count() == 0
     df = with_ref(spark, bad)
-    assert al.pileup(df).count() == 0 and al.md_and_nm(df).count() == 0 and al.coverage_runs(df).count() == 0
+    assert al.pileup(al.placed(reads(spark, bad)), chunks(spark)).count() == 0 and al.md_and_nm(df).count() == 0 and al.coverage_runs(df).count() == 0
     assert {r["n"] for r in al.substitution_counts(df).collect()} == {0}
 
 
@@ -83,9 +86,31 @@ def test_coverage_and_pileup(spark):
     data = [("c", 1, "4M", "ACGT"), ("c", 3, "4M", "GTTT"), ("c", 3, "4M", "GTTT"), ("c", 70000, "2M", "AA"), ("c", 140000, "1M", "C")]
     df = with_ref(spark, data)
     assert sorted(tuple(r) for r in al.coverage_runs(df).collect()) == [("c", 1, 2, 1), ("c", 3, 4, 3), ("c", 5, 6, 2), ("c", 70000, 70001, 1), ("c", 140000, 140000, 1)]
-    piles = {(r["refpos"], r["refb"]): (r["a"], r["c"], r["g"], r["t"]) for r in al.pileup(df, most=1).collect()}
-    assert piles[3, "G"] == (0, 0, 1, 0) and piles[6, "G"] == (0, 0, 0, 1)
-    assert {r["refpos"] for r in al.should_store(al.pileup(df), 2).collect()} == {6}
+    df = al.placed(reads(spark, data))
+    piles = {(r["refpos"], r["refb"]): (r["a"], r["c"], r["g"], r["t"]) for r in al.pileup(df, chunks(spark), most=1).collect()}
+    assert piles[3, "G"] == (0, 0, 1, 0) and piles[6, "G"] == (0, 0, 0, 1) and piles[140000, "N"] == (0, 1, 0, 0)
+    assert {r["refpos"] for r in al.should_store(al.pileup(df, chunks(spark)), 2).collect()} == {6}
+
+
+@pytest.mark.parametrize("hot", [0, 3, 50_000])
+def test_pileup_of_hot_chunks(spark, hot, monkeypatch):
+    """Counted before or after the shuffle, across the ends of chunks, bases come out alike."""
+    rng = random.Random(8)
+    data = [(n, p + rng.choice([0, 900, 2000]), c, s) for n, p, c, s in (made(rng) for _ in range(60))]
+    want = {}
+    for _, p, c, s in data:
+        at, i = p, 0
+        for n, op in ((int(x[:-1]), x[-1]) for x in __import__("re").findall(r"\d+.", c)):
+            for k in range(n if op in "M=X" else 0):
+                want.setdefault(at + k, []).append(s[i + k].upper())
+            at += n if op in "MDN=X" else 0
+            i += n if op in "MIS=X" else 0
+    monkeypatch.setattr(al, "HOT", hot)
+    df = al.placed(reads(spark, data))
+    got = {r["refpos"]: (r["refb"], r["a"], r["c"], r["g"], r["t"]) for r in al.pileup(df, chunks(spark)).collect()}
+    assert got == {p: (REF[p - 1], *(min(15, v.count(b)) for b in "ACGT")) for p, v in want.items()}
+    wrong = {p: sum(b != REF[p - 1] for b in v) for p, v in want.items()}
+    assert {r["refpos"]: r["n"] for r in al.mismatches(df, chunks(spark)).collect()} == {p: n for p, n in wrong.items() if n}
 
 
 def test_substitution_codes(spark):
@@ -98,10 +123,34 @@ def test_substitution_codes(spark):
 
 
 def test_prefix_tracks_grow_with_the_batch(spark):
-    data = [("c", 1, "4M", "ACGT"), ("c", 1, "4M", "AGGT"), ("c", 3, "2M", "GT")]
-    df = with_ref(spark, data).withColumn("batch", F.lit(0).cast("bigint")).withColumn("rn", F.col("row_id") + 1)
-    got = {(r["row_id"], r["i"]): (r["coverage"], r["mismatches"]) for r in al.prefix_tracks(df).collect()}
-    assert got[0, 0] == (1, 0) and got[1, 1] == (2, 1) and got[2, 0] == (3, 0)
+    rng = random.Random(5)
+    data = sorted((made(rng) for _ in range(60)), key=lambda x: x[1]) + [("d", 9, "2M", "AC")]
+    df = with_ref(spark, data).withColumn("batch", F.expr("row_id div 25")).withColumn("rn", F.col("row_id") + 1)
+    cover, wrong, want = {}, {}, {}
+    for i, (name, p, c, s) in enumerate(data):
+        at, k = p, 0
+        for n, op in ((int(x[:-1]), x[-1]) for x in __import__("re").findall(r"\d+.", c)):
+            for j in range(n):
+                here = (name, i // 25, at + j)
+                if op in "MDN=X":
+                    cover[here] = cover.get(here, 0) + 1
+                if op in "M=X" and s[k + j].upper() != (REF[at + j - 1] if name == "c" else "N"):
+                    wrong[here] = wrong.get(here, 0) + 1
+            at += n if op in "MDN=X" else 0
+            k += n if op in "MIS=X" else 0
+        places = [(name, i // 25, p + j) for j in range(len(s))]
+        want[i] = ([cover.get(x, 0) for x in places], [wrong.get(x, 0) for x in places], s.upper())
+    assert {r["row_id"]: (r["coverage"], r["mismatches"], r["seq"]) for r in al.prefix_tracks(df, "seq").collect()} == want
+    assert al.prefix_tracks(df.limit(0)).count() == 0
+
+
+def test_groups_cut_anywhere():
+    import pyarrow as pa
+
+    rows = [("a", 1)] * 3 + [("a", 2)] + [("b", 2)] * 2
+    for cut in range(len(rows) + 1):
+        parts = [pa.RecordBatch.from_pylist([{"k": k, "j": j} for k, j in x], schema=pa.schema([("k", pa.string()), ("j", pa.int64())])) for x in (rows[:cut], rows[cut:])]
+        assert [t.num_rows for t in al._groups(iter(parts), ["k", "j"])] == [3, 1, 2]
 
 
 def test_policy_on_unplaced_read(spark):
