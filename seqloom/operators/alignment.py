@@ -83,13 +83,15 @@ def bases(reads: DataFrame, *keep: str, ops: str = "M=X") -> DataFrame:
     return each.select("row_id", "rname", F.col("o.op").alias("op"), F.expr("o.rp + x.`0`").alias("rpos"), F.expr("o.fp + x.`0`").alias("refpos"), F.col("x.`1`").alias("base"), F.col("x.`2`").alias("refb"), *keep)
 
 
-def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> DataFrame:
-    """Rows (rname, start_pos, end_pos, depth): maximal runs of positions between two changes of depth, depth > 0.
-
-    M, =, X, D and N all cover. Only the ends of reads are shuffled, not their bases.
-    """
+def coverage_steps(reads: DataFrame, start: str = "pos", span: str = "span") -> DataFrame:
+    """Rows (rname, p, d): by how much the depth changes at a position. Steps of parts of the reads add up to those of all."""
     ends = reads.filter(f"{span} > 0").select("rname", F.explode(F.array(F.struct(F.col(start).cast("bigint").alias("p"), F.lit(1).alias("d")), F.struct((F.col(start) + F.col(span)).cast("bigint").alias("p"), F.lit(-1).alias("d")))).alias("x"))
-    steps = ends.groupBy("rname", "x.p").agg(F.sum("x.d").alias("d")).filter("d <> 0")
+    return ends.groupBy("rname", "x.p").agg(F.sum("x.d").alias("d")).filter("d <> 0")
+
+
+def runs_of_steps(steps: DataFrame) -> DataFrame:
+    """Rows (rname, start_pos, end_pos, depth) from steps, one or several for a position."""
+    steps = steps.groupBy("rname", "p").agg(F.sum("d").alias("d")).filter("d <> 0")
     depth = running_total(steps, ["rname"], "p", "d", "depth").withColumn("b", F.expr("p >> 16"))
     # The next change lies in the block or is the first of the next block that has one.
     inside = Window.partitionBy("rname", "b").orderBy("p")
@@ -98,6 +100,14 @@ def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> D
     return depth.filter("depth > 0").select("rname", F.col("p").alias("start_pos"), "end_pos", "depth")
 
 
+def coverage_runs(reads: DataFrame, start: str = "pos", span: str = "span") -> DataFrame:
+    """Rows (rname, start_pos, end_pos, depth): maximal runs of positions between two changes of depth, depth > 0.
+
+    M, =, X, D and N all cover. Only the ends of reads are shuffled, not their bases.
+    """
+    return runs_of_steps(coverage_steps(reads, start, span))
+
+
 def _by_position(reads: DataFrame, chunks: DataFrame, keys: list[str], counts: list[Column], wanted: str = "true") -> DataFrame:
     """Counts over the aligned bases of each position, in one shuffle of texts, not of bases. reads as placed() gives them.
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.functions.cigar import reference_span
 from seqloom.functions.region import bin_of
-from seqloom.plans.shared import running_total
+from seqloom.plans.shared import carried_forward, running_total
 
 WINDOW_BITS = 14
 
@@ -78,3 +79,31 @@ def linear_index(index: DataFrame) -> DataFrame:
     every = least.groupBy("sequence_id").agg(F.max("window").alias("m")).select("sequence_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("window"))
     fill = F.last("offset", ignorenulls=True).over(Window.partitionBy("sequence_id").orderBy("window").rowsBetween(Window.unboundedPreceding, 0))
     return every.join(least, ["sequence_id", "window"], "left").select("sequence_id", "window", F.coalesce(fill, F.lit(0).cast("bigint")).alias("offset"))
+
+
+def record_chunks(records: DataFrame) -> DataFrame:
+    """Rows (file, sequence_id, bin, v_start, v_end, unsorted): chunks of records of one bin that follow each other in a file.
+
+    records: file, sequence_id, pos, cigar, v_start and v_end (virtual offsets). Records whose
+    blocks are the same or neighbours make one chunk. unsorted: a record of the chunk comes behind
+    one of its file that has a greater sequence or position.
+    """
+    df = records.withColumn("bin", slice_bin(F.col("pos"), reference_span(F.col("cigar"))))
+    place = F.shiftleft(F.col("sequence_id").cast("bigint"), 32) + F.col("pos")
+    before = carried_forward(df.withColumn("_place", place), ["file"], "v_start", F.max("_place"), F.max("_place"), F.max("v"), 32)
+    before = before.withColumn("bad", F.greatest("_within", "_carried") > F.col("_place")).drop("_within", "_carried", "_place")
+    same = Window.partitionBy("file", "sequence_id", "bin").orderBy("v_start")
+    apart = before.withColumn("new", F.when(F.shiftright(F.lag("v_end").over(same), 16) >= F.shiftright("v_start", 16), 0).otherwise(1))
+    runs = apart.withColumn("run", F.sum("new").over(same.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy("file", "sequence_id", "bin", "run").agg(F.min("v_start").alias("v_start"), F.max("v_end").alias("v_end"), F.max("bad").alias("unsorted")).drop("run")
+
+
+def linear_windows(records: DataFrame) -> DataFrame:
+    """Rows (file, sequence_id, window, offset): the least virtual offset of the records that touch a 16 kb window, filled as in linear_index."""
+    end = F.col("pos") + F.greatest(reference_span(F.col("cigar")), F.lit(1)) - 2
+    touch = F.explode(F.sequence(F.shiftright(F.col("pos").cast("bigint") - 1, WINDOW_BITS), F.shiftright(end, WINDOW_BITS)))
+    keys = ["file", "sequence_id"]
+    least = records.select(*keys, "v_start", touch.alias("window")).groupBy(*keys, "window").agg(F.min("v_start").alias("offset"))
+    every = least.groupBy(*keys).agg(F.max("window").alias("m")).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("window"))
+    fill = F.last("offset", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("window").rowsBetween(Window.unboundedPreceding, 0))
+    return every.join(least, [*keys, "window"], "left").select(*keys, "window", F.coalesce(fill, F.lit(0).cast("bigint")).alias("offset"))

@@ -2,33 +2,24 @@
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from seqloom.sources.detect import BAM, BGZF_END
+from seqloom.sources.files import NewFolder, exists, files_below, open_file, resolve, size_of
 
 FASTQ_SCHEMA = "qname string, seq string, qual string"
 READS_SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>"
 SPLIT = 32 << 20
 
 
-def files_below(path: str) -> list[str]:
-    """Data files at or below a path that every executor sees."""
-    path = path.removeprefix("file://")
-    if os.path.isfile(path):
-        return [path]
-    return sorted(str(p) for p in Path(path).rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
-
-
 @dataclass
 class Part(InputPartition):
     path: str
@@ -46,7 +37,7 @@ class FastqReader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split", SPLIT))
 
     def partitions(self) -> list[Part]:
-        sizes = [(p, os.path.getsize(p)) for p in files_below(self.path)]
+        sizes = [(p, size_of(p)) for p in files_below(self.path)]
         return [Part(p, at, min(at + self.split, n)) for p, n in sizes for at in range(0, n, n if p.endswith(".gz") and n else self.split)] or [Part("", 0, 0)]
 
     def read(self, part: Part) -> Iterator[tuple]:
@@ -55,10 +46,10 @@ class FastqReader(DataSourceReader):
         if part.path.endswith(".gz"):
             import gzip
 
-            with gzip.open(part.path, "rb") as f:
+            with open_file(part.path) as raw, gzip.open(raw, "rb") as f:
                 yield from self._records(f, 1 << 62)
             return
-        with open(part.path, "rb") as f:
+        with open_file(part.path) as f:
             if part.start:
                 f.seek(part.start - 1)
                 f.readline()
@@ -98,16 +89,6 @@ BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 NUMBER = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
 
 
-def blocks(f) -> Iterator[bytes]:
-    """The contents of the blocks of a block-gzipped stream."""
-    while head := f.read(18):
-        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
-            raise ValueError("not a block-gzipped file")
-        size = struct.unpack_from("<H", head, 16)[0] + 1
-        body = f.read(size - 18)
-        yield zlib.decompress(body[:-8], -15)
-
-
 def block(data: bytes) -> bytes:
     """One block of at most 65,280 bytes."""
     packer = zlib.compressobj(6, zlib.DEFLATED, -15)
@@ -115,20 +96,97 @@ def block(data: bytes) -> bytes:
     return struct.pack("<4BI2BH2B2H", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-class _Bytes:
-    """Reads a stream of pieces in any portions."""
+class Blocks:
+    """A block-gzipped stream from the block that begins at a byte on; places in it are virtual offsets, block << 16 | byte."""
+
+    def __init__(self, f, at: int = 0):
+        self.f, self.next, self.start, self.held, self.at = f, at, at, b"", 0
 
-    def __init__(self, pieces: Iterator[bytes]):
-        self.pieces, self.held, self.at = pieces, b"", 0
+    def _load(self) -> bool:
+        self.f.seek(self.next)
+        head = self.f.read(18)
+        if not head:
+            return False
+        if len(head) < 18 or head[:4] != b"\x1f\x8b\x08\x04":
+            raise ValueError("not a block-gzipped file")
+        size = struct.unpack_from("<H", head, 16)[0] + 1
+        self.start, self.next = self.next, self.next + size
+        self.held, self.at = zlib.decompress(self.f.read(size - 18)[:-8], -15), 0
+        return True
+
+    def tell(self) -> int:
+        while self.at == len(self.held):
+            if not self._load():
+                return self.next << 16
+        return self.start << 16 | self.at
+
+    def seek(self, place: int) -> None:
+        self.next, self.held, self.at = place >> 16, b"", 0
+        if place & 0xFFFF:
+            self._load()
+            self.at = place & 0xFFFF
 
     def take(self, n: int) -> bytes:
-        while len(self.held) - self.at < n:
-            piece = next(self.pieces, None)
-            if piece is None:
+        """The next n bytes; none at the end of the stream."""
+        out = []
+        while n:
+            if self.at == len(self.held) and not self._load():
                 return b""
-            self.held, self.at = self.held[self.at :] + piece, 0
-        self.at += n
-        return self.held[self.at - n : self.at]
+            piece = self.held[self.at : self.at + n]
+            self.at += len(piece)
+            n -= len(piece)
+            out.append(piece)
+        return out[0] if len(out) == 1 else b"".join(out)
+
+
+def first_block(f, start: int, end: int) -> int | None:
+    """The first byte from start to end - 1 at which a block begins: its header, followed by another block's or the file's end."""
+    f.seek(start)
+    data, size = f.read(end - start + (1 << 17)), end - start
+    at = data.find(b"\x1f\x8b\x08\x04")
+    while 0 <= at < size:
+        if data[at + 10 : at + 16] == b"\x06\0BC\x02\0" and len(data) >= at + 18:
+            after = at + struct.unpack_from("<H", data, at + 16)[0] + 1
+            if data[after : after + 4] in (b"", b"\x1f\x8b\x08\x04"):
+                return start + at
+        at = data.find(b"\x1f\x8b\x08\x04", at + 1)
+    return None
+
+
+def _is_record(raw: bytes, at: int, n_refs: int) -> int:
+    """Where the record that may begin at a byte would end, 0 if none can begin there; the part of its name that raw lacks is taken for right."""
+    size, ref, _, n_name, _, _, n_ops, _, n, ref2, _, _ = struct.unpack_from("<iiiBBHHHiiii", raw, at)
+    least = 32 + n_name + 4 * n_ops + (n + 1) // 2 + n
+    if not (-1 <= ref < n_refs and -1 <= ref2 < n_refs and n_name >= 1 and n >= 0 and least <= size < 1 << 28):
+        return 0
+    name = raw[at + 36 : at + 36 + n_name]
+    if len(name) == n_name and name.find(0) != n_name - 1:
+        return 0
+    return at + 4 + size
+
+
+def first_record(f, start: int, end: int, n_refs: int) -> int | None:
+    """The virtual offset of the first record that begins in a block from start to end - 1.
+
+    A record is where its fields make sense, and those of every record behind it in what is looked
+    at, at least 128 kb more than its block, or to the end of the file exactly.
+    """
+    block = first_block(f, start, end)
+    while block is not None and block < end:
+        stream = Blocks(f, block)
+        stream.tell()
+        own, after, raw = len(stream.held), stream.next, stream.held
+        more = True
+        while len(raw) < own + (1 << 17) and (more := stream._load()):
+            raw += stream.held
+        for at in range(min(own, len(raw) - 35)):
+            ends = at
+            while 0 < len(raw) - ends >= 36 and (ends := _is_record(raw, ends, n_refs)):
+                pass
+            if ends and (more or ends == len(raw)):
+                return block << 16 | at
+        block = after if own else None
+    return None
 
 
 def _text(raw: bytes, at: int) -> tuple[str, int]:
@@ -205,8 +263,10 @@ def _bin(start: int, end: int) -> int:
 
 
 def encode_record(row: dict, ids: dict[str, int]) -> bytes:
-    """A record; nulls as sentinels, a malformed CIGAR as none, letters without a code as N, names cut to 254 bytes."""
-    qname = (row["qname"] or "*").encode()[:254] + b"\0"
+    """A record; nulls as sentinels, a malformed CIGAR as none, letters without a code as N. ValueError for names of more than 254 bytes, which the format can't hold."""
+    qname = (row["qname"] or "*").encode() + b"\0"
+    if len(qname) > 255:
+        raise ValueError(f"name of {len(qname) - 1} bytes: {row['qname'][:40]}...")
     cigar = row["cigar"] or "*"
     ops = re.findall(r"(\d+)([MIDNSHP=X])", cigar) if re.fullmatch(r"(\d+[MIDNSHP=X])+", cigar) else []
     seq = "" if (row["seq"] or "*") == "*" else row["seq"].upper()
@@ -230,30 +290,132 @@ def header_bytes(names: list[str], lengths: list[int], text: str = "") -> bytes:
     return BAM + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(names)) + refs
 
 
+def read_names(data: Blocks) -> list[str]:
+    """The sequence names of the header; the stream goes on at the first record."""
+    if data.take(4) != BAM:
+        raise ValueError("no binary records")
+    number = lambda: struct.unpack("<i", data.take(4))[0]
+    data.take(number())
+    names = []
+    for _ in range(number()):
+        names.append(data.take(number())[:-1].decode())
+        data.take(4)
+    return names
+
+
+OFFSETS = ", file string, v_start bigint, v_end bigint"
+
+
 class BamReader(DataSourceReader):
-    """One partition per file: without an index records can't be found from the middle of a file."""
+    """Byte ranges of the files, each from the first record that begins in it.
+
+    Options: split, bytes of a range; region (name or name:start-end), records that overlap it,
+    found by the .bai beside a file where there is one; offsets, with the file and the virtual
+    offsets of each record.
+    """
 
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path, self.split, self.offsets = options["path"], int(options.get("split", SPLIT)), options.get("offsets", "") == "true"
+        self.region = _region(options["region"]) if options.get("region") else None
 
     def partitions(self) -> list[Part]:
-        return [Part(p, 0, 0) for p in files_below(self.path)] or [Part("", 0, 0)]
+        out = []
+        for p in files_below(self.path, ".bam"):
+            if self.region and exists(f"{p}.bai"):
+                with open_file(p) as f:
+                    names = read_names(Blocks(f))
+                if self.region[0] in names:
+                    out += [Part(p, -1 - a, b) for a, b in bai_chunks(f"{p}.bai", names.index(self.region[0]), *self.region[1:])]
+            else:
+                size = size_of(p)
+                out += [Part(p, at, min(at + self.split, size)) for at in range(0, size, self.split)]
+        return out or [Part("", 0, 0)]
 
     def read(self, part: Part) -> Iterator[tuple]:
+        """A part with a negative start is a chunk between virtual offsets, another one a range of bytes."""
         if not part.path:
             return
-        with open(part.path, "rb") as f:
-            data = _Bytes(blocks(f))
-            if data.take(4) != BAM:
-                raise ValueError(f"{part.path} holds no binary records")
-            number = lambda: struct.unpack("<i", data.take(4))[0]
-            data.take(number())
-            names = []
-            for _ in range(number()):
-                names.append(data.take(number())[:-1].decode())
-                data.take(4)
-            while size := data.take(4):
-                yield decode_record(data.take(struct.unpack("<i", size)[0]), names)
+        with open_file(part.path) as f:
+            data = Blocks(f)
+            names = read_names(data)
+            if part.start < 0:
+                at, end = -1 - part.start, part.end
+            else:
+                at, end = data.tell(), part.end << 16
+                if part.start > at >> 16 and (at := first_record(f, part.start, part.end, len(names))) is None:
+                    return
+            data = Blocks(f)
+            data.seek(at)
+            while (at := data.tell()) < end and (size := data.take(4)):
+                row = decode_record(data.take(struct.unpack("<i", size)[0]), names)
+                if self.region is None or _overlaps(row, self.region):
+                    yield (*row, part.path, at, data.tell()) if self.offsets else row
+
+
+def _region(text: str) -> tuple[str, int, int]:
+    """name, start and end of a region such as chr1, chr1:100 or chr1:100-200."""
+    m = re.fullmatch(r"(.*?)(?::(\d+)(?:-(\d+))?)?", text)
+    return m[1], int(m[2] or 1), int(m[3] or 2**31 - 1)
+
+
+def _overlaps(row: tuple, region: tuple[str, int, int]) -> bool:
+    name, start, end = region
+    if row[2] != name or not 1 <= row[3] <= end:
+        return False
+    return row[3] + max(sum(int(n) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", row[5]) if o in "MDN=X"), 1) - 1 >= start
+
+
+def bins_of(start: int, end: int) -> list[int]:
+    """The bins whose records may overlap start to end (1-based, inclusive)."""
+    return [0] + [b for shift, offset in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)) for b in range(offset + (max(start - 1, 0) >> shift), offset + (min(end, 1 << 29) - 1 >> shift) + 1)]
+
+
+def bai_bytes(bins: list[dict[int, list[tuple[int, int]]]], linear: list[list[int]]) -> bytes:
+    """An index file: for each sequence its chunks by bin, and the least offset of each window of 16 kb."""
+    out = b"BAI\1" + struct.pack("<i", len(bins))
+    for of, windows in zip(bins, linear, strict=True):
+        out += struct.pack("<i", len(of))
+        for b, chunks in sorted(of.items()):
+            out += struct.pack("<Ii", b, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks)
+        out += struct.pack("<i", len(windows)) + b"".join(struct.pack("<Q", w) for w in windows)
+    return out
+
+
+def read_bai(path: str) -> tuple[list[dict[int, list[tuple[int, int]]]], list[list[int]]]:
+    """The inverse of bai_bytes."""
+    with open_file(path) as f:
+        raw = f.read()
+    if raw[:4] != b"BAI\1":
+        raise ValueError(f"{path} is no such index")
+    at, bins, linear = 8, [], []
+    for _ in range(struct.unpack_from("<i", raw, 4)[0]):
+        n, at, of = struct.unpack_from("<i", raw, at)[0], at + 4, {}
+        for _ in range(n):
+            b, k = struct.unpack_from("<Ii", raw, at)
+            flat = struct.unpack_from(f"<{2 * k}Q", raw, at + 8)
+            of[b], at = list(zip(flat[::2], flat[1::2])), at + 8 + 16 * k
+        n = struct.unpack_from("<i", raw, at)[0]
+        linear.append(list(struct.unpack_from(f"<{n}Q", raw, at + 4)))
+        bins.append(of)
+        at += 4 + 8 * n
+    return bins, linear
+
+
+def bai_chunks(path: str, sequence: int, start: int, end: int) -> list[tuple[int, int]]:
+    """Chunks (virtual offsets) that may hold records overlapping a range, without those that end before its first window begins; neighbours are joined."""
+    bins, linear = read_bai(path)
+    if sequence >= len(bins):
+        return []
+    window = max(start - 1, 0) >> 14
+    least = linear[sequence][window] if window < len(linear[sequence]) else 0
+    wanted = set(bins_of(start, end)) & bins[sequence].keys() if end - start < 1 << 26 else bins[sequence].keys()
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(c for x in wanted for c in bins[sequence][x] if c[1] > least):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
 
 
 class BamSource(DataSource):
@@ -262,48 +424,92 @@ class BamSource(DataSource):
         return "seqloom_bam"
 
     def schema(self) -> str:
-        return READS_SCHEMA
+        return READS_SCHEMA + (OFFSETS if self.options.get("offsets", "") == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return BamReader(dict(self.options))
 
 
 def write_bam(reads, contigs, path: str) -> None:
-    """One file per partition into a folder that all executors see. The sequence dictionary, bounded by the reference, goes to each task."""
+    """One file per partition, in its order, in a new or empty folder that all executors see. The sequence dictionary, bounded by the reference, goes to each task."""
     known = contigs.select("sequence_id", "name", "length").orderBy("sequence_id").collect()
     names, lengths = [r["name"] for r in known], [r["length"] for r in known]
     ids = {n: i for i, n in enumerate(names)}
-    folder = path.removeprefix("file://")
+    folder = NewFolder(path)
     columns = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
 
     def run(batches):
-        import uuid
-
         import pyarrow as pa
 
-        os.makedirs(folder, exist_ok=True)
-        final = f"{folder}/part-{uuid.uuid4().hex}.bam"
-        n, held = 0, header_bytes(names, lengths)
-        with open(f"{folder}/.{os.path.basename(final)}", "wb") as f:
+        name, n, held = folder.attempt(".bam"), 0, bytearray(header_bytes(names, lengths))
+        with folder.create(name) as f:
             for batch in batches:
                 for row in batch.to_pylist():
                     row["tags"] = dict(row["tags"] or [])
                     held += encode_record(row, ids)
                     n += 1
                     while len(held) >= 65_280:
-                        f.write(block(held[:65_280]))
-                        held = held[65_280:]
+                        f.write(block(bytes(held[:65_280])))
+                        del held[:65_280]
             if held:
-                f.write(block(held))
+                f.write(block(bytes(held)))
             f.write(BGZF_END)
-        os.rename(f"{folder}/.{os.path.basename(final)}", final)
-        yield pa.RecordBatch.from_pydict({"path": [final], "n": pa.array([n], pa.int64())})
-
-    # Only the files of tasks that were counted stay: a task run twice leaves another file.
-    kept = {os.path.basename(r["path"]) for r in reads.select(*columns).mapInArrow(run, "path string, n bigint").collect()}
-    for p in Path(folder).iterdir():
-        if p.name not in kept:
-            p.unlink()
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+
+    try:
+        folder.keep(r["name"] for r in reads.select(*columns).mapInArrow(run, "name string, n bigint").collect())
+    except BaseException:
+        folder.close()
+        raise
+
+
+def sorted_for_index(reads, contigs):
+    """reads in the order of contigs and positions, range-partitioned; what has no place comes last, spread by its name."""
+    from pyspark.sql import functions as F
+
+    ids = contigs.select(F.col("name").alias("_n"), "sequence_id").dropDuplicates(["_n"])
+    key = F.when(F.col("sequence_id").isNull(), F.lit(2**62) + F.pmod(F.xxhash64("qname"), F.lit(2**31))).otherwise(F.col("sequence_id").cast("bigint") * 2**32 + F.coalesce("pos", F.lit(0)))
+    df = reads.join(ids, F.col("rname") == F.col("_n"), "left").withColumn("_key", key).drop("_n", "sequence_id")
+    return df.repartitionByRange("_key", F.xxhash64("qname")).sortWithinPartitions("_key")
+
+
+def index_bam(spark: SparkSession, path: str) -> None:
+    """Write X.bam.bai beside each file X.bam at or below path, from the places of its records; ValueError if one isn't sorted.
+
+    The chunks of a file are put together by Spark; what goes to one task is a file's index.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from seqloom.operators.index import linear_windows, record_chunks
+
+    register(spark)
+    files = {}
+    for p in files_below(path, ".bam"):
+        with open_file(p) as f:
+            files[p] = {n: i for i, n in enumerate(read_names(Blocks(f)))}
+    ids = spark.createDataFrame([(p, n, i) for p, of in files.items() for n, i in of.items()], "file string, rname string, sequence_id int")
+    records = spark.read.format(BamSource.name()).option("offsets", "true").load(path).join(ids, ["file", "rname"]).filter("pos >= 1")
+    chunks, windows = record_chunks(records), linear_windows(records)
+    if bad := chunks.filter("unsorted").select("file").first():
+        raise ValueError(f"{bad['file']} isn't sorted by coordinates")
+    rows = chunks.select("file", "sequence_id", "bin", F.col("v_start"), F.col("v_end")).unionByName(windows.select("file", "sequence_id", (-1 - F.col("window")).alias("bin"), F.col("offset").alias("v_start"), F.lit(0).cast("bigint").alias("v_end")))
+    sizes = {p: len(of) for p, of in files.items()}
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bins, linear = [{} for _ in range(sizes[key[0].as_py()])], [{} for _ in range(sizes[key[0].as_py()])]
+        for s, b, v, e in zip(*(t.column(c).to_pylist() for c in ("sequence_id", "bin", "v_start", "v_end"))):
+            if b < 0:
+                linear[s][-1 - b] = v
+            else:
+                bins[s].setdefault(b, []).append((v, e))
+        raw = bai_bytes([{b: sorted(c) for b, c in of.items()} for of in bins], [[of[w] for w in sorted(of)] for of in linear])
+        fs, inner = resolve(key[0].as_py() + ".bai")
+        with fs.open_output_stream(inner, compression=None) as f:
+            f.write(raw)
+        return pa.table({"n": pa.array([len(raw)], pa.int64())})
+
+    rows.groupBy("file").applyInArrow(run, "n bigint").collect()
 
 
 def register(spark: SparkSession) -> None:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import os
 import re
 import struct
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from pathlib import Path
 
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.types import StructType
 
 from seqloom.sources import codecs as c
-from seqloom.sources.binary import READS_SCHEMA, _encode_tags, _tags, files_below
+from seqloom.plans.shared import row_numbers
+from seqloom.sources.binary import READS_SCHEMA, _encode_tags, _overlaps, _region, _tags
+from seqloom.sources.files import NewFolder, exists, files_below, open_file, size_of
 
 MAGIC, VERSION, FILE_ID = b"CRAM", (2, 0), 20
 # Kinds of blocks.
@@ -61,17 +63,18 @@ class Head:
     blocks: int
     landmarks: list[int]
     body: int
+    start_byte: int
 
 
 def container_heads(path: str, at: int = 26) -> Iterator[Head]:
-    """The headers of a file's containers, one after another, without their blocks."""
-    end = os.path.getsize(path)
-    with open(path, "rb") as f:
+    """The headers of a file's containers, one after another from a byte on, without their blocks."""
+    end = size_of(path)
+    with open_file(path) as f:
         while at < end:
             f.seek(at)
-            b = c.Bytes(f.read(1 << 16))
+            b = c.Bytes(f.read(1 << 12))
             size = struct.unpack("<i", b.take(4))[0]
-            head = Head(size, b.itf8(), b.itf8(), b.itf8(), b.itf8(), b.ltf8(), b.ltf8(), b.itf8(), b.array(), 0)
+            head = Head(size, b.itf8(), b.itf8(), b.itf8(), b.itf8(), b.ltf8(), b.ltf8(), b.itf8(), b.array(), 0, at)
             head.body = at + b.at
             yield head
             at = head.body + size
@@ -79,7 +82,7 @@ def container_heads(path: str, at: int = 26) -> Iterator[Head]:
 
 def read_header(path: str) -> tuple[tuple[int, int], str]:
     """Version and the text of the record header."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         start = f.read(26)
         if start[:4] != MAGIC:
             raise ValueError(f"{path} isn't of this format")
@@ -95,19 +98,73 @@ def header_names(text: str) -> tuple[list[str], list[str]]:
     return [x["SN"] for x in cells if x["_"] == "@SQ"], [x["ID"] for x in cells if x["_"] == "@RG"]
 
 
+class Reference:
+    """Upper-case letters of a FASTA file, read by ranges; what isn't one of ACGTN becomes N.
+
+    Places come from X.fai, or, where there is none, from one pass over the file per worker. The
+    lines of a sequence must be of one length but the last.
+    """
+
+    AHEAD = 1 << 16
+
+    def __init__(self, path: str):
+        self.path, self.places, self.file = path, {}, None
+        if exists(f"{path}.fai"):
+            with open_file(f"{path}.fai") as f:
+                for line in f.read().decode().splitlines():
+                    name, *rest = line.split("\t")
+                    self.places[name] = tuple(map(int, rest[:4]))
+        else:
+            self._scan()
+
+    def _scan(self) -> None:
+        name, ended = None, False
+        with open_file(self.path) as f:
+            at = 0
+            for line in f:
+                at += len(line)
+                if line.startswith(b">"):
+                    name, ended = (line[1:].split() or [b""])[0].decode(), False
+                    self.places[name] = (0, at, 0, 0)
+                elif name is not None and (n := len(line.rstrip(b"\r\n"))):
+                    size, first, bases, width = self.places[name]
+                    if ended or bases and n > bases:
+                        raise ValueError(f"lines of {name} differ in length")
+                    ended = bool(bases) and n < bases
+                    self.places[name] = (size + n, first, bases or n, width or len(line))
+
+    def letters(self, name: str, start: int, end: int) -> str:
+        """From start to end - 1, counted from 0; shorter where the sequence ends, empty where there is none."""
+        size, first, bases, width = self.places.get(name, (0, 0, 0, 0))
+        start, end = max(start, 0), min(end, size)
+        if start >= end:
+            return ""
+        byte = lambda p: first + p // bases * width + p % bases
+        self.file = self.file or open_file(self.path)
+        self.file.seek(byte(start))
+        raw = self.file.read(byte(end - 1) + 1 - byte(start))
+        return re.sub("[^ACGTN]", "N", raw.translate(None, b"\r\n").decode("latin-1").upper())
+
+
+class Letters:
+    """One sequence of a reference, to be sliced like a text; what was read last is kept, with what follows it."""
+
+    def __init__(self, reference: Reference | None, name: str):
+        self.reference, self.name, self.start, self.held = reference, name, 0, ""
+
+    def __getitem__(self, part: slice) -> str:
+        start, end = part.start, part.stop
+        if self.reference is None or end <= start:
+            return ""
+        if not self.start <= start <= end <= self.start + len(self.held):
+            self.start = max(start, 0)
+            self.held = self.reference.letters(self.name, self.start, max(end, self.start + Reference.AHEAD))
+        return self.held[max(start, 0) - self.start : max(end, 0) - self.start]
+
+
 @lru_cache(maxsize=2)
-def load_reference(path: str) -> dict[str, str]:
-    """Upper-case sequences of a FASTA file; what isn't one of ACGTN becomes N."""
-    out: dict[str, list[str]] = {}
-    name = None
-    with open(path) as f:
-        for line in f:
-            if line.startswith(">"):
-                name = line[1:].split()[0] if line[1:].split() else ""
-                out[name] = []
-            elif name is not None:
-                out[name].append(line.strip().upper())
-    return {n: re.sub("[^ACGTN]", "N", "".join(x)) for n, x in out.items()}
+def load_reference(path: str) -> Reference:
+    return Reference(path)
 
 
 class Compression:
@@ -146,9 +203,9 @@ def _slice(b: c.Bytes) -> tuple[c.Bytes, list[tuple[int, int, bytes]]]:
     return h, [_read_block(b) for _ in range(blocks)]
 
 
-def read_container(path: str, head: Head, names: list[str], reference: dict[str, str]) -> Iterator[tuple]:
+def read_container(path: str, head: Head, names: list[str], groups: list[str], reference: Reference | None) -> Iterator[tuple]:
     """The records of a container as rows of READS_SCHEMA."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         f.seek(head.body)
         b = c.Bytes(f.read(head.size))
     _, _, raw = _read_block(b)
@@ -161,7 +218,7 @@ def read_container(path: str, head: Head, names: list[str], reference: dict[str,
         get = {k: c.reader(*comp.series.get(k, (c.NULL, b"")), core, external, kind) for k, kind in SERIES.items()}
         tag = {k: c.reader(*e, core, external, "array") for k, e in comp.tags.items()}
         rows = [_record(get, tag, comp, sequence, counter + i) for i in range(n)]
-        yield from _finished(rows, start, comp, names, reference)
+        yield from _finished(rows, start, comp, names, groups, reference)
 
 
 def _record(get: dict, tag: dict, comp: Compression, sequence: int, number: int) -> dict:
@@ -196,7 +253,7 @@ def _record(get: dict, tag: dict, comp: Compression, sequence: int, number: int)
     return r
 
 
-def _aligned(r: dict, comp: Compression, ref: str) -> tuple[str, str, bytearray | None]:
+def _aligned(r: dict, comp: Compression, ref: Letters) -> tuple[str, str, bytearray | None]:
     """CIGAR, bases and scores from the features."""
     ops: list[list] = []
     seq: list[str] = []
@@ -238,8 +295,8 @@ def _aligned(r: dict, comp: Compression, ref: str) -> tuple[str, str, bytearray
     return "".join(f"{n}{o}" for o, n in ops) or "*", "".join(seq) or "*", scores
 
 
-def _finished(rows: list[dict], start: int, comp: Compression, names: list[str], reference: dict[str, str]) -> Iterator[tuple]:
-    before = start
+def _finished(rows: list[dict], start: int, comp: Compression, names: list[str], groups: list[str], reference: Reference | None) -> Iterator[tuple]:
+    before, letters = start, {}
     for r in rows:
         r["pos"] = before = before + r["ap"] if comp.delta else r["ap"]
     name = lambda i: names[i] if 0 <= i < len(names) else "*"
@@ -255,12 +312,15 @@ def _finished(rows: list[dict], start: int, comp: Compression, names: list[str],
         if r["flag"] & 4:
             cigar, seq, scores = "*", r["bases"] or "*", None
         else:
-            cigar, seq, scores = _aligned(r, comp, reference.get(name(r["ref"]), ""))
+            of = name(r["ref"])
+            if of not in letters:
+                letters[of] = Letters(reference, of)
+            cigar, seq, scores = _aligned(r, comp, letters[of])
         qual = r["qual"] if r["qual"] is not None else scores
         text = "*" if not qual else bytes(min(q, 93) + 33 for q in qual).decode("latin-1")
         mate = r.get("mate_ref", -1)
         rnext = "=" if mate == r["ref"] and mate >= 0 else name(mate)
-        yield r["name"] or str(r["number"]), flag, name(r["ref"]), r["pos"], r.get("mapq", 0), cigar, rnext, r.get("mate_pos", 0), r.get("tlen", 0), seq, text, _tags(r["tags"], 0)
+        yield r["name"] or str(r["number"]), flag, name(r["ref"]), r["pos"], r.get("mapq", 0), cigar, rnext, r.get("mate_pos", 0), r.get("tlen", 0), seq, text, _tags(r["tags"], 0) | ({"RG": f"Z:{groups[r['rg']]}"} if 0 <= r["rg"] < len(groups) else {})
 
 
 @dataclass
@@ -274,18 +334,42 @@ TOGETHER = 4 << 20
 
 
 class CramReader(DataSourceReader):
-    """Partitions of whole containers: their headers are read ahead, their blocks only by the tasks."""
+    """Partitions of whole containers: their headers are read ahead, their blocks only by the tasks.
+
+    Options: reference, a FASTA file; region (name or name:start-end), records that overlap it.
+    Containers that can't hold wanted records are left out, by their headers, or, where X.crai lies
+    beside X, without reading those. pushdown: filters that Spark hands down on rname and pos
+    narrow the containers in the same way; it needs spark.sql.python.filterPushdown.enabled.
+    """
 
     def __init__(self, options: dict):
         self.path, self.reference = options["path"], options.get("reference")
+        self.region = _region(options["region"]) if options.get("region") else None
+        self.name, self.low, self.high = self.region or (None, 1, 2**31 - 1)
+
+    def _wanted(self, path: str) -> Iterator[Head]:
+        heads = container_heads(path)
+        first = next(heads, None)
+        if self.name is None:
+            yield from (h for h in heads if h.records)
+            return
+        names, _ = header_names(read_header(path)[1]) if first else ([], [])
+        # A name that the header lacks can only stand on records without a known sequence.
+        sequence = names.index(self.name) if self.name in names else -1
+        fits = lambda s, start, span: s == -2 or s == sequence and (s < 0 or start <= self.high and start + max(span, 1) - 1 >= self.low)
+        if exists(f"{path}.crai"):
+            with open_file(f"{path}.crai") as f:
+                index = [tuple(map(int, line.split("\t"))) for line in gzip.decompress(f.read()).decode().splitlines()]
+            places = sorted({x[3] for x in index if fits(*x[:3])})
+            yield from (next(container_heads(path, at)) for at in places)
+        else:
+            yield from (h for h in heads if h.records and fits(h.sequence, h.start, h.span))
 
     def partitions(self) -> list[Part]:
         out: list[Part] = []
-        for p in files_below(self.path):
+        for p in files_below(self.path, ".cram"):
             size = TOGETHER
-            for i, head in enumerate(container_heads(p)):
-                if not i or not head.records:
-                    continue
+            for head in self._wanted(p):
                 if size >= TOGETHER:
                     out.append(Part(p, []))
                     size = 0
@@ -296,10 +380,25 @@ class CramReader(DataSourceReader):
     def read(self, part: Part) -> Iterator[tuple]:
         if not part.heads:
             return
-        names, _ = header_names(read_header(part.path)[1])
-        reference = load_reference(self.reference) if self.reference else {}
+        names, groups = header_names(read_header(part.path)[1])
+        reference = load_reference(self.reference) if self.reference else None
         for head in part.heads:
-            yield from read_container(part.path, head, names, reference)
+            rows = read_container(part.path, head, names, groups, reference)
+            yield from rows if self.region is None else (r for r in rows if _overlaps(r, self.region))
+
+
+class FilteredCramReader(CramReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            at = getattr(f, "attribute", None)
+            if isinstance(f, EqualTo) and at == ("rname",) and self.name in (None, f.value):
+                self.name = f.value
+            elif at == ("pos",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None:
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.low = max(self.low, f.value)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.high = min(self.high, f.value)
+            yield f  # only containers are left out; Spark still looks at the records
 
 
 class CramSource(DataSource):
@@ -311,19 +410,44 @@ class CramSource(DataSource):
         return READS_SCHEMA
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return CramReader(dict(self.options))
+        return (FilteredCramReader if self.options.get("pushdown", "") == "true" else CramReader)(dict(self.options))
+
+
+def _int_codes(values: list[int]) -> tuple[int, int, bytes, Callable[[c.BitWriter, int], None]]:
+    """The cheapest bit code of a series: its bits, kind, parameters, and what puts a value."""
+    from seqloom.functions.encoding import DICTIONARY
+    from seqloom.operators.storage import huffman_lengths
+
+    counts = Counter(values)
+    low, high = min(counts), max(counts)
+    shift = max(0, -low)
+    width = (high + shift).bit_length()
+    two = lambda a, b: c.write_itf8(a) + c.write_itf8(b)
+    total = lambda cost: sum(n * cost(v) for v, n in counts.items())
+    sub = lambda k: lambda v: k + 1 if v + shift < 1 << k else 2 * (v + shift).bit_length() - k
+    found = [(total(lambda v: 2 * (v + shift + 1).bit_length() - 1), 0, c.GAMMA, c.write_itf8(shift + 1), lambda w, v: c.put_gamma(w, v, shift + 1))]
+    found += [(total(sub(k)), k, c.SUBEXP, two(shift, k), lambda w, v, k=k: c.put_subexp(w, v, shift, k)) for k in (2, 3, 4)]
+    found.append((width * len(values), 5, c.BETA, two(shift, width), lambda w, v: w.put(v + shift, width)))
+    if len(counts) < DICTIONARY:
+        keys = sorted(counts)
+        lengths = huffman_lengths([counts[v] for v in keys])
+        book = c.canonical(keys, lengths)
+        found.append((sum(n * counts[v] for v, n in zip(keys, lengths)), 6, c.HUFFMAN, c.write_array(keys) + c.write_array(lengths), lambda w, v: w.put(*book[v])))
+    bits, _, kind, params, put = min(found, key=lambda x: x[:2])
+    return bits, kind, params, put
 
 
 class _Writer:
-    """Collects the series of a slice."""
+    """Collects the series of a slice: bytes and texts as they are, integers with their order among each other."""
 
     def __init__(self) -> None:
         self.out = {k: bytearray() for k in SERIES}
+        self.events: list[tuple[str, int]] = []
         self.sets: dict[tuple[bytes, ...], int] = {}
         self.tags: dict[bytes, tuple[bytearray, bytearray]] = {}
 
     def int(self, key: str, v: int) -> None:
-        self.out[key] += c.write_itf8(v)
+        self.events.append((key, v))
 
     def byte(self, key: str, v: int) -> None:
         self.out[key].append(v)
@@ -331,13 +455,33 @@ class _Writer:
     def array(self, key: str, v: bytes) -> None:
         self.out[key] += v + b"\0"
 
+    def coded(self) -> tuple[dict[str, tuple[int, bytes]], bytes]:
+        """The encodings of integer series in the core block, each where its best code takes fewer bytes than a packed block of its own, and that block; the others become bytes."""
+        by_key: dict[str, list[int]] = {}
+        for k, v in self.events:
+            by_key.setdefault(k, []).append(v)
+        chosen, put = {}, {}
+        for k, values in by_key.items():
+            raw = b"".join(map(c.write_itf8, values))
+            bits, kind, params, one = _int_codes(values)
+            if bits // 8 + len(params) < len(_block(EXTERNAL_BLOCK, 0, raw)):
+                chosen[k], put[k] = (kind, params), one
+            else:
+                self.out[k] += raw
+        core = c.BitWriter()
+        for k, v in self.events:
+            if k in put:
+                put[k](core, v)
+        return chosen, core.data()
 
-def _features(pos: int, ops: list[tuple[int, str]], seq: str, ref: str) -> Iterator[tuple[str, int, object]]:
+
+def _features(pos: int, ops: list[tuple[int, str]], seq: str, ref: Letters) -> Iterator[tuple[str, int, object]]:
     at, place = 1, pos - 1
     for n, op in ops:
         if op in "M=X":
+            own = ref[place : place + n].ljust(n, "N")
             for i in range(n):
-                a, b = seq[at - 1 + i], ref[place + i : place + i + 1] or "N"
+                a, b = seq[at - 1 + i], own[i]
                 if a != b:
                     yield ("X", at + i, LETTERS.replace(b, "").index(a)) if a in LETTERS and b in LETTERS else ("B", at + i, a)
         elif n:
@@ -346,7 +490,7 @@ def _features(pos: int, ops: list[tuple[int, str]], seq: str, ref: str) -> Itera
         place += n if op in "MDN=X" else 0
 
 
-def _put(w: _Writer, row: dict, ids: dict[str, int], ref: str, start: int, pos: int) -> tuple[int, int]:
+def _put(w: _Writer, row: dict, ids: dict[str, int], groups: dict[str, int], ref: Letters, start: int, pos: int) -> tuple[int, int]:
     flag = row["flag"] or 0
     seq = "" if (row["seq"] or "*") == "*" else row["seq"].upper()
     cigar = row["cigar"] or "*"
@@ -361,15 +505,17 @@ def _put(w: _Writer, row: dict, ids: dict[str, int], ref: str, start: int, pos:
     w.byte("CF", 2 | scored)
     w.int("RL", len(seq))
     w.int("AP", pos - start)
-    w.int("RG", -1)
+    tags = row["tags"] or {}
+    group = groups.get((tags.get("RG") or "")[2:], -1) if (tags.get("RG") or "").startswith("Z:") else -1
+    w.int("RG", group)
     w.array("RN", (row["qname"] or "*").replace("\0", "").encode())
     w.byte("MF", (flag >> 5 & 1) | (flag >> 2 & 2))
     w.int("NS", own if row["rnext"] == "=" else ids.get(row["rnext"] or "*", -1))
     w.int("NP", row["pnext"] or 0)
     w.int("TS", row["tlen"] or 0)
     cells = []
-    for key, value in sorted((row["tags"] or {}).items()):
-        if raw := _encode_tags({key: value}):
+    for key, value in sorted(tags.items()):
+        if (group < 0 or key != "RG") and (raw := _encode_tags({key: value})):
             cells.append((raw[:3], raw[3:]))
     w.int("TL", w.sets.setdefault(tuple(k for k, _ in cells), len(w.sets)))
     for k, v in cells:
@@ -402,18 +548,21 @@ def _put(w: _Writer, row: dict, ids: dict[str, int], ref: str, start: int, pos:
     return len(seq), pos + (sum(n for n, o in ops if o in "MDN=X") if mapped else 1)
 
 
-def write_container(rows: list[dict], sequence: int, ids: dict[str, int], ref: str, counter: int) -> bytes:
-    """One container of one slice of records of one sequence; every series in an external block of its own."""
+def write_container(rows: list[dict], sequence: int, ids: dict[str, int], groups: dict[str, int], ref: Letters, counter: int) -> tuple[bytes, str]:
+    """One container of one slice of records of one sequence, and its line of the index but the container's place."""
     w = _Writer()
     places = [(r["pos"] or 0) if sequence >= 0 else 0 for r in rows]
     start = min(places, default=0)
     before, n_bases, stop = start, 0, start
     for r, pos in zip(rows, places, strict=True):
-        n, end = _put(w, r, ids, ref, before, pos)
+        n, end = _put(w, r, ids, groups, ref, before, pos)
         before, n_bases, stop = pos, n_bases + n, max(stop, end)
     number = {k: i + 1 for i, k in enumerate(SERIES)}
-    series = b""
+    series, (chosen, core) = b"", w.coded()
     for k, kind in SERIES.items():
+        if k in chosen:
+            series += k.encode() + bytes([chosen[k][0]]) + c.write_itf8(len(chosen[k][1])) + chosen[k][1]
+            continue
         params = (b"\0" + c.write_itf8(number[k])) if kind == "array" else c.write_itf8(number[k])
         series += k.encode() + bytes([c.ARRAY_STOP if kind == "array" else c.EXTERNAL]) + c.write_itf8(len(params)) + params
     tags, blocks, at = b"", [(number[k], bytes(v)) for k, v in w.out.items() if v], len(SERIES) + 1
@@ -430,8 +579,9 @@ def write_container(rows: list[dict], sequence: int, ids: dict[str, int], ref: s
     span = max(stop - start, 0)
     md5 = hashlib.md5(ref[start - 1 : start - 1 + span].encode()).digest() if sequence >= 0 and start > 0 else bytes(16)
     head = c.write_itf8(sequence) + c.write_itf8(start) + c.write_itf8(span) + c.write_itf8(len(rows)) + c.write_ltf8(counter) + c.write_itf8(len(blocks) + 1) + c.write_array([i for i, _ in blocks]) + c.write_itf8(-1) + md5
-    body = header + _block(SLICE, 0, head) + _block(CORE_BLOCK, 0, b"") + b"".join(_block(EXTERNAL_BLOCK, i, raw) for i, raw in blocks)
-    return struct.pack("<i", len(body)) + c.write_itf8(sequence) + c.write_itf8(start) + c.write_itf8(span) + c.write_itf8(len(rows)) + c.write_ltf8(counter) + c.write_ltf8(n_bases) + c.write_itf8(len(blocks) + 3) + c.write_array([len(header)]) + body
+    body = header + _block(SLICE, 0, head) + _block(CORE_BLOCK, 0, core) + b"".join(_block(EXTERNAL_BLOCK, i, raw) for i, raw in blocks)
+    line = f"{sequence}\t{start}\t{span}\t{{}}\t{len(header)}\t{len(body) - len(header)}"
+    return struct.pack("<i", len(body)) + c.write_itf8(sequence) + c.write_itf8(start) + c.write_itf8(span) + c.write_itf8(len(rows)) + c.write_ltf8(counter) + c.write_ltf8(n_bases) + c.write_itf8(len(blocks) + 3) + c.write_array([len(header)]) + body, line
 
 
 def file_start(text: str) -> bytes:
@@ -440,8 +590,12 @@ def file_start(text: str) -> bytes:
     return MAGIC + bytes(VERSION) + bytes(FILE_ID) + struct.pack("<i", len(body)) + c.write_itf8(0) * 4 + c.write_ltf8(0) * 2 + c.write_itf8(1) + c.write_array([]) + body
 
 
-def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str, records: int = RECORDS) -> None:
-    """Files by ranges of coordinates, each in order, into a folder that all executors see; reference: a FASTA file they see, too.
+def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str, records: int = RECORDS, groups: DataFrame | None = None, most: int | None = None) -> None:
+    """Files by ranges of coordinates in the order of contigs, each with its index beside it (X.crai), in a new or empty folder that all executors see.
+
+    reference: a FASTA file they see, too, best with its .fai; only the ranges that records lie on
+    are read. groups: the read groups (rg) of the header; a record's RG tag that names one of them
+    becomes its read group. most: write only so many records. Records are counted through all files.
 
     Kept are names, flags, places, mates, TLEN, bases in upper case, scores up to 93 and tags.
     = and X come back as M. A record without a CIGAR that fits its bases, or without a
@@ -449,29 +603,33 @@ def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str,
     """
     known = contigs.select("sequence_id", "name", "length").orderBy("sequence_id").collect()
     ids = {r["name"]: i for i, r in enumerate(known)}
-    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{r['name']}\tLN:{r['length']}\n" for r in known)
-    folder = path.removeprefix("file://")
+    own = [r[0] for r in groups.select("rg").filter("rg is not null").distinct().orderBy("rg").collect()] if groups is not None else []
+    group_ids = {g: i for i, g in enumerate(own)}
+    text = "@HD\tVN:1.6\tSO:coordinate\n" + "".join(f"@SQ\tSN:{r['name']}\tLN:{r['length']}\n" for r in known) + "".join(f"@RG\tID:{g}\n" for g in own)
+    folder = NewFolder(path)
     columns = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
 
     def run(batches):
-        import uuid
-
         import pyarrow as pa
 
-        os.makedirs(folder, exist_ok=True)
-        sequences = load_reference(reference)
-        final = f"part-{uuid.uuid4().hex}.cram"
-        counter = 0
-        with open(f"{folder}/.{final}", "wb") as f:
+        letters: dict[str, Letters] = {}
+        name, n, index = folder.attempt(".cram"), 0, []
+        with folder.create(name) as f:
             f.write(file_start(text))
+            at = len(file_start(text))
             held: list[dict] = []
 
             def flush() -> None:
-                nonlocal counter, held
+                nonlocal at, n, held
                 if held:
-                    sequence = ids.get(held[0]["rname"] or "*", -1)
-                    f.write(write_container(held, sequence, ids, sequences.get(held[0]["rname"] or "*", ""), counter))
-                    counter, held = counter + len(held), []
+                    of = held[0]["rname"] or "*"
+                    if of not in letters:
+                        letters.clear()
+                        letters[of] = Letters(load_reference(reference), of)
+                    raw, line = write_container(held, ids.get(of, -1), ids, group_ids, letters[of], held[0]["_rn"] - 1)
+                    f.write(raw)
+                    index.append(line.format(at))
+                    at, n, held = at + len(raw), n + len(held), []
 
             for batch in batches:
                 for row in batch.to_pylist():
@@ -480,12 +638,21 @@ def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str,
                         flush()
                     held.append(row)
             flush()
-        os.rename(f"{folder}/.{final}", f"{folder}/{final}")
-        yield pa.RecordBatch.from_pydict({"path": [final], "n": pa.array([counter], pa.int64())})
-
-    parts = max(reads.rdd.getNumPartitions(), reads.sparkSession.sparkContext.defaultParallelism)
-    ordered = reads.select(*columns).repartitionByRange(parts, "rname", "pos").sortWithinPartitions("rname", "pos")
-    kept = {r["path"] for r in ordered.mapInArrow(run, "path string, n bigint").collect()}
-    for p in Path(folder).iterdir():
-        if p.name not in kept:
-            p.unlink()
+        with folder.create(f"{name}.crai") as f:
+            f.write(gzip.compress("".join(x + "\n" for x in index).encode(), mtime=0))
+        yield pa.RecordBatch.from_pydict({"name": [name], "n": pa.array([n], pa.int64())})
+
+    place = contigs.select(F.col("name").alias("_n"), "sequence_id").dropDuplicates(["_n"])
+    # What has no place comes last, in the order of a hash, so that it is spread like the rest.
+    key = F.when(F.col("sequence_id").isNull(), F.lit(2**62) + F.pmod(F.xxhash64("qname"), F.lit(2**31))).otherwise(F.col("sequence_id").cast("bigint") * 2**32 + F.coalesce("pos", F.lit(0)))
+    df = reads if most is None else reads.limit(most)
+    df = df.select(*columns).join(place, F.col("rname") == F.col("_n"), "left").withColumn("_key", key).select(*columns, "_key")
+    df = row_numbers(df, [], ["_key", "qname", "flag"], F.shiftright("_key", 14), "_rn")
+    parts = max(df.rdd.getNumPartitions(), reads.sparkSession.sparkContext.defaultParallelism)
+    ordered = df.repartitionByRange(parts, "_rn").sortWithinPartitions("_rn").select(*columns, "_rn")
+    try:
+        names = [r["name"] for r in ordered.mapInArrow(run, "name string, n bigint").collect()]
+        folder.keep(x for n in names for x in (n, f"{n}.crai"))
+    except BaseException:
+        folder.close()
+        raise

@@ -6,6 +6,8 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqloom.sources.files import open_file
+
 # Magic bytes, and the empty block that ends a block-gzipped file.
 CRAM, BAM, GZIP = b"CRAM", b"BAM\1", b"\x1f\x8b"
 BGZF_END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
@@ -27,7 +29,7 @@ def kind(head: bytes) -> str:
 
 
 def kind_of(path: str) -> str:
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         return kind(f.read(1 << 16))
 
 

@@ -28,8 +28,13 @@ def byte_range(fai: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def sub_range(sequences: DataFrame, name: str, start: int, length: int) -> DataFrame:
-    """The bases from start to start + length, both ends included: one more than length."""
-    return sequences.filter(F.col("rname") == name).select("rname", F.substring("seq", start, length + 1).alias("seq"))
+    """The bases of a sequence from start to start + length, both ends included: one more than length."""
+    return sub_ranges(sequences.filter(F.col("rname") == name), "seq", start, length).select("rname", "seq")
+
+
+def sub_ranges(df: DataFrame, column: str, start: int, length: int) -> DataFrame:
+    """df with the column cut to the bases from start to start + length."""
+    return df.withColumn(column, F.substring(column, start, length + 1))
 
 
 def fasta_lines(sequences: DataFrame, width: int = 60) -> DataFrame:

@@ -35,7 +35,7 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
     """Rows (kind, key, value, line): the header cells, e.g. SQ, SN, chr1; comments have the kind CO and key null."""
     lines = spark.read.text(path).filter(F.col("value").rlike("^@[A-Z][A-Z](\t|$)"))
     cells = F.split("value", "\t")
-    comment = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.substring("value", 5, 1 << 20).alias("value")))
+    comment = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.substring("value", F.lit(5), F.length("value")).alias("value")))
     named = F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: F.struct(F.substring_index(c, ":", 1).alias("key"), F.substring(c, F.lit(4), F.length(c)).alias("value")))
     kind = F.substring("value", 2, 2)
     return lines.select(kind.alias("kind"), F.col("value").alias("line"), F.when(kind == "CO", comment).otherwise(named).alias("_x")).select("kind", "line", F.inline("_x"))
@@ -62,6 +62,21 @@ def header_lines(contigs: DataFrame, groups: DataFrame | None = None, order: str
     return out
 
 
-def write_sam(reads: DataFrame, path: str, gzip: bool = False) -> None:
-    """One text file per partition, without header: headers are tables here (header_lines gives their lines)."""
-    reads.select(lines(reads).alias("value")).write.option("compression", "gzip" if gzip else "none").text(path)
+def write_sam(reads: DataFrame, path: str, gzip: bool = False, header: DataFrame | None = None) -> None:
+    """One text file per partition. header: rows (part, place, value) as header_lines gives them, which begin each file that has records; their size is that of a header."""
+    body = reads.select(lines(reads).alias("value"))
+    if header is not None:
+        text = "\n".join(r["value"] for r in header.orderBy("part", "place", "value").collect())
+
+        def with_header(batches):
+            import pyarrow as pa
+
+            begun = False
+            for batch in batches:
+                if not begun:
+                    yield pa.RecordBatch.from_arrays([pa.array([text], batch.schema.field(0).type)], schema=batch.schema)
+                    begun = True
+                yield batch
+
+        body = body.mapInArrow(with_header, "value string")
+    body.write.option("compression", "gzip" if gzip else "none").text(path)

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seqloom.functions.cigar import is_cigar, reference_span
+from seqloom.operators.alignment import coverage_steps, runs_of_steps
+
 PAIRS = "qname string, row_id bigint, mate_row_id bigint"
 
 
@@ -68,13 +71,19 @@ def checked_order(batch: DataFrame, on_backward: str = "drop") -> DataFrame:
 
 
 def stream_pileup(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch as one batch of the engine: its coverage runs are appended to the table at path, with the batch's number.
+    """Each micro-batch adds the steps of its coverage to the table at path, under the batch's number; read_pileup adds the batches up.
 
-    A batch that is run again replaces its own files only.
+    stream: rname, pos, cigar; records without a name, a place or a CIGAR cover nothing. A batch
+    that is run again replaces its own files only.
     """
-    from seqloom.operators.alignment import coverage_runs, placed
 
     def one(batch: DataFrame, number: int) -> None:
-        coverage_runs(placed(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        placed = batch.filter("rname <> '*' and pos >= 1").filter(is_cigar(F.col("cigar"))).withColumn("span", reference_span(F.col("cigar")))
+        coverage_steps(placed).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_pileup(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (rname, start_pos, end_pos, depth) over all micro-batches so far."""
+    return runs_of_steps(spark.read.schema("rname string, p bigint, d bigint").parquet(path))

@@ -73,7 +73,7 @@ def test_containers_round_trip(spark, tmp_path):
     contigs = spark.createDataFrame([(0, "c", 3000), (1, "d", 400)], "sequence_id int, name string, length bigint")
     path = str(tmp_path / "out")
     container.write_cram(df, contigs, str(fasta), path, records=25)
-    files = binary.files_below(path)
+    files = binary.files_below(path, ".cram")
     assert all(detect.kind_of(f) == "cram" for f in files) and files
     heads = [h for f in files for h in container.container_heads(f)]
     assert sum(h.records for h in heads) == len(rows) and max(h.records for h in heads) <= 25
