@@ -135,3 +135,13 @@ def apply_policies(df: DataFrame, policies: list[Policy]) -> DataFrame:
 def _binned_text(q: str, table: tuple[tuple[int, int], ...] = ILLUMINA) -> str:
     cases = " ".join(f"when {q} < {upper} then {value}" for (_, value), (upper, _) in zip(table, table[1:]))
     return f"case when {q} < {table[0][0]} then {q} {cases} else {table[-1][1]} end"
+
+
+def kept_as_features(df: DataFrame, row: str = "row_id") -> DataFrame:
+    """Rows (row, pos, op, text, len) of the scores that survive rules where the whole array isn't forced: features Q with the score as text.
+
+    df: as apply_policies gives it. pos counts from 1. Put behind the read features of the same
+    place they are the order in which a container stores them.
+    """
+    each = df.filter("not forced").select(row, F.posexplode("scores").alias("i", "s")).filter("s >= 0")
+    return each.select(row, (F.col("i") + 1).cast("bigint").alias("pos"), F.lit("Q").alias("op"), F.col("s").cast("string").alias("text"), F.lit(1).cast("bigint").alias("len"))

@@ -52,6 +52,20 @@ def chunks_of(lines: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> Da
     return lines.filter("length(seq) > 0").select("rname", F.explode(at).alias("chunk"), "seq").select("rname", F.col("chunk").cast("bigint").alias("chunk"), F.expr(f"substring(seq, chunk * {size} + 1, {size + overlap})").alias("seq"))
 
 
+def range_md5(ranges: DataFrame, chunks: DataFrame, keys: list[str], size: int = CHUNK) -> DataFrame:
+    """Rows (keys, md5): of each range (keys, rname, s, e: from s to e - 1) the MD5 of its reference letters, N where there are none; 32 zeros for an empty one.
+
+    A range takes the chunks that it touches; its letters come together in its own row.
+    """
+    touched = ranges.filter("e > s").select(*dict.fromkeys([*keys, "rname"]), "s", "e", F.explode(F.expr(f"sequence((s - 1) div {size}, (e - 2) div {size})")).alias("chunk"))
+    ref = chunks.select(F.col("rname").alias("_name"), F.col("chunk").alias("_chunk"), F.substring("seq", 1, size).alias("_seq"))
+    met = touched.join(ref, (F.col("rname") == F.col("_name")) & (F.col("chunk") == F.col("_chunk")), "left")
+    parts = F.array_sort(F.collect_list(F.struct("chunk", F.rpad(F.coalesce("_seq", F.lit("")), size, "N").alias("text"))))
+    whole = met.groupBy(*keys, "s", "e").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "").alias("_t"))
+    md5 = whole.select(*keys, F.md5(F.expr(f"substring(_t, cast((s - 1) % {size} + 1 as int), cast(e - s as int))")).alias("md5"))
+    return ranges.select(*keys).join(md5, keys, "left").select(*keys, F.coalesce("md5", F.lit("0" * 32)).alias("md5"))
+
+
 def with_reference(reads: DataFrame, chunks: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """reads (placed) with ref: the reference from pos on over span + n letters, N where there is none.
 

@@ -107,3 +107,23 @@ def linear_windows(records: DataFrame) -> DataFrame:
     every = least.groupBy(*keys).agg(F.max("window").alias("m")).select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("window"))
     fill = F.last("offset", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("window").rowsBetween(Window.unboundedPreceding, 0))
     return every.join(least, [*keys, "window"], "left").select(*keys, "window", F.coalesce(fill, F.lit(0).cast("bigint")).alias("offset"))
+
+
+def random_checks(index: DataFrame, records: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows (region, n_slices, n_found, n_missed): what single positions, chosen at random by the caller, find through the index.
+
+    index: as a slice index. records: sequence_id, pos, end. places: region, sequence_id, at.
+    n_slices slices must be read for the n_found records that cover the position; n_missed of
+    these start in no slice that was found, 0 if the index is right. Positions that no slice
+    touches have 0 everywhere, unless records there were missed.
+    """
+    asked = places.select("region", "sequence_id", F.col("at").cast("bigint").alias("start"), F.col("at").cast("bigint").alias("end"))
+    slices = find_slices(index, asked)
+    # Each record is met by the positions in the windows that it covers.
+    over = records.withColumn("w", F.explode(F.sequence(F.shiftright(F.col("pos").cast("bigint"), WINDOW_BITS), F.shiftright(F.greatest("end", "pos").cast("bigint"), WINDOW_BITS))))
+    hit = asked.withColumn("w", F.shiftright("start", WINDOW_BITS)).withColumnRenamed("end", "_e").join(over, ["sequence_id", "w"]).filter("pos <= start and end >= start").select("region", "sequence_id", F.col("pos").cast("bigint").alias("p"))
+    found = slices.groupBy("region").agg(F.count("*").alias("n_slices"), F.collect_list(F.struct(F.col("alignment_start").cast("bigint").alias("a"), F.expr("alignment_start + alignment_span - 1L").alias("b"))).alias("parts"))
+    counted = hit.groupBy("region", "p").agg(F.count("*").alias("n")).join(found, "region", "left").withColumn("inside", F.coalesce(F.expr("exists(parts, x -> p between x.a and x.b)"), F.lit(False)))
+    counted = counted.groupBy("region").agg(F.sum("n").alias("n_found"), F.coalesce(F.sum(F.when(~F.col("inside"), F.col("n"))), F.lit(0)).alias("n_missed"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return places.select("region").join(found.drop("parts"), "region", "left").join(counted, "region", "left").select("region", zero("n_slices"), zero("n_found"), zero("n_missed"))

@@ -34,7 +34,7 @@ def written_in_order(df: DataFrame, contigs: DataFrame) -> DataFrame:
     """Rows of merged_order in the order of contigs (sequence_id), range-partitioned: each file of a write is sorted and follows the one before."""
     ids = contigs.select(F.col("name").alias("rname"), "sequence_id")
     joined = df.join(ids, "rname", "left").withColumn("_id", F.coalesce("sequence_id", F.lit(2**31 - 1)))
-    return joined.repartitionByRange("_id", "ord").sortWithinPartitions("_id", "ord").drop("_id")
+    return joined.repartitionByRange("_id", "ord").sortWithinPartitions("_id", "ord").drop("_id", "sequence_id")
 
 
 def prefixed_names(df: DataFrame, ids: DataFrame) -> DataFrame:
@@ -53,3 +53,19 @@ def merge_headers(entries: DataFrame, key: str) -> DataFrame:
     rest = [c for c in entries.columns if c != key]
     first = entries.groupBy(key).agg(F.min(F.struct("source", *[c for c in rest if c != "source"])).alias("x"))
     return first.select(key, *[F.col(f"x.{c}").alias(c) for c in rest])
+
+
+def merge_header_lines(lines: DataFrame) -> DataFrame:
+    """Rows (part, place, value): the header of a merge, in the order of its lines.
+
+    lines: source (its place among the sources), name (of the source), kind (SQ, PG, RG or CO), id,
+    place (in its source) and value. Sequences, programs and read groups are those of the first
+    source that has their id, and stand in the order of sources and places; comments stay, all of
+    them, and a last one names the sources. Headers are small by nature: so are the windows here.
+    """
+    part = F.when(F.col("kind") == "SQ", 1).when(F.col("kind") == "RG", 2).when(F.col("kind") == "PG", 3).otherwise(4)
+    rank = F.row_number().over(Window.partitionBy("kind", "id").orderBy("source", "place"))
+    kept = lines.withColumn("_rank", F.when(F.col("kind") == "CO", 1).otherwise(rank)).filter("_rank = 1").withColumn("part", part)
+    kept = kept.select("part", F.row_number().over(Window.partitionBy("part").orderBy("source", "place")).cast("bigint").alias("place"), "value")
+    names = F.transform(F.array_sort(F.collect_set(F.struct("source", "name"))), lambda x: x["name"])
+    return kept.unionByName(lines.agg(names.alias("n")).filter("size(n) > 0").select(F.lit(5).alias("part"), F.lit(1).cast("bigint").alias("place"), F.concat(F.lit("@CO\tMerged from: "), F.array_join("n", " ")).alias("value")))

@@ -90,3 +90,9 @@ def tag_sets(tags: DataFrame) -> DataFrame:
     ids = F.array_join(F.array_sort(F.coalesce(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.substring(F.coalesce(e["value"], F.lit("Z")), 1, 1))), none)), "")
     counts = tags.select(ids.alias("ids")).groupBy("ids").agg(F.count("*").alias("n"))
     return counts.withColumn("idx", (F.row_number().over(Window.orderBy(F.length("ids"), "ids")) - 1).cast("int"))
+
+
+def pairs_descending(pairs: Column, first: str) -> Column:
+    """An array of structs by falling values of its field first, ties as they stood."""
+    keyed = F.transform(pairs, lambda x, i: F.struct((-x[first].cast("bigint")).alias("k"), i.alias("i"), x.alias("x")))
+    return F.transform(F.array_sort(keyed), lambda y: y["x"])

@@ -111,9 +111,29 @@ def header(contigs: DataFrame, groups: DataFrame) -> DataFrame:
     return twice(contigs, "name", "DUPLICATE_SEQUENCE").unionByName(twice(groups, "rg", "DUPLICATE_READ_GROUP_ID")).unionByName(twice(groups.filter("platform is not null"), "barcode", "DUPLICATE_BARCODE")).unionByName(none(contigs, "MISSING_SEQUENCE_DICTIONARY")).unionByName(none(groups, "MISSING_READ_GROUPS"))
 
 
-def summary(errors: DataFrame, ignored: Collection[str] = ()) -> DataFrame:
-    """Rows (type, n) without the ignored types."""
-    df = errors.filter(~F.col("type").isin(*ignored)) if ignored else errors
+# The types that are warnings; others are errors. The versions a header may have.
+WARNINGS = ("E2_BASE_EQUALS_PRIMARY_BASE", "MISSING_TAG_NM")
+VERSIONS = ("1.0", "1.3", "1.4", "1.5", "1.6")
+
+
+def header_cells(cells: DataFrame) -> DataFrame:
+    """Rows (type, id) of header cells (kind, key, value) as they are read: no version, one that isn't known, programs given twice."""
+    version = cells.filter("kind = 'HD' and key = 'VN'").agg(F.min("value").alias("id"))
+    none = version.filter("id is null").select(F.lit("MISSING_VERSION_NUMBER").alias("type"), F.lit("").alias("id"))
+    odd = version.filter(~F.col("id").isin(*VERSIONS)).select(F.lit("INVALID_VERSION_NUMBER").alias("type"), "id")
+    twice = lambda kind, name: cells.filter((F.col("kind") == kind) & (F.col("key") == "ID")).groupBy(F.col("value").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(name).alias("type"), "id")
+    return none.unionByName(odd).unionByName(twice("PG", "DUPLICATE_PROGRAM_GROUP_ID")).unionByName(twice("RG", "DUPLICATE_READ_GROUP_ID"))
+
+
+def with_severity(errors: DataFrame) -> DataFrame:
+    """errors with severity: warning or error."""
+    return errors.withColumn("severity", F.when(F.col("type").isin(*WARNINGS), "warning").otherwise("error"))
+
+
+def summary(errors: DataFrame, ignored: Collection[str] = (), warnings: bool = True) -> DataFrame:
+    """Rows (type, n) without the ignored types, and without those that are warnings where warnings is false."""
+    left_out = [*ignored, *(() if warnings else WARNINGS)]
+    df = errors.filter(~F.col("type").isin(*left_out)) if left_out else errors
     return df.groupBy("type").agg(F.count("*").alias("n"))
 
 

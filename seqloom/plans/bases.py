@@ -19,14 +19,18 @@ HEX, LETTERS = "0123456789abcdef", "ACGTACGTACGTACGT"
 MIN_HITS = 2
 
 
-def made_reference(placed: DataFrame) -> DataFrame:
-    """The chunks that the reads touch, made by the rule above."""
-    size, blocks = al.CHUNK, (al.CHUNK + al.OVERLAP) // 32
-    touched = placed.select("rname", F.explode(F.expr(f"sequence((pos - 1L) div {size}, (pos + span + n - 2) div {size})")).alias("chunk")).distinct()
-    letters = f"array_join(transform(sequence(0, {blocks - 1}), k -> translate(md5(concat(rname, '|', cast(chunk * {size // 32} + k as string))), '{HEX}', '{LETTERS}')), '')"
+def chunk_letters(touched: DataFrame) -> DataFrame:
+    """Chunks (rname, chunk) with their letters, made by the rule above."""
+    letters = f"array_join(transform(sequence(0, {(al.CHUNK + al.OVERLAP) // 32 - 1}), k -> translate(md5(concat(rname, '|', cast(chunk * {al.CHUNK // 32} + k as string))), '{HEX}', '{LETTERS}')), '')"
     return touched.select("rname", "chunk", F.expr(letters).alias("seq"))
 
 
+def made_reference(placed: DataFrame) -> DataFrame:
+    """The chunks that the reads touch."""
+    size = al.CHUNK
+    return chunk_letters(placed.select("rname", F.explode(F.expr(f"sequence((pos - 1L) div {size}, (pos + span + n - 2) div {size})")).alias("chunk")).distinct())
+
+
 def placed(spark, sf_dir, *keep) -> DataFrame:
     df = al.placed(reads(spark, sf_dir), *keep)
     return al.with_reference(df, made_reference(df))

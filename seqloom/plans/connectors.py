@@ -70,15 +70,15 @@ def bam_region(spark, sf_dir):
     return _back(found).select("row_id", "pos", "cigar")
 
 
-def _written_cram(spark, sf_dir):
-    df = _tagged(spark, sf_dir)
+def _written_cram(spark, sf_dir, df=None, most=None):
+    df = _tagged(spark, sf_dir) if df is None else df
     ends = placed_reads(df).groupBy("rname").agg(F.max(F.col("pos") + F.col("span")).alias("e"))
     text = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.expr("(e - 1) div 32")), lambda k: F.translate(F.md5(F.concat("rname", F.lit("|"), k.cast("string"))), HEX, LETTERS)), "")
     at = scratch(spark, "reference")
     fasta.write_fasta(ends.select("rname", text.alias("seq")).coalesce(1), at)
     (file,) = binary.files_below(at)
     path = scratch(spark, "cram")
-    container.write_cram(df, table(spark, sf_dir, "contigs"), file, path, groups=table(spark, sf_dir, "read_groups"))
+    container.write_cram(df, table(spark, sf_dir, "contigs"), file, path, groups=table(spark, sf_dir, "read_groups"), most=most)
     binary.register(spark)
     return spark.read.format("seqloom_cram").option("reference", file), path
 

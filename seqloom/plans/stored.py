@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import encoding, region, tags
 from seqloom.operators import alignment as al
 from seqloom.operators import index, pairing, storage, validate
-from seqloom.plans.bases import NM_SQL, OPS, REFB, placed
+from seqloom.plans.bases import NM_SQL, OPS, REFB, chunk_letters, placed
 from seqloom.plans.records import BATCH, BATCHED, SPAN, SPANNED, reads, spanned
 from seqloom.plans.shared import cut, table
 
@@ -108,18 +108,13 @@ def ref_counts(spark, sf_dir):
 
 
 def slice_ref_md5(spark, sf_dir):
-    """MD5 of the reference under the base-level records of each slice; 32 zeros for slices without any.
-
-    Runs of the reference are put together from chunks; a slice spans a bounded number of them.
-    """
+    """MD5 of the reference under the base-level records of each slice; 32 zeros for slices without any."""
     order = pairing.batched(reads(spark, sf_dir).select("row_id", "rname", "pos"), BATCH).select("row_id", "rname", "batch")
-    df = al.placed(reads(spark, sf_dir)).drop("rname").join(order, "row_id")
-    spans = df.groupBy("rname", "batch").agg(F.min("pos").cast("bigint").alias("s"), F.max(F.col("pos") + F.col("span")).alias("e"))
-    blocks = F.expr("sequence((s - 1) div 32, (e - 2) div 32)")
-    text = F.array_join(F.transform(blocks, lambda b: F.translate(F.md5(F.concat("rname", F.lit("|"), b.cast("string"))), "0123456789abcdef", "ACGTACGTACGTACGT")), "")
-    md5 = spans.withColumn("_t", text).select(F.col("rname").alias("_r"), F.col("batch").alias("_b"), F.md5(F.expr("substring(_t, cast((s - 1) % 32 + 1 as int), cast(e - s as int))")).alias("md5"))
-    every = order.select("rname", "batch").distinct()
-    return every.join(md5, (F.col("rname") == F.col("_r")) & (F.col("batch") == F.col("_b")), "left").select("rname", "batch", F.coalesce("md5", F.lit("0" * 32)).alias("md5"))
+    df = al.placed(reads(spark, sf_dir))
+    spans = df.drop("rname").join(order, "row_id").groupBy("rname", "batch").agg(F.min("pos").cast("bigint").alias("s"), F.max(F.col("pos") + F.col("span")).alias("e"))
+    every = order.select("rname", "batch").distinct().join(spans, ["rname", "batch"], "left")
+    touched = spans.select("rname", F.explode(F.expr(f"sequence((s - 1) div {al.CHUNK}, (e - 2) div {al.CHUNK})")).alias("chunk")).distinct()
+    return al.range_md5(every.select("rname", "batch", "s", "e"), chunk_letters(touched), ["rname", "batch"])
 
 
 REF_MD5_SQL = f"""

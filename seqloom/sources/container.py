@@ -203,14 +203,15 @@ def _slice(b: c.Bytes) -> tuple[c.Bytes, list[tuple[int, int, bytes]]]:
     return h, [_read_block(b) for _ in range(blocks)]
 
 
-def read_container(path: str, head: Head, names: list[str], groups: list[str], reference: Reference | None) -> Iterator[tuple]:
-    """The records of a container as rows of READS_SCHEMA."""
+def read_container(path: str, head: Head, names: list[str], groups: list[str], reference: Reference | None, from_slice: int = 0, how_many: int | None = None) -> Iterator[tuple]:
+    """The records of a container, or of how_many of its slices from one on, as rows of READS_SCHEMA."""
     with open_file(path) as f:
         f.seek(head.body)
         b = c.Bytes(f.read(head.size))
     _, _, raw = _read_block(b)
     comp = Compression(raw)
-    for _ in head.landmarks or [0]:
+    for place in (head.landmarks or [b.at])[from_slice:][:how_many]:
+        b.at = place
         h, parts = _slice(b)
         sequence, start, _, n, counter = h.info
         core = c.BitReader(next((raw for kind, _, raw in parts if kind == CORE_BLOCK), b""))
@@ -498,7 +499,8 @@ def _put(w: _Writer, row: dict, ids: dict[str, int], groups: dict[str, int], ref
     if sum(n for n, o in ops if o in "MIS=X") != len(seq):
         ops = []
     qual = row["qual"] or "*"
-    scored = qual != "*" and len(qual) == len(seq) > 0
+    kept = None if row.get("forced", True) else row["scores"] or []
+    scored = kept is None and qual != "*" and len(qual) == len(seq) > 0
     own = ids.get(row["rname"] or "*", -1)
     mapped = not flag & 4 and bool(ops) and own >= 0 and pos >= 1
     w.int("BF", (flag & ~0x28 & 0xFFF) | (0 if mapped else 4))
@@ -524,6 +526,8 @@ def _put(w: _Writer, row: dict, ids: dict[str, int], groups: dict[str, int], ref
         data += v
     if mapped:
         found = list(_features(pos, ops, seq, ref))
+        if kept:
+            found = sorted(found + [("Q", i + 1, min(q, 93)) for i, q in enumerate(kept) if q >= 0], key=lambda x: x[1])
         w.int("FN", len(found))
         at = 0
         for op, p, value in found:
@@ -535,6 +539,8 @@ def _put(w: _Writer, row: dict, ids: dict[str, int], groups: dict[str, int], ref
             elif op == "B":
                 w.byte("BA", ord(value) & 0xFF)
                 w.byte("QS", 0)
+            elif op == "Q":
+                w.byte("QS", value)
             elif op in "IS":
                 w.array("IN" if op == "I" else "SC", value.encode())
             else:
@@ -597,6 +603,9 @@ def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str,
     are read. groups: the read groups (rg) of the header; a record's RG tag that names one of them
     becomes its read group. most: write only so many records. Records are counted through all files.
 
+    Where reads have the columns scores and forced of rules, records whose scores aren't forced
+    keep only those above -1, as features; what is unmapped keeps none of them then.
+
     Kept are names, flags, places, mates, TLEN, bases in upper case, scores up to 93 and tags.
     = and X come back as M. A record without a CIGAR that fits its bases, or without a
     place, is written as unmapped and loses CIGAR and MAPQ; unknown sequence names become *.
@@ -646,6 +655,7 @@ def write_cram(reads: DataFrame, contigs: DataFrame, reference: str, path: str,
     # What has no place comes last, in the order of a hash, so that it is spread like the rest.
     key = F.when(F.col("sequence_id").isNull(), F.lit(2**62) + F.pmod(F.xxhash64("qname"), F.lit(2**31))).otherwise(F.col("sequence_id").cast("bigint") * 2**32 + F.coalesce("pos", F.lit(0)))
     df = reads if most is None else reads.limit(most)
+    columns += [c for c in ("scores", "forced") if c in reads.columns]
     df = df.select(*columns).join(place, F.col("rname") == F.col("_n"), "left").withColumn("_key", key).select(*columns, "_key")
     df = row_numbers(df, [], ["_key", "qname", "flag"], F.shiftright("_key", 14), "_rn")
     parts = max(df.rdd.getNumPartitions(), reads.sparkSession.sparkContext.defaultParallelism)
