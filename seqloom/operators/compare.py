@@ -65,15 +65,16 @@ def dump(left: DataFrame, right: DataFrame, order: str, fields: Sequence[str], n
     tagged = [df if "tags" in df.columns else df.withColumn("tags", F.lit(None).cast("map<string,string>")) for df in (left, right)]
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in [order, *fields]]
     text = F.concat_ws("\t", *cells, F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))), "\t"))
-    sides = [row_numbers(df.select(order, *fields, "tags", text.alias("_text")), [], [order], F.shiftright(F.col(order).cast("bigint"), 12), "counter").select("counter", F.struct(*fields, "tags", "_text").alias(s)) for s, df in zip("ab", tagged, strict=True)]
+    every = list(dict.fromkeys([*fields, name]))
+    sides = [row_numbers(df.select(*dict.fromkeys([order, *every]), "tags", text.alias("_text")), [], [order], F.shiftright(F.col(order).cast("bigint"), 12), "counter").select("counter", F.struct(*every, "tags", "_text").alias(s)) for s, df in zip("ab", tagged, strict=True)]
     both = sides[0].join(sides[1], "counter", "full")
     one = lambda field, tag, x, y, ended: F.struct(F.lit(field).alias("field"), tag.cast("string").alias("tag"), F.lit(ended).alias("premature"), x.cast("string").alias("value1"), y.cast("string").alias("value2"))
     none = F.lit(None)
     found = F.array_compact(F.array(*[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), one(f, none, shown(F.col(f"a.{f}"), most), shown(F.col(f"b.{f}"), most), 0)) for f in fields]))
     tags = F.transform(compare_tags(F.col("a.tags"), F.col("b.tags")), lambda k: one("TAG", k, shown(F.col("a.tags")[k], most), shown(F.col("b.tags")[k], most), 0))
     last = F.array(one(PREMATURE, none, none, none, 1)), F.array(one(PREMATURE, none, none, none, 2))
-    every = F.when(F.col("a").isNull(), last[0]).when(F.col("b").isNull(), last[1]).otherwise(F.concat(found, tags))
-    return both.select("counter", F.inline(every), F.col(f"a.{name}").alias("name1"), F.col(f"b.{name}").alias("name2"), F.col("a._text").alias("record1"), F.col("b._text").alias("record2"))
+    rows = F.when(F.col("a").isNull(), last[0]).when(F.col("b").isNull(), last[1]).otherwise(F.concat(found, tags))
+    return both.select("counter", F.inline(rows), F.col(f"a.{name}").alias("name1"), F.col(f"b.{name}").alias("name2"), F.col("a._text").alias("record1"), F.col("b._text").alias("record2"))
 
 
 def summary(found: DataFrame, order: Sequence[str]) -> DataFrame:

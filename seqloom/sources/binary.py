@@ -401,8 +401,8 @@ def read_bai(path: str) -> tuple[list[dict[int, list[tuple[int, int]]]], list[li
     return bins, linear
 
 
-def bai_chunks(path: str, sequence: int, start: int, end: int) -> list[tuple[int, int]]:
-    """Chunks (virtual offsets) that may hold records overlapping a range, without those that end before its first window begins; neighbours are joined."""
+def bai_chunks(path: str, sequence: int, start: int, end: int, whole: bool = False) -> list[tuple[int, int]]:
+    """Chunks (virtual offsets) that may hold records overlapping a range, without those that end before its first window begins; neighbours are joined, but not where each stands as a whole."""
     bins, linear = read_bai(path)
     if sequence >= len(bins):
         return []
@@ -411,7 +411,7 @@ def bai_chunks(path: str, sequence: int, start: int, end: int) -> list[tuple[int
     wanted = set(bins_of(start, end)) & bins[sequence].keys() if end - start < 1 << 26 else bins[sequence].keys()
     out: list[tuple[int, int]] = []
     for a, b in sorted(c for x in wanted for c in bins[sequence][x] if c[1] > least):
-        if out and a <= out[-1][1]:
+        if not whole and out and a <= out[-1][1]:
             out[-1] = out[-1][0], max(out[-1][1], b)
         else:
             out.append((a, b))

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 
 from seqloom.sources import codecs as c
 from seqloom.plans.shared import row_numbers
-from seqloom.sources.binary import READS_SCHEMA, _encode_tags, _overlaps, _region, _tags
+from seqloom.sources.binary import READS_SCHEMA, _encode_tags, _overlaps, _region, _tags, bai_chunks
 from seqloom.sources.files import NewFolder, exists, files_below, open_file, size_of
 
 MAGIC, VERSION, FILE_ID = b"CRAM", (2, 0), 20
@@ -338,8 +338,8 @@ class CramReader(DataSourceReader):
     """Partitions of whole containers: their headers are read ahead, their blocks only by the tasks.
 
     Options: reference, a FASTA file; region (name or name:start-end), records that overlap it.
-    Containers that can't hold wanted records are left out, by their headers, or, where X.crai lies
-    beside X, without reading those. pushdown: filters that Spark hands down on rname and pos
+    Containers that can't hold wanted records are left out, by their headers, or, where X.crai or
+    else X.bai lies beside X, without reading those. pushdown: filters that Spark hands down on rname and pos
     narrow the containers in the same way; it needs spark.sql.python.filterPushdown.enabled.
     """
 
@@ -363,6 +363,9 @@ class CramReader(DataSourceReader):
                 index = [tuple(map(int, line.split("\t"))) for line in gzip.decompress(f.read()).decode().splitlines()]
             places = sorted({x[3] for x in index if fits(*x[:3])})
             yield from (next(container_heads(path, at)) for at in places)
+        elif exists(f"{path}.bai") and sequence >= 0:
+            places = sorted({a >> 16 for a, _ in bai_chunks(f"{path}.bai", sequence, self.low, self.high, whole=True)})
+            yield from (h for h in (next(container_heads(path, at)) for at in places) if fits(h.sequence, h.start, h.span))
         else:
             yield from (h for h in heads if h.records and fits(h.sequence, h.start, h.span))
 

@@ -122,6 +122,30 @@ def test_only_overlapping_containers_are_read(data, written):
         assert {h.start_byte for p in pushed.partitions() for h in p.heads} == {h.start_byte for p in parts for h in p.heads}
 
 
+def test_containers_by_bai_and_slices(data, written, spark, tmp_path):
+    """Without a .crai a .bai over the slices leads to the same containers; a container is also read by parts."""
+    import shutil
+
+    from seqloom.sources import crai
+
+    rows, _, contigs = data
+    _, fa, path = written
+    for p in files.files_below(path, ".cram"):
+        new = str(tmp_path / p.rsplit("/", 1)[1])
+        shutil.copy(p, new)
+        crai.write_bai(crai.read_crai(spark, f"{p}.crai"), contigs, f"{new}.bai")
+    for region in [("c", 30_000, 30_100), ("d", 1, 5), ("d", 80_000, 200_000)]:
+        text = "{}:{}-{}".format(*region)
+        by_bai, by_crai = (container.CramReader({"path": p, "reference": fa, "region": text}).partitions() for p in (str(tmp_path), path))
+        assert sum(len(p.heads) for p in by_bai) == sum(len(p.heads) for p in by_crai)
+        reader = container.CramReader({"path": str(tmp_path), "reference": fa, "region": text})
+        assert {r[0] for p in reader.partitions() for r in reader.read(p)} == overlapping(rows, *region)
+    file = files.files_below(path, ".cram")[0]
+    head, (names, groups) = next(h for h in container.container_heads(file) if h.records), container.header_names(container.read_header(file)[1])
+    ref = container.load_reference(fa)
+    assert len(list(container.read_container(file, head, names, groups, ref, 0, 1))) == head.records and list(container.read_container(file, head, names, groups, ref, 1)) == []
+
+
 def test_containers_count_through_all_files_and_choose_codes(data, written, spark):
     rows, *_ = data
     _, fa, path = written
