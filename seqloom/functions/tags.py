@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def integer_type(v: Column) -> Column:
-    """The narrowest type letter that holds the integer; null beyond 32 bits."""
+    """The narrowest type letter that holds the integer; null beyond 32 bits. The bounds and letters are fixed values of the format."""
     out = F.when((v > 2**32 - 1) | (v < -(2**31)), F.lit(None).cast("string"))
     for bound, letter in ((2**31 - 1, "I"), (2**16 - 1, "i"), (2**15 - 1, "S"), (2**8 - 1, "s"), (2**7 - 1, "C")):
         out = out.when(v > bound, letter)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from seqloom.functions import encoding
 
 
-def decompose(df: DataFrame, columns: Mapping[str, Column], tags: str | None = "tags") -> DataFrame:
-    """Rows (column, value): every field and every tag of a record as text; nulls as *. The form to write partitioned by column."""
+def decompose(df: DataFrame, columns: Mapping[str, Column], tags: str | None = "tags", most: int | None = None) -> DataFrame:
+    """Rows (column, value): every field and every tag of a record, or of most records, as text; nulls as *. The form to write partitioned by column."""
+    df = df if most is None else df.limit(most)
     cells = [F.struct(F.lit(n).alias("column"), F.coalesce(c.cast("string"), F.lit("*")).alias("value")) for n, c in columns.items()]
     out = F.array(*cells)
     if tags:
@@ -22,6 +23,11 @@ def decompose(df: DataFrame, columns: Mapping[str, Column], tags: str | None = "
     return df.select(F.inline(out))
 
 
+def write_columns(cells: DataFrame, path: str) -> None:
+    """One folder of text files per column of decomposed cells."""
+    cells.select(F.col("column"), "value").write.partitionBy("column").option("compression", "gzip").text(path)
+
+
 def column_sizes(cells: DataFrame, n_bases: int) -> DataFrame:
     """Rows (column, n_values, n_bytes, bits_per_base) of decomposed cells; a value takes its bytes and a separator."""
     size = F.sum(F.octet_length("value") + 1)

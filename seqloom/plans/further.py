@@ -13,7 +13,7 @@ from seqloom.plans.records import SPANNED, reads, spanned
 from seqloom.plans.sets import FIELDS, LATEST, PLAIN, UNPLACED, _latest, _shown, _with_source
 from seqloom.plans.shared import cut, scratch, table
 from seqloom.plans.stored import RULES, VALIDATE_SQL
-from seqloom.sources import binary, container, detect, fasta, files, masks, sam
+from seqloom.sources import binary, cipher, container, detect, fasta, files, masks, sam
 
 SPEC = "N40-D8"
 
@@ -239,11 +239,23 @@ def merge_written(spark, sf_dir):
     return back.withColumn("key", key).select("row_id", "file", "i", "key").groupBy("file").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.count_distinct("key").alias("d"), F.max_by("key", "i").alias("z"), F.min_by("key", "i").alias("y")).agg(F.sum("n").alias("n_rows"), F.count_if(F.expr("a <> y or b <> z or d <> n")).alias("n_unordered"))
 
 
+def cipher_roundtrip(spark, sf_dir):
+    """Names and bases of all records through an encrypted file and back."""
+    plain, hidden, back = (scratch(spark, x) for x in ("plain", "hidden", "back"))
+    reads(spark, sf_dir).select(F.concat_ws("\t", "row_id", F.coalesce("seq", F.lit("*"))).alias("value")).coalesce(2).write.text(plain)
+    there = cipher.encrypt(spark, files.files_below(plain), hidden, "a password")
+    cipher.decrypt(spark, there, back, "a password")
+    cells = F.split("value", "\t")
+    return spark.read.text(back).select(cells[0].cast("bigint").alias("row_id"), cells[1].alias("seq"))
+
+
 QUERIES = {
+    "cipher_roundtrip": cipher_roundtrip,
     "policy_features": policy_features, "cram_lossy": cram_lossy, "cram_limited": cram_limited, "cram_heads": cram_heads, "format_kinds": format_kinds, "validate_severities": validate_severities, "merge_header_lines": merge_header_lines, "validate_header_lines": validate_header_lines,
     "discrepancy_dump": discrepancy_dump, "pairs_descending": pairs_descending, "index_random": index_random, "mask_files": mask_files, "reference_md5": reference_md5, "region_parse": region_parse, "merge_written": merge_written,
 }
 SQL = {
+    "cipher_roundtrip": "SELECT row_id, coalesce(seq, '*') AS seq FROM reads",
     "policy_features": POLICY_FEATURES_SQL, "cram_lossy": CRAM_LOSSY_SQL, "cram_limited": "SELECT least(count(*), 1000) AS n_rows FROM reads", "cram_heads": CRAM_HEADS_SQL,
     "format_kinds": "SELECT k AS kind, (SELECT count(*) FROM reads) AS n_rows FROM (VALUES ('sam'), ('gzip_sam'), ('bam')) v(k)",
     "validate_severities": "SELECT CASE WHEN type IN ('MISSING_TAG_NM', 'E2_BASE_EQUALS_PRIMARY_BASE') THEN 'warning' ELSE 'error' END AS severity, type, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT * FROM ({VALIDATE_SQL[r.__name__]})" for r in RULES) + ") GROUP BY 1, 2",

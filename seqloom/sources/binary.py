@@ -290,17 +290,17 @@ def header_bytes(names: list[str], lengths: list[int], text: str = "") -> bytes:
     return BAM + struct.pack("<i", len(raw)) + raw + struct.pack("<i", len(names)) + refs
 
 
-def read_names(data: Blocks) -> list[str]:
-    """The sequence names of the header; the stream goes on at the first record."""
+def read_header(data: Blocks) -> list[tuple[str, int]]:
+    """Names and lengths of the sequences; the stream goes on at the first record."""
     if data.take(4) != BAM:
         raise ValueError("no binary records")
     number = lambda: struct.unpack("<i", data.take(4))[0]
     data.take(number())
-    names = []
-    for _ in range(number()):
-        names.append(data.take(number())[:-1].decode())
-        data.take(4)
-    return names
+    return [(data.take(number())[:-1].decode(), number()) for _ in range(number())]
+
+
+def read_names(data: Blocks) -> list[str]:
+    return [n for n, _ in read_header(data)]
 
 
 OFFSETS = ", file string, v_start bigint, v_end bigint"

@@ -73,9 +73,13 @@ class NewFolder:
         return fs.open_output_stream(f"{inner}/_attempts/{name}", compression=None)
 
     def keep(self, names: Iterable[str]) -> None:
+        self.keep_as({n: n for n in names})
+
+    def keep_as(self, names: dict[str, str]) -> None:
+        """Attempts become files of other names."""
         fs, inner = resolve(self.path)
-        for name in names:
-            fs.move(f"{inner}/_attempts/{name}", f"{inner}/{name}")
+        for attempt, name in names.items():
+            fs.move(f"{inner}/_attempts/{attempt}", f"{inner}/{name}")
         self.close()
 
     def close(self) -> None:

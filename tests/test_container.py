@@ -16,6 +16,7 @@ def bits(put, *args):
 
 
 def test_golomb_rice_patterns():
+    # Published bit patterns.
     assert [bits(c.put_golomb_rice, v, 0, 2) for v in (0, 1, 20)] == ["100", "101", "00000100"]
     assert bits(c.put_golomb_rice, 255, 0, 2) == "0" * 63 + "111"
 
@@ -49,7 +50,7 @@ def test_dictionary_codes_are_read_back():
     read = c.reader(c.HUFFMAN, c.write_array(values) + c.write_array(lengths), c.BitReader(w.data()), {}, "int")
     assert [read() for _ in some] == some
     assert c.reader(c.HUFFMAN, c.write_array([9]) + c.write_array([0]), c.BitReader(b""), {}, "int")() == 9
-    # A published code book: lengths alone fix the codes.
+    # A published code book; lengths alone fix the codes.
     book = c.canonical(list(range(13)), [1, 2, 4, 4, 5, 5, 6, 6, 7, 7, 7, 8, 8])
     assert book[0] == (0, 1) and book[1] == (2, 2) and book[2] == (12, 4) and len({format(x, f"0{n}b") for x, n in book.values()}) == 13
 
