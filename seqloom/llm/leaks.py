@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,12 +50,13 @@ def _numbered(known: DataFrame) -> tuple[DataFrame, DataFrame]:
     return vocabulary, cut(each.groupBy("item_id", "size").agg(w.alias("w")), "numbered")
 
 
-def _leads(known: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
-    """Rows (lead, item_id, size, miss, first, last, top): by which places of a passage its phrases are found. A written table.
+def _rare_places(known: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
+    """Rows (item_id, q, t, seed, alone): by which words of a passage its phrases are found. A written table.
 
     Of the size words of a phrase at most miss may be absent, so that of its miss + 1 rarest
-    places one must be met, and of its miss + 2 rarest two. top holds those places (rn, q, t);
-    phrases of a passage with the same top, which begin at its words first to last, are one lead.
+    places one must be met, and of its miss + 2 rarest two. q is such a place, t its word; seed
+    says whether it is among the first of those of some phrase, and alone that one of them has no
+    further place to be met.
     """
     miss = F.expr(f"size - (size * {percent} + 99) div 100").cast("int")
     each = known.withColumn("miss", miss).select("item_id", "size", "miss", F.size("w").alias("n_words"), F.posexplode("w").alias("q", "t"))
@@ -59,13 +65,47 @@ def _leads(known: DataFrame, counts: DataFrame, percent: int) -> DataFrame:
     each = each.select("item_id", "size", "miss", "q", "t", "cf", F.explode(starts).alias("j"))
     phrase = Window.partitionBy("item_id", "j")
     ranked = each.withColumn("rn", F.row_number().over(phrase.orderBy("cf", "q"))).withColumn("absent", F.count_if(F.col("cf") == 0).over(phrase)).filter("absent <= miss and rn <= miss + 2")
-    tops = ranked.groupBy("item_id", "size", "miss", "j").agg(F.array_sort(F.collect_list(F.struct("rn", "q", "t"))).alias("top"))
-    sets = tops.groupBy("item_id", "size", "miss", "top").agg(F.min("j").alias("first"), F.max("j").alias("last"))
-    return cut(sets.withColumn("lead", F.monotonically_increasing_id()), "leads")
+    seed = F.col("rn") <= F.col("miss") + 1
+    return cut(ranked.groupBy("item_id", "q", "t").agg(F.max(seed).alias("seed"), F.max(seed & (F.col("size") <= F.col("miss") + 1)).alias("alone")), "places")
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The values of all rows one after another, how many each row has, and where they begin."""
+    n = pc.list_value_length(column).to_numpy()
+    return column.flatten().to_numpy(), n, np.cumsum(n) - n
+
+
+def _in_place(slack: int, percent: int, rows: int = 2_000):
+    """From rows (item_id, doc_id, size, starts, w, words, low): the starts at which a phrase of the words w lies in words, whose first stands at low, and its best count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in range(0, batch.num_rows, rows):
+                part = batch.slice(c, rows)
+                (start, n_starts, _), (w, n_w, w_at), (words, n_words, words_at) = (_lists(part.column(k)) for k in ("starts", "w", "words"))
+                size, low, words = part.column("size").to_numpy(), part.column("low").to_numpy(), np.append(words, -2)
+                of = np.repeat(np.arange(part.num_rows), n_starts)
+                length = n_w[of]
+                first = np.cumsum(length) - length
+                which = np.repeat(np.arange(len(start)), length)
+                q, row = np.arange(length.sum()) - first[which], of[which]
+                want, at, hit = w[w_at[row] + q], start[which] - low[row] + q, np.zeros(len(q), dtype=bool)
+                for d in range(-slack, slack + 1):
+                    inside = (at + d >= 0) & (at + d < n_words[row])
+                    hit |= inside & (words[np.where(inside, words_at[row] + at + d, len(words) - 1)] == want)
+                upto = np.concatenate(([0], np.cumsum(hit)))
+                ends = np.arange(len(q)) + size[row]
+                n = np.where(q + size[row] <= n_w[row], upto[np.minimum(ends, len(q))] - upto[:-1], 0)
+                best = np.maximum.reduceat(n, first)
+                keep = np.flatnonzero(best * 100 >= size[of] * percent)
+                take = pa.array(of[keep])
+                yield pa.RecordBatch.from_arrays([part.column("item_id").take(take), part.column("doc_id").take(take), pa.array(start[keep]), pa.array(best[keep].astype(np.int64)), part.column("size").take(take)], ["item_id", "doc_id", "start", "n", "size"])
+
+    return run
 
 
-def _within(slack: int) -> Column:
-    return F.explode(F.sequence(F.lit(-slack), F.lit(slack)))
+#: Neighbouring diagonals (the word of a document on which the first word of a passage would lie) that are looked at together.
+BAND = 16
 
 
 def find_passages(index: DataFrame, known: DataFrame, slack: int = 0, percent: int = 100) -> DataFrame:
@@ -77,40 +117,31 @@ def find_passages(index: DataFrame, known: DataFrame, slack: int = 0, percent: i
     are the exact occurrences. known: as passages() gives it.
 
     Postings of the rarest words of each phrase give the starts in question. They are intersected
-    with the offset-adjusted postings of the next rare words; what is left, with those of all
-    other words of the phrase. No phrase with so many of its words in place can escape: see _leads.
+    with the offset-adjusted postings of the next rare words, in bands of starts; what is left,
+    with the postings of the whole document, laid beside the passage. No phrase with so many of its
+    words in place can escape: see _rare_places. A band holds at most BAND postings of each place.
     """
     vocabulary, known = _numbered(known)
     postings = cut(attach(index, vocabulary, ["term"], ["doc_id", "pos"]).select("t", "doc_id", "pos"), "wanted")
     counts = cut(postings.groupBy("t").agg(F.count("*").alias("cf")), "counts")
-    leads = _leads(known, counts, percent)
-    at = F.expr("explode(filter(top, x -> x.rn <= miss + 1))").alias("x")
-    seeds = leads.select("lead", "top", at).select("lead", F.col("x.t").alias("t"), F.col("x.q").alias("q"), F.expr("filter(top, y -> y.q <> x.q)").alias("others"))
-    met = attach(postings, seeds, ["t"], ["doc_id", "pos"])
-    met = met.select("lead", "doc_id", "others", (F.col("pos") - F.col("q")).alias("at"))
-    if slack:
-        met = met.withColumn("_d", _within(slack)).withColumn("at", F.col("at") + F.col("_d")).drop("_d").distinct()
-    # Only postings of the next rare words can be met here, and none of the frequent ones.
-    met = met.select("lead", "doc_id", "at", F.explode_outer("others").alias("y")).select("lead", "doc_id", "at", F.col("y.t").alias("t"), (F.col("at") + F.col("y.q")).alias("p"), F.col("y").isNull().alias("alone"))
-    if slack:
-        met = met.withColumn("_d", _within(slack)).withColumn("p", F.col("p") + F.col("_d")).drop("_d")
-    next_rare = broadcast_if_small(cut(leads.select(F.explode("top.t").alias("_t")).distinct(), "rare"))
-    there = postings.select(F.col("doc_id").alias("_doc"), F.col("pos").alias("_pos"), F.col("t").alias("_t"))
-    same = (F.col("doc_id") == F.col("_doc")) & (F.col("p") == F.col("_pos")) & (F.col("t") == F.col("_t"))
-    two = met.filter("not alone").join(there.join(next_rare, "_t", "left_semi"), same, "left_semi").unionByName(met.filter("alone")).select("lead", "doc_id", "at")
-    # A document delivered twice has each start twice.
-    two = attach(two, leads.select("lead", "item_id", "first", "last", "size"), ["lead"], ["doc_id", "at"])
-    places = F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(first, last + size - 1)"))))
-    two = cut(two.groupBy("item_id", "doc_id", "at").agg(places.alias("places")), "starts")
-    wanted = attach(two, known, ["item_id"], ["doc_id", "at"]).select("item_id", "doc_id", "at", "size", "w", F.explode("places").alias("q"))
-    wanted = wanted.select("item_id", "doc_id", "at", "size", "q", F.expr("w[q]").alias("t"), (F.col("at") + F.col("q")).alias("p"))
-    if slack:
-        wanted = wanted.withColumn("_d", _within(slack)).withColumn("p", F.col("p") + F.col("_d")).drop("_d")
-    left = broadcast_if_small(cut(two.select(F.col("doc_id").alias("_doc")).distinct(), "left"))
-    hits = wanted.join(there.join(left, "_doc", "left_semi"), same, "left_semi")
-    hits = hits.groupBy("item_id", "doc_id", "at", "size").agg(F.array_sort(F.collect_set("q")).alias("qs"))
-    best = F.expr("array_max(transform(qs, a -> size(filter(qs, b -> b between a and a + size - 1))))")
-    return hits.withColumn("n", best).filter(F.col("n") * 100 >= F.col("size") * percent).select("item_id", "doc_id", F.col("at").alias("start"), "n", "size")
+    met = attach(postings, _rare_places(known, counts, percent), ["t"], ["doc_id", "pos"]).withColumn("d", F.col("pos") - F.col("q"))
+    reach = 2 * slack  # two words in place for one start may be so far from each other's
+    band = lambda d: F.floor(d / BAND)
+    bands = F.when(F.col("seed"), F.sequence(band(F.col("d") - reach), band(F.col("d") + reach))).otherwise(F.array(band(F.col("d"))))
+    met = met.select("item_id", "doc_id", F.explode(bands).alias("band"), F.struct("d", "q", "seed", "alone").alias("x")).groupBy("item_id", "doc_id", "band").agg(F.collect_set("x").alias("h"))
+    seeds = F.expr(f"filter(h, x -> x.seed and (x.alone or exists(h, y -> y.q <> x.q and abs(y.d - x.d) <= {reach})))")
+    starts = F.array_distinct(F.flatten(F.transform(seeds, lambda x: F.sequence(x["d"] - slack, x["d"] + slack))))
+    starts = cut(met.select("item_id", "doc_id", starts.alias("starts")).filter("size(starts) > 0"), "starts")
+    left = broadcast_if_small(cut(starts.select("doc_id").distinct(), "left"))
+    # The words of a document by their place, -1 for those that no passage has; a document delivered twice has each of them twice.
+    beside = postings.join(left, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "t"))).alias("p"))
+    gap = F.transform("p", lambda x, i: F.concat(F.array_repeat(F.lit(-1).cast("bigint"), x["pos"] - F.when(i > 0, F.get("p", i - 1)["pos"]).otherwise(-1) - 1), F.array(x["t"])))
+    laid = attach(starts, known, ["item_id"], ["doc_id"]).join(beside.select("doc_id", F.flatten(gap).alias("words")), "doc_id")
+    low = F.greatest(F.array_min("starts") - slack, F.lit(0))
+    laid = laid.withColumn("low", low).withColumn("words", F.slice("words", (F.col("low") + 1).cast("int"), F.greatest(F.array_max("starts") + slack + F.size("w") - F.col("low"), F.lit(0)).cast("int")))
+    kind = dict(laid.dtypes)
+    found = laid.select("item_id", "doc_id", F.col("size").cast("bigint").alias("size"), F.col("starts").cast("array<bigint>").alias("starts"), "w", "words", F.col("low").cast("bigint").alias("low")).mapInArrow(_in_place(slack, percent), f"item_id {kind['item_id']}, doc_id {kind['doc_id']}, start bigint, n bigint, size bigint")
+    return found.distinct()
 
 
 def leaks(docs: DataFrame, items: DataFrame, length: int = 12, least: int = 6) -> DataFrame:
