@@ -46,7 +46,7 @@ def unresolved_keys(refs: DataFrame, targets: DataFrame, keys: Sequence[str], ro
         .unionByName(targets.select(*keys, _day(F.col("t"), FIRST).alias("period"), F.lit(1).alias("kind"), F.coalesce(F.col("t").cast("timestamp_ntz"), F.expr(ALWAYS)).alias("t"), F.lit(False).alias("own"), row))
         .unionByName(targets.filter(F.col("until").isNotNull()).select(*keys, _day(F.col("until"), LAST).alias("period"), F.lit(2).alias("kind"), none.alias("t"), F.lit(False).alias("own"), row))
     )
-    ranges = partitions_for(rows, per_range)
+    ranges = partitions_for(rows, per_range, refs.sparkSession.sparkContext.defaultParallelism)
     ref, target = F.col("kind") == 0, F.col("kind") == 1
     per_key = events.groupBy(F.pmod(F.xxhash64(*keys), F.lit(ranges)).alias("range"), *keys, "period").agg(
         F.max(F.when(ref, ~F.col("own"))).alias("others"), F.max(F.when(ref, F.col("own"))).alias("owns"), F.min(F.when(ref, F.col("t"))).alias("first_ref"),
