@@ -153,7 +153,7 @@ class _Refined:
         return out
 
 
-def _repeats(anchor: np.ndarray, row: np.ndarray, at: np.ndarray, texts: list[str], width: int) -> tuple[np.ndarray, ...]:
+def _repeats(anchor: np.ndarray, row: np.ndarray, at: np.ndarray, texts: list[str], width: int, classes: bool = True) -> tuple[np.ndarray, ...]:
     """Maximal repeats (row, first window, last window, row and first window of the representative, rows) of segments sorted by anchor.
 
     Every place of an anchor is extended to both sides letter by letter: contexts are sorted once
@@ -161,7 +161,7 @@ def _repeats(anchor: np.ndarray, row: np.ndarray, at: np.ndarray, texts: list[st
     classes of places that agree in so many letters. The window with k letters before its anchor
     is shared by the places that agree in k letters to the left and in the rest to the right; the
     first of them is the representative. A repeat goes on for as long as it stays beside the same
-    representative, with the same number of rows.
+    representative, with the same number of rows; without classes, as long as anything is shared.
     """
     none = (np.zeros(0, np.int64),) * 6
     first = _first_of(anchor)
@@ -209,13 +209,15 @@ def _repeats(anchor: np.ndarray, row: np.ndarray, at: np.ndarray, texts: list[st
         return none
     r, s, n = row[segment[shared]], where[shared] + shift[segment[shared]], n[shared]
     r2, s2 = row[segment[stand[shared]]], where[stand[shared]] + shift[segment[stand[shared]]]
-    goes_on = (segment[shared][1:] == segment[shared][:-1]) & (s[1:] == s[:-1] + 1) & (r2[1:] == r2[:-1]) & (s2[1:] == s2[:-1] + 1) & (n[1:] == n[:-1])
+    goes_on = (segment[shared][1:] == segment[shared][:-1]) & (s[1:] == s[:-1] + 1)
+    if classes:
+        goes_on &= (r2[1:] == r2[:-1]) & (s2[1:] == s2[:-1] + 1) & (n[1:] == n[:-1])
     start = np.flatnonzero(np.concatenate(([True], ~goes_on)))
     end = np.append(start[1:], len(shared)) - 1
     return r[start], s[start], s[end], r2[start], s2[start], n[start]
 
 
-def _extend(width: int, enough: int = 100_000):
+def _extend(width: int, classes: bool, enough: int = 100_000):
     """Works off segments sorted by anchor, whole anchor groups at a time."""
 
     def work(held: list[pa.RecordBatch], upto: int | None) -> tuple[pa.RecordBatch | None, list[pa.RecordBatch]]:
@@ -226,7 +228,7 @@ def _extend(width: int, enough: int = 100_000):
         if not n:
             return None, rest
         t = t.slice(0, n)
-        out = _repeats(anchor[:n], t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist(), width)
+        out = _repeats(anchor[:n], t.column(1).to_numpy(), t.column(2).to_numpy(), t.column(3).to_pylist(), width, classes)
         return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in out], REPEAT_NAMES), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +284,8 @@ def _heavy_repeats(segments: DataFrame, width: int) -> DataFrame:
     return kept.select("row_id", "s", F.col("s").alias("e"), "rep_row", "rep_s", "n_rows")
 
 
-def _all_repeats(df: DataFrame, row_id: str, text: str, width: int, group_limit: int) -> DataFrame:
-    """Repeats (row_id, s, e, rep_row, rep_s, n_rows), windows counted from 0, still divided where the anchor changes."""
+def _all_repeats(df: DataFrame, row_id: str, text: str, width: int, group_limit: int, classes: bool) -> DataFrame:
+    """Repeats (row_id, s, e, rep_row, rep_s, n_rows), windows counted from 0, still divided where the anchor changes; without classes the last three mean nothing."""
     df = spread(df.select(F.col(row_id).cast("bigint").alias("row_id"), F.col(text).alias("text"))).filter((F.length("text") >= width) & F.col("row_id").isNotNull())
     is_heavy = F.col("n") > group_limit
     counts = df.mapInArrow(_counts(width), "anchor bigint, n bigint").groupBy("anchor").agg(F.sum("n").alias("n"))
@@ -297,7 +299,7 @@ def _all_repeats(df: DataFrame, row_id: str, text: str, width: int, group_limit:
         light = segments.join(heavy, "anchor", "left_anti")
         repeats = _heavy_repeats(segments.join(heavy, "anchor", "left_semi"), width)
     ordered = light.repartition(partitions_for(total, 150_000), "anchor").sortWithinPartitions("anchor")
-    found = ordered.mapInArrow(_extend(width), REPEAT)
+    found = ordered.mapInArrow(_extend(width, classes), REPEAT)
     return found if repeats is None else found.unionByName(repeats)
 
 
@@ -315,7 +317,7 @@ def shared_spans(df: DataFrame, row_id: str, text: str, width: int, group_limit:
     anchor with more than group_limit occurrences is spread by its windows, so that any group of
     copies may be large.
     """
-    repeats = _all_repeats(df, row_id, text, width, group_limit)
+    repeats = _all_repeats(df, row_id, text, width, group_limit, False)
     by_row = Window.partitionBy("row_id").orderBy("s", "e")
     before = F.max("e").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     runs = repeats.select("row_id", "s", "e").distinct().withColumn("new", F.when(before + width >= F.col("s"), 0).otherwise(1))
@@ -334,7 +336,7 @@ def maximal_repeats(df: DataFrame, row_id: str, text: str, width: int, group_lim
     characters. Every record of a class comes once per place, its representative included, so that
     all links between different texts are kept and no pairs are listed. Odd cases as in shared_spans.
     """
-    repeats = _all_repeats(df, row_id, text, width, group_limit).distinct()
+    repeats = _all_repeats(df, row_id, text, width, group_limit, True).distinct()
     beside = ["row_id", "rep_row", "n_rows", F.col("rep_s") - F.col("s")]
     by = Window.partitionBy(*beside).orderBy("s")
     runs = repeats.withColumn("new", F.when(F.lag("e").over(by) + 1 == F.col("s"), 0).otherwise(1)).withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
