@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+
 # Numbers of the encodings.
 NULL, EXTERNAL, GOLOMB, HUFFMAN, ARRAY_LEN, ARRAY_STOP, BETA, SUBEXP, GOLOMB_RICE, GAMMA = range(10)
 
@@ -174,6 +176,57 @@ def get_golomb_rice(r: BitReader, offset: int, log2m: int) -> int:
     return (r.run(0) << log2m | r.get(log2m)) - offset
 
 
+def golomb_rice_block(values: np.ndarray, offset: int, log2m: int) -> bytes:
+    """Many non-negative values (less the offset) one after another, as put_golomb_rice writes them."""
+    v = np.asarray(values, dtype=np.int64) + offset
+    zeros = v >> log2m
+    one = np.cumsum(zeros + 1 + log2m) - 1 - log2m
+    bits = np.zeros(int(one[-1]) + 1 + log2m if len(v) else 0, dtype=np.uint8)
+    bits[one] = 1
+    for i in range(log2m):
+        bits[one + 1 + i] = v >> log2m - 1 - i & 1
+    return np.packbits(bits).tobytes()
+
+
+def golomb_rice_values(data: bytes, n: int, offset: int, log2m: int, leap: int = 2) -> np.ndarray:
+    """The first n values of a block of golomb_rice_block; EOFError if it holds fewer.
+
+    A code ends with the remainder behind its first 1. Which 1 is the next code's follows from how
+    many lie in the remainder: it is known for every 1 at once, then for 2**leap codes further
+    on, so that few steps are left to be made one by one.
+    """
+    bits = np.unpackbits(np.frombuffer(data, dtype=np.uint8))
+    ones = np.flatnonzero(bits).astype(np.int32)
+    if not n:
+        return np.zeros(0, np.int64)
+    padded = np.append(bits, np.zeros(log2m + 1, dtype=np.uint8))
+    rest = np.zeros(len(ones), dtype=np.int32)
+    follow = np.arange(1, len(ones) + 1, dtype=np.int32)
+    for i in range(1, log2m + 1):
+        bit = padded[ones + i]
+        rest = rest << 1 | bit
+        follow += bit
+    last = len(ones)
+    follow = np.append(np.minimum(follow, last), last)
+    far = follow
+    for _ in range(leap):
+        far = far[far]
+    codes = np.empty((-(-n >> leap), 1 << leap), dtype=np.int32)
+    step, at, starts = memoryview(far), 0, []
+    for _ in range(len(codes)):
+        starts.append(at)
+        at = step[at]
+    codes[:, 0] = starts
+    for i in range(1, 1 << leap):
+        codes[:, i] = follow[codes[:, i - 1]]
+    codes = codes.ravel()[:n]
+    if codes[-1] >= last or ones[codes[-1]] + log2m >= len(bits):
+        raise EOFError
+    one = ones[codes]
+    zeros = np.diff(one, prepend=-1 - log2m) - 1 - log2m
+    return (zeros.astype(np.int64) << log2m | rest[codes]) - offset
+
+
 def canonical(values: list[int], lengths: list[int]) -> dict[int, tuple[int, int]]:
     """Canonical codes: value -> (code, length), shorter first, then by value."""
     code = last = 0

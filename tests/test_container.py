@@ -30,6 +30,20 @@ def test_codes_round_trip(put, get, params):
     assert [get(r, *params) for _ in values] == values
 
 
+@pytest.mark.parametrize("log2m", [0, 2, 5])
+def test_blocks_of_codes(log2m):
+    rng = random.Random(log2m)
+    for n in (0, 1, 7, 8, 9, 1000):
+        values = [rng.choice([0, 1, 5, 20, 255, 3000]) for _ in range(n)]
+        w = c.BitWriter()
+        for v in values:
+            c.put_golomb_rice(w, v, 3, log2m)
+        assert c.golomb_rice_block(values, 3, log2m) == w.data()
+        assert c.golomb_rice_values(w.data(), n, 3, log2m).tolist() == values
+    with pytest.raises(EOFError):
+        c.golomb_rice_values(c.golomb_rice_block([4, 4], 0, log2m), 40, 0, log2m)
+
+
 def test_varints():
     rng = random.Random(1)
     for v in [0, 1, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 - 1, 2**28, 2**31 - 1, -1, -(2**31)] + [rng.randrange(2**31) for _ in range(500)]:
