@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqloom.sources.files import exists, open_file
+
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Rows (rname, seq): one per sequence, its lines joined, as they are written. A file is read in records that begin with >."""
@@ -55,11 +57,11 @@ def find_reference(path: str, given: str | None = None) -> str:
     """A given path; else X.fa beside X.<any>; else the path in X.ref; else the environment's SEQLOOM_REFERENCE."""
     stem = os.path.splitext(path)[0]
     named = None
-    if os.path.exists(f"{stem}.ref"):
-        with open(f"{stem}.ref") as f:
-            named = f.readline().strip()
+    if exists(f"{stem}.ref"):
+        with open_file(f"{stem}.ref") as f:
+            named = f.readline().decode().strip()
     for candidate in (given, f"{stem}.fa", named, os.environ.get("SEQLOOM_REFERENCE")):
-        if candidate and os.path.exists(candidate):
+        if candidate and exists(candidate):
             return candidate
     raise FileNotFoundError(f"no reference for {path}")
 
