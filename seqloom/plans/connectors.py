@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from seqloom.operators.alignment import placed as placed_reads
 from seqloom.plans.bases import COVERAGE_SQL, HEX, LETTERS, PLACED, REBUILD_SQL
 from seqloom.plans.records import SPANNED, reads
-from seqloom.plans.shared import scratch, table
+from seqloom.plans.shared import scratch, spread, table
 from seqloom.sources import binary, container, crai, fasta, fastq, sam
 from seqloom.streaming import mates
 
@@ -56,7 +56,7 @@ def sam_file(spark, sf_dir):
 def bam_roundtrip(spark, sf_dir):
     """All records through the binary format. What it can't hold comes back as sentinels."""
     path = scratch(spark, "bam")
-    binary.write_bam(_tagged(spark, sf_dir), table(spark, sf_dir, "contigs"), path)
+    binary.write_bam(spread(_tagged(spark, sf_dir)), table(spark, sf_dir, "contigs"), path)
     binary.register(spark)
     return _back(spark.read.format("seqloom_bam").option("split", 200_000).load(path))
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from binascii import hexlify, unhexlify
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -18,6 +21,8 @@ from seqloom.sources.files import NewFolder, exists, files_below, open_file, res
 FASTQ_SCHEMA = "qname string, seq string, qual string"
 READS_SCHEMA = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string, tags map<string,string>"
 SPLIT = 32 << 20
+#: Length up to which CIGARs and tags are kept in a cache.
+SHORT = 64
 
 
 @dataclass
@@ -87,6 +92,11 @@ class FastqSource(DataSource):
 # Fixed values of the binary record format: letters of 4-bit bases, CIGAR operations, tag number formats.
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 NUMBER = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"}
+UNPACK = {k: struct.Struct("<" + f) for k, f in NUMBER.items()}
+# Bytes of text to hexadecimal digits of bases and back, to scores and back; what has no code is N, scores are 0 to 254.
+TO_BASES = bytes(b"0123456789abcdef"[i if (i := BASES.find(chr(c))) >= 0 else 15] for c in range(256))
+FROM_BASES = bytes(ord(BASES[int(chr(c), 16)]) if chr(c) in "0123456789abcdef" else 0 for c in range(256))
+TO_SCORES, FROM_SCORES, HIGH_SCORES = bytes(max(0, c - 33) for c in range(256)), bytes((c + 33) % 256 for c in range(256)), bytes(range(223, 256))
 
 
 def block(data: bytes) -> bytes:
@@ -165,16 +175,37 @@ def _is_record(raw: bytes, at: int, n_refs: int) -> int:
     return at + 4 + size
 
 
+def _goes_on(data: Blocks, skip: int, n_refs: int, least: int = 4) -> bool:
+    """Whether at least so many records, or as many as the stream has left, follow each other from skip bytes on."""
+    for _ in range(least):
+        while skip:
+            if not (piece := data.take(min(skip, 1 << 20))):
+                return False
+            skip -= len(piece)
+        data.tell()
+        if data.at == len(data.held):
+            return True
+        raw = data.take(36)
+        raw += data.take(raw[12]) if raw else b""
+        if len(raw) < 36 or not (size := _is_record(raw, 0, n_refs)) or size < len(raw):
+            return False
+        skip = size - len(raw)
+    return True
+
+
 def first_record(f, start: int, end: int, n_refs: int) -> int | None:
     """The virtual offset of the first record that begins in a block from start to end - 1.
 
     A record is where its fields make sense, and those of every record behind it in what is looked
-    at, at least 128 kb more than its block, or to the end of the file exactly.
+    at, at least 128 kb more than its block, and of the next few behind that, however far off, or to
+    the end of the file exactly.
     """
     block = first_block(f, start, end)
     while block is not None and block < end:
         stream = Blocks(f, block)
-        stream.tell()
+        block = stream.tell() >> 16
+        if block >= end:
+            return None
         own, after, raw = len(stream.held), stream.next, stream.held
         more = True
         while len(raw) < own + (1 << 17) and (more := stream._load()):
@@ -183,8 +214,13 @@ def first_record(f, start: int, end: int, n_refs: int) -> int | None:
             ends = at
             while 0 < len(raw) - ends >= 36 and (ends := _is_record(raw, ends, n_refs)):
                 pass
-            if ends and (more or ends == len(raw)):
+            if ends and not more and ends == len(raw):
                 return block << 16 | at
+            if ends and more:
+                rest = Blocks(f, stream.next)
+                rest.held = raw[ends:]
+                if _goes_on(rest, max(0, ends - len(raw)), n_refs):
+                    return block << 16 | at
         block = after if own else None
     return None
 
@@ -198,60 +234,75 @@ def _tags(raw: bytes, at: int) -> dict[str, str]:
     out = {}
     while at < len(raw):
         key, kind, at = raw[at : at + 2].decode(), chr(raw[at + 2]), at + 3
-        if kind in "ZH":
+        if kind in UNPACK:
+            (number,) = UNPACK[kind].unpack_from(raw, at)
+            value, at = str(number), at + UNPACK[kind].size
+            kind = kind if kind == "f" else "i"
+        elif kind in "ZH":
             value, at = _text(raw, at)
         elif kind == "A":
             value, at = chr(raw[at]), at + 1
-        elif kind == "B":
+        else:
+            if kind != "B":
+                raise ValueError(f"tag {key} of an unknown type {kind}")
             sub, n = chr(raw[at]), struct.unpack_from("<i", raw, at + 1)[0]
             numbers = struct.unpack_from(f"<{n}{NUMBER[sub]}", raw, at + 5)
             value, at = ",".join([sub, *map(str, numbers)]), at + 5 + n * struct.calcsize(NUMBER[sub])
-        else:
-            value, at = str(struct.unpack_from("<" + NUMBER[kind], raw, at)[0]), at + struct.calcsize(NUMBER[kind])
-            kind = kind if kind == "f" else "i"
         out[key] = f"{kind}:{value}"
     return out
 
 
+@lru_cache(1 << 12)
+def _cigar_text(ops: bytes) -> str:
+    return "".join(f"{v >> 4}{OPS[v & 15]}" for (v,) in struct.iter_unpack("<I", ops)) or "*"
+
+
 def decode_record(raw: bytes, names: list[str]) -> tuple:
     ref, pos, n_name, mapq, _, n_ops, flag, n, ref2, pos2, tlen = struct.unpack_from("<iiBBHHHiiii", raw)
     at = 32
     qname, _ = _text(raw, at)
     at += n_name
-    cigar = "".join(f"{v >> 4}{OPS[v & 15]}" for v in struct.unpack_from(f"<{n_ops}I", raw, at)) or "*"
+    cigar = (_cigar_text if 4 * n_ops <= SHORT else _cigar_text.__wrapped__)(raw[at : at + 4 * n_ops])
     at += 4 * n_ops
     packed = raw[at : at + (n + 1) // 2]
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n] or "*"
+    seq = hexlify(packed).translate(FROM_BASES)[:n].decode() or "*"
     at += (n + 1) // 2
     qual = raw[at : at + n]
     at += n
     name = lambda i: names[i] if i >= 0 else "*"
     rnext = "=" if ref2 == ref and ref >= 0 else name(ref2)
-    text = "*" if not n or qual[0] == 255 else bytes(q + 33 for q in qual).decode("latin-1")
+    if not n or qual[0] == 255:
+        text = "*"
+    elif len(qual) == len(qual.translate(None, HIGH_SCORES)):
+        text = qual.translate(FROM_SCORES).decode("latin-1")
+    else:
+        text = "".join(chr(q + 33) for q in qual)
     return qname, flag, name(ref), pos + 1, mapq, cigar, rnext, pos2 + 1, tlen, seq, text, _tags(raw, at)
 
 
+@lru_cache(1 << 12)
+def _encode_tag(key: str, value: str) -> bytes:
+    if len(key) != 2 or value is None or value[1:2] != ":":
+        return b""
+    kind, value = value[0], value[2:]
+    if kind == "i":
+        number = int(value)
+        kind = next(k for k, low, high in (("c", -128, 127), ("C", 0, 255), ("s", -32768, 32767), ("S", 0, 65535), ("i", -(2**31), 2**31 - 1), ("I", 0, 2**32 - 1)) if low <= number <= high)
+        data = UNPACK[kind].pack(number)
+    elif kind == "f":
+        data = struct.pack("<f", float(value))
+    elif kind == "A":
+        data = value[:1].encode()
+    elif kind == "B":
+        sub, *numbers = value.split(",")
+        data = sub.encode() + struct.pack(f"<i{len(numbers)}{NUMBER[sub]}", len(numbers), *[float(x) if sub == "f" else int(x) for x in numbers])
+    else:
+        kind, data = ("H" if kind == "H" else "Z"), value.encode() + b"\0"
+    return key.encode() + kind.encode() + data
+
+
 def _encode_tags(tags: dict[str, str] | None) -> bytes:
-    out = b""
-    for key, value in sorted((tags or {}).items()):
-        if len(key) != 2 or value is None or value[1:2] != ":":
-            continue
-        kind, value = value[0], value[2:]
-        if kind == "i":
-            number = int(value)
-            kind = next(k for k, low, high in (("c", -128, 127), ("C", 0, 255), ("s", -32768, 32767), ("S", 0, 65535), ("i", -(2**31), 2**31 - 1), ("I", 0, 2**32 - 1)) if low <= number <= high)
-            data = struct.pack("<" + NUMBER[kind], number)
-        elif kind == "f":
-            data = struct.pack("<f", float(value))
-        elif kind == "A":
-            data = value[:1].encode()
-        elif kind == "B":
-            sub, *numbers = value.split(",")
-            data = sub.encode() + struct.pack(f"<i{len(numbers)}{NUMBER[sub]}", len(numbers), *[float(x) if sub == "f" else int(x) for x in numbers])
-        else:
-            kind, data = ("H" if kind == "H" else "Z"), value.encode() + b"\0"
-        out += key.encode() + kind.encode() + data
-    return out
+    return b"".join([(_encode_tag if v is None or len(v) <= SHORT else _encode_tag.__wrapped__)(k, v) for k, v in sorted((tags or {}).items())])
 
 
 def _bin(start: int, end: int) -> int:
@@ -262,25 +313,35 @@ def _bin(start: int, end: int) -> int:
     return 0
 
 
+@lru_cache(1 << 12)
+def _cigar_bytes(cigar: str) -> tuple[bytes, int]:
+    """The operations of a CIGAR, none if it is malformed, and the bases of the reference under them, at least 1."""
+    ops = re.findall(r"(\d+)([MIDNSHP=X])", cigar) if re.fullmatch(r"(\d+[MIDNSHP=X])+", cigar) else []
+    return b"".join(struct.pack("<I", int(n) << 4 | OPS.index(o)) for n, o in ops), sum(int(n) for n, o in ops if o in "MDN=X") or 1
+
+
 def encode_record(row: dict, ids: dict[str, int]) -> bytes:
     """A record; nulls as sentinels, a malformed CIGAR as none, letters without a code as N. ValueError for names of more than 254 bytes, which the format can't hold."""
     qname = (row["qname"] or "*").encode() + b"\0"
     if len(qname) > 255:
         raise ValueError(f"name of {len(qname) - 1} bytes: {row['qname'][:40]}...")
     cigar = row["cigar"] or "*"
-    ops = re.findall(r"(\d+)([MIDNSHP=X])", cigar) if re.fullmatch(r"(\d+[MIDNSHP=X])+", cigar) else []
+    ops, span = (_cigar_bytes if len(cigar) <= SHORT else _cigar_bytes.__wrapped__)(cigar)
     seq = "" if (row["seq"] or "*") == "*" else row["seq"].upper()
-    codes = [i if (i := BASES.find(c)) >= 0 else 15 for c in seq]
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], [*codes[1::2], *([0] * (len(codes) % 2))]))
+    packed = unhexlify(seq.encode("latin-1", "replace").translate(TO_BASES) + b"0" * (len(seq) % 2))
     qual = row["qual"] or "*"
-    scores = bytes([255]) * len(seq) if qual == "*" or len(qual) != len(seq) else bytes(max(0, min(254, ord(c) - 33)) for c in qual)
+    if qual == "*" or len(qual) != len(seq):
+        scores = bytes([255]) * len(seq)
+    elif qual.isascii():
+        scores = qual.encode().translate(TO_SCORES)
+    else:
+        scores = bytes(max(0, min(254, ord(c) - 33)) for c in qual)
     ref = ids.get(row["rname"] or "*", -1)
     ref2 = ref if row["rnext"] == "=" else ids.get(row["rnext"] or "*", -1)
     pos = (row["pos"] or 0) - 1
-    span = sum(int(n) for n, o in ops if o in "MDN=X") or 1
     mapq = row["mapq"] if row["mapq"] is not None and 0 <= row["mapq"] <= 255 else 255
-    head = struct.pack("<iiBBHHHiiii", ref, pos, len(qname), mapq, _bin(max(pos, 0), max(pos, 0) + span) & 0xFFFF, len(ops), row["flag"] or 0, len(seq), ref2, (row["pnext"] or 0) - 1, row["tlen"] or 0)
-    body = head + qname + b"".join(struct.pack("<I", int(n) << 4 | OPS.index(o)) for n, o in ops) + packed + scores + _encode_tags(row["tags"])
+    head = struct.pack("<iiBBHHHiiii", ref, pos, len(qname), mapq, _bin(max(pos, 0), max(pos, 0) + span) & 0xFFFF, len(ops) // 4, row["flag"] or 0, len(seq), ref2, (row["pnext"] or 0) - 1, row["tlen"] or 0)
+    body = head + qname + ops + packed + scores + _encode_tags(row["tags"])
     return struct.pack("<i", len(body)) + body
 
 
@@ -352,6 +413,23 @@ class BamReader(DataSourceReader):
                     yield (*row, part.path, at, data.tell()) if self.offsets else row
 
 
+class BamBatches(BamReader):
+    """The same records in batches of columns, which Spark takes as they are."""
+
+    def __init__(self, options: dict, schema: StructType):
+        super().__init__(options)
+        self.schema = schema
+
+    def read(self, part: Part) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, records = to_arrow_schema(self.schema), super().read(part)
+        while rows := list(islice(records, 10_000)):
+            columns = [[list(t.items()) for t in c] if name == "tags" else c for name, c in zip(schema.names, zip(*rows), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
 def _region(text: str) -> tuple[str, int, int]:
     """name, start and end of a region such as chr1, chr1:100 or chr1:100-200."""
     m = re.fullmatch(r"(.*?)(?::(\d+)(?:-(\d+))?)?", text)
@@ -427,7 +505,7 @@ class BamSource(DataSource):
         return READS_SCHEMA + (OFFSETS if self.options.get("offsets", "") == "true" else "")
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return BamReader(dict(self.options))
+        return BamBatches(dict(self.options), schema)
 
 
 def write_bam(reads, contigs, path: str) -> None:
@@ -444,7 +522,8 @@ def write_bam(reads, contigs, path: str) -> None:
         name, n, held = folder.attempt(".bam"), 0, bytearray(header_bytes(names, lengths))
         with folder.create(name) as f:
             for batch in batches:
-                for row in batch.to_pylist():
+                for values in zip(*(c.to_pylist() for c in batch.columns)):
+                    row = dict(zip(columns, values))
                     row["tags"] = dict(row["tags"] or [])
                     held += encode_record(row, ids)
                     n += 1

@@ -63,6 +63,26 @@ def test_binary_files_are_split_anywhere(data, tmp_path_factory, split):
     assert [r[0] for r in got] == [r[0] for r in rows]
 
 
+@pytest.mark.parametrize("split", [700, 9_999])
+def test_no_record_is_seen_in_the_tail_of_another(spark, tmp_path, split):
+    """Four bytes before each of these records the fields of one make sense, too, but its 30 MB lie behind the end of the file or of what is looked at."""
+    rng = random.Random(2)
+    rows = [(f"q{i}", 99, "c0", 4, 60, "20M", "=", 300, 300, "".join(rng.choices("ACGT", k=20)), "".join(rng.choices("!#IJ~", k=20)), {"XI": f"i:{30_000_000 + i}"}) for i in range(6000)]
+    contigs = spark.createDataFrame([(i, f"c{i}", 1000) for i in range(900)], CONTIGS)
+    path = str(tmp_path / "out")
+    binary.write_bam(spark.createDataFrame(rows, binary.READS_SCHEMA).coalesce(1), contigs, path)
+    reader = binary.BamReader({"path": path, "split": str(split)})
+    assert [r for p in reader.partitions() for r in reader.read(p)] == rows
+    binary.register(spark)
+    back = spark.read.format("seqloom_bam").option("split", split * 20).load(path).collect()
+    assert {r["qname"]: tuple(r) for r in back} == {r[0]: r for r in rows} and len(back) == len(rows)
+
+
+def test_all_scores_come_back():
+    row = {"qname": "q", "flag": 0, "rname": "*", "pos": 0, "mapq": 0, "cigar": "*", "rnext": "*", "pnext": 0, "tlen": 0, "seq": "ACN", "qual": "I\xff\u011f", "tags": None}
+    assert binary.decode_record(binary.encode_record(row, {})[4:], [])[9:11] == ("ACN", row["qual"])
+
+
 def test_long_names_are_refused(data, spark, tmp_path):
     _, _, contigs = data
     with pytest.raises(ValueError):
