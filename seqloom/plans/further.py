@@ -11,7 +11,7 @@ from seqloom.plans.bases import FEATURES_SQL, HEX, LETTERS, MEANING, PLACED, _po
 from seqloom.plans.connectors import _back, _tagged, _written_cram
 from seqloom.plans.records import SPANNED, reads, spanned
 from seqloom.plans.sets import FIELDS, LATEST, PLAIN, UNPLACED, _latest, _shown, _with_source
-from seqloom.plans.shared import cut, scratch, table
+from seqloom.plans.shared import cut, scratch, spread, table
 from seqloom.plans.stored import RULES, VALIDATE_SQL
 from seqloom.sources import binary, cipher, container, detect, fasta, files, masks, sam
 
@@ -74,15 +74,14 @@ SELECT CAST(sequence AS INT) AS sequence, n_rows, n_bases, CAST(sum(n_rows) OVER
 
 
 def format_kinds(spark, sf_dir):
-    """What the files of each writer are taken for, by their first bytes, and how many records each kind gives back."""
-    df, contigs, out = _tagged(spark, sf_dir), table(spark, sf_dir, "contigs"), None
+    """What the files of each writer, written and read by all tasks, are taken for by their first bytes, and how many records each kind gives back."""
+    df, contigs, out = spread(_tagged(spark, sf_dir)), table(spark, sf_dir, "contigs"), None
     plain, packed, small = (scratch(spark, x) for x in ("sam", "bam", "sam"))
-    sam.write_sam(df.coalesce(1), plain)
-    sam.write_sam(df.coalesce(1), small, gzip=True)
-    binary.write_bam(df.coalesce(1), contigs, packed)
+    sam.write_sam(df, plain)
+    sam.write_sam(df, small, gzip=True)
+    binary.write_bam(df, contigs, packed)
     for path in (plain, small, packed):
-        (file,) = files.files_below(path)
-        one = detect.read_reads(spark, file).agg(F.count("*").alias("n_rows")).select(F.lit(detect.kind_of(file)).alias("kind"), "n_rows")
+        one = detect.read_reads(spark, path).agg(F.count("*").alias("n_rows")).select(F.lit(detect.kind_below(path)).alias("kind"), "n_rows")
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,7 +6,7 @@ import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.sources.files import open_file
+from seqloom.sources.files import files_below, open_file
 
 # Magic bytes, and the empty block that ends a block-gzipped file.
 CRAM, BAM, GZIP = b"CRAM", b"BAM\1", b"\x1f\x8b"
@@ -33,14 +33,22 @@ def kind_of(path: str) -> str:
         return kind(f.read(1 << 16))
 
 
+def kind_below(path: str) -> str:
+    """What a file, or all files below a folder, are; ValueError if they differ or there are none."""
+    kinds = {kind_of(p) for p in files_below(path)}
+    if len(kinds) != 1:
+        raise ValueError(f"{path} holds files of {' and '.join(sorted(kinds)) or 'no kind'}")
+    return kinds.pop()
+
+
 def is_terminated(tail: bytes) -> bool:
     """Whether a block-gzipped file ends with the empty block."""
     return tail.endswith(BGZF_END)
 
 
 def read_reads(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a file of any kind that has a reader."""
-    what = kind_of(path)
+    """Records of a file, or of all files below a folder, of any kind that has a reader; files of a folder are of one kind."""
+    what = kind_below(path)
     if what in ("bam", "cram"):
         from seqloom.sources import binary
 

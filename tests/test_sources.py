@@ -67,3 +67,17 @@ def test_binary_records_and_detection(spark, tmp_path):
         r = got[row[0]]
         assert tuple(r)[:11] == row[:11] and r["tags"] == (row[11] or {})
     assert detect.kind(b"CRAM\2\0") == "cram" and detect.kind(b"@HD\t") == "sam" and detect.kind(gzip.compress(b"@HD")) == "gzip_sam" and detect.kind(binary.block(b"@HD")) == "bgzf_sam"
+
+
+def test_folders_of_several_files_of_a_kind(spark, tmp_path):
+    df = spark.range(60).selectExpr("concat('q', id) qname", "4 flag", "'*' rname", "0 pos", "0 mapq", "'*' cigar", "'*' rnext", "0 pnext", "0 tlen", "'AC' seq", "'II' qual", "map('NM', concat('i:', id)) tags").repartition(3)
+    contigs = spark.createDataFrame([(0, "c", 100)], "sequence_id int, name string, length bigint")
+    sam.write_sam(df, str(tmp_path / "sam"))
+    sam.write_sam(df, str(tmp_path / "gzip_sam"), gzip=True)
+    binary.write_bam(df, contigs, str(tmp_path / "bam"))
+    for kind in ("sam", "gzip_sam", "bam"):
+        path = str(tmp_path / kind)
+        assert len(binary.files_below(path)) == 3 and detect.kind_below(path) == kind
+        assert {(r["qname"], r["tags"]["NM"]) for r in detect.read_reads(spark, path).collect()} == {(f"q{i}", f"i:{i}") for i in range(60)}
+    with pytest.raises(ValueError, match="bam and gzip_sam and sam"):
+        detect.kind_below(str(tmp_path))
